@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
@@ -60,7 +61,7 @@ def cap_rate_stream(
     The state is kept per subscription *and* window and expires ``ttl_ms`` after
     its last use. A first step keeps ``cap`` rows in each of ``salts`` groups of
     a window, so a flooded window is thinned by many tasks before its rows meet.
-    Needs the RocksDB state store (``use_rocksdb``).
+    Needs the RocksDB state store (``stateful_settings``).
     """
     schema = schema.bind(matched)
     flagged = matched.withColumn("window_start", rate_window(schema, seconds))
@@ -83,5 +84,22 @@ def cap_rate_stream(
     return limit(flagged, *keys)
 
 
-def use_rocksdb(spark: Any) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_PROVIDER)
+@contextmanager
+def stateful_settings(spark: Any) -> Iterator[None]:
+    """Settings to start a capped query under; a running query keeps them.
+
+    State expires by the clock, for which Spark would run empty batches for
+    ever. Expiry may as well wait for the next batch with data.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER,
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    }
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
