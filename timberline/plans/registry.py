@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from timberline.plans import filters, searches
+from timberline.plans import facet_queries, filters, searches, segment_queries
 from timberline.plans.tables import Case
 
-AREAS = (filters, searches)
+AREAS = (filters, searches, facet_queries, segment_queries)
 
 
 def cases() -> list[Case]:
