@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from timberline.plans import facet_queries, filters, searches, segment_queries
+from timberline.plans import (
+    extract_queries,
+    facet_queries,
+    filters,
+    lifecycle_queries,
+    searches,
+    segment_queries,
+)
 from timberline.plans.tables import Case
 
-AREAS = (filters, searches, facet_queries, segment_queries)
+AREAS = (filters, searches, facet_queries, segment_queries, lifecycle_queries, extract_queries)
 
 
 def cases() -> list[Case]:
