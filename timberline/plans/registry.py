@@ -9,10 +9,21 @@ from timberline.plans import (
     lifecycle_queries,
     searches,
     segment_queries,
+    storage_queries,
+    stream_queries,
 )
 from timberline.plans.tables import Case
 
-AREAS = (filters, searches, facet_queries, segment_queries, lifecycle_queries, extract_queries)
+AREAS = (
+    filters,
+    searches,
+    facet_queries,
+    segment_queries,
+    lifecycle_queries,
+    extract_queries,
+    storage_queries,
+    stream_queries,
+)
 
 
 def cases() -> list[Case]:

@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A given table as a file stream."""
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf.rstrip("/"))
+
+
 def with_ctes(body: str, *ctes: str) -> str:
     return f"WITH {', '.join(ctes)} {body}"
 
@@ -49,10 +55,14 @@ def with_ctes(body: str, *ctes: str) -> str:
 
 
 def logs(spark: SparkSession, sf: str) -> DataFrame:
+    return as_logs(table(spark, sf, "events"))
+
+
+def as_logs(events: DataFrame) -> DataFrame:
     user = F.col("user_id").cast("string")
     bucket = F.col("user_id") % 4
     kind = F.col("event_type")
-    return table(spark, sf, "events").select(
+    return events.select(
         "event_id",
         F.col("ts").alias("timestamp"),
         F.when(bucket == 0, "api").when(bucket == 1, "worker").when(bucket == 2, "Web").alias("service"),

@@ -75,12 +75,29 @@ def drop_stats(
     counts = matched.groupBy("subscription", rate_window(schema, seconds).alias("window_start")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    return counts.select(
-        "subscription",
-        "window_start",
+    return counts.select("subscription", "window_start", *_split(cap))
+
+
+def _split(cap: int) -> list[Column]:
+    return [
         F.least(F.col("_n"), F.lit(cap)).cast("bigint").alias("delivered"),
         F.greatest(F.col("_n") - cap, F.lit(0)).cast("bigint").alias("dropped"),
+    ]
+
+
+def drop_stats_stream(
+    matched: DataFrame,
+    cap: int = RATE_CAP,
+    seconds: int = RATE_WINDOW_SECONDS,
+    schema: LogSchema = LogSchema(),
+    lateness: str = "60 seconds",
+) -> DataFrame:
+    """Streaming form of ``drop_stats``: a window is reported once it is ``lateness`` old."""
+    instant = matched.withColumn("_ts", F.col(schema.timestamp).cast("timestamp")).withWatermark("_ts", lateness)
+    counts = instant.groupBy("subscription", F.window("_ts", f"{seconds} seconds")).agg(
+        F.count(F.lit(1)).alias("_n")
     )
+    return counts.select("subscription", F.col("window.start").alias("window_start"), *_split(cap))
 
 
 def subscriptions_from(specs: Mapping[str, Any]) -> list[Subscription]:
