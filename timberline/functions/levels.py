@@ -38,7 +38,7 @@ DEFAULT_LEVEL = "info"
 
 
 def trimmed(token: Column) -> Column:
-    return F.regexp_replace(token, r"^[\s\u0085 ]+|[\s\u0085 ]+$", "")
+    return F.btrim(token, F.lit(" \t\n\v\f\r\u0085\u00a0"))
 
 
 def canonical_level(token: Column) -> Column:

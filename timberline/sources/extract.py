@@ -36,8 +36,6 @@ RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?(
 
 # Epoch numbers from this size on are milliseconds.
 MILLIS_FROM = 1_000_000_000_000
-# Largest epoch value that still fits microseconds in a bigint.
-_EPOCH_LIMIT = 9_000_000_000_000_000
 
 DEFAULT_MARKER = "ingest_"
 
@@ -48,7 +46,7 @@ def parse_line(line: Column) -> Column:
     The cheap test on the first character also rejects them, because valid JSON
     that starts with a brace is an object.
     """
-    return F.when(line.rlike(r"^[ \t\r\n]*\{"), F.try_parse_json(line))
+    return F.when(F.startswith(F.ltrim(line, F.lit(" \t\r\n")), F.lit("{")), F.try_parse_json(line))
 
 
 def is_object_line(line: Column) -> Column:
@@ -94,19 +92,13 @@ def text_at(value: Column, kind: Column) -> Column:
 def as_timestamp(value: Column, kind: Column) -> Column:
     """RFC 3339 text, or an epoch number in seconds or milliseconds by size."""
     text = F.try_variant_get(value, "$", "string")
-    fraction = F.try_variant_get(value, "$", "double").try_cast("bigint")
-    epoch = F.when(kind == "BIGINT", F.try_variant_get(value, "$", "bigint")).when(
-        kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), fraction
-    )
-    in_seconds = F.timestamp_micros(epoch * F.lit(1_000_000))
-    in_millis = F.timestamp_micros(epoch * F.lit(1_000))
-    return (
-        F.when(
-            (kind == "STRING") & text.rlike(RFC3339),
-            F.replace(text, F.lit(","), F.lit(".")).try_cast("timestamp"),
-        )
-        .when(epoch.between(-MILLIS_FROM + 1, MILLIS_FROM - 1), in_seconds)
-        .when(epoch.between(MILLIS_FROM, _EPOCH_LIMIT), in_millis)
+    epoch = F.try_variant_get(value, "$", "bigint")
+    scale = F.when(epoch >= MILLIS_FROM, F.lit(1_000)).otherwise(F.lit(1_000_000))
+    return F.when(
+        kind == "STRING", F.when(text.rlike(RFC3339), F.translate(text, ",", ".").try_cast("timestamp"))
+    ).when(
+        F.left(kind, F.lit(2)).isin("BI", "DE", "DO", "FL"),  # BIGINT, DECIMAL, DOUBLE, FLOAT
+        F.timestamp_micros(F.try_multiply(epoch, scale)),
     )
 
 
@@ -140,8 +132,8 @@ def resolve_fields(docs: DataFrame, mapping: Mapping_, doc: str = "_doc") -> Dat
     """Add ``_<field>`` and ``_<field>_path`` for every mapped field: the first
     candidate that coerces and where it was found.
 
-    The steps are separate projections on purpose. A value used more than once
-    is then computed once, and the generated code stays small.
+    The steps are separate projections, so a value used more than once is
+    computed once.
     """
     paths = list(dict.fromkeys(p for f in COERCIONS for p in mapping.get(f, ())))
     place = {path: i for i, path in enumerate(paths)}
@@ -157,11 +149,10 @@ def resolve_fields(docs: DataFrame, mapping: Mapping_, doc: str = "_doc") -> Dat
     picked = []
     for field in COERCIONS:
         names = [(f"_{field}{place[p]}", p) for p in mapping.get(field, ())]
-        kind = "timestamp" if field == "timestamp" else "string"
-        nothing = F.lit(None)
-        picked.append(F.coalesce(*[F.col(n) for n, _ in names], nothing.cast(kind)).alias(f"_{field}"))
+        nothing = F.lit(None).cast("timestamp" if field == "timestamp" else "string")
         hits = [F.when(F.col(n).isNotNull(), F.lit(p)) for n, p in names]
-        picked.append(F.coalesce(*hits, nothing.cast("string")).alias(f"_{field}_path"))
+        picked.append(F.coalesce(*[F.col(n) for n, _ in names], nothing).alias(f"_{field}"))
+        picked.append(F.coalesce(*hits, F.lit(None).cast("string")).alias(f"_{field}_path"))
     return coerced.select(*kept, *picked)
 
 
@@ -185,32 +176,32 @@ def _without(entries: Column, segments: Sequence[str]) -> Column:
     return F.transform_values(entries, prune)
 
 
-def residual(doc: Column, mapping: Mapping_, taken: Column) -> Column:
-    """Top-level entries of the object, less the paths in the array ``taken``."""
-    paths = list(dict.fromkeys(p for field in mapping.values() for p in field))
-    flat = F.filter(taken, lambda p: ~F.contains(p, F.lit(".")))
-    entries = F.map_filter(_object_map(doc), lambda k, _: ~F.array_contains(flat, k))
-    nested = [p for p in paths if "." in p]
-    for path in nested:
+def residual(doc: Column, candidates: Sequence[str], taken: Column) -> Column:
+    """Top-level entries of the object, less what the array ``taken`` names.
+
+    ``candidates`` lists every key and path that ``taken`` may hold; other keys
+    are kept without a look at the array.
+    """
+    flat = [c for c in candidates if "." not in c]
+    entries = _object_map(doc)
+    if flat:
+        entries = F.map_filter(
+            entries,
+            lambda k, _: ~k.isin(flat) | ~F.coalesce(F.array_contains(taken, k), F.lit(False)),
+        )
+    for path in (c for c in candidates if "." in c):
         pruned = _without(entries, path.split("."))
         entries = F.when(F.array_contains(taken, F.lit(path)), pruned).otherwise(entries)
     return entries
 
 
-def marker_map(markers: Mapping[str, Column]) -> Column:
-    """Map of the markers that are set."""
-    names = F.array(*[F.lit(n) for n in markers])
-    return F.map_filter(F.map_from_arrays(names, F.array(*markers.values())), lambda _, v: v.isNotNull())
-
-
-def merge_entries(entries: Column, markers: Column) -> Column:
-    """Both maps as JSON text; a marker replaces an equal key."""
-    kept = F.map_filter(entries, lambda k, _: ~F.map_contains_key(markers, k))
-    return F.to_json(F.to_variant_object(F.map_concat(kept, markers)))
-
-
-def _flag(cond: Column) -> Column:
-    return F.when(cond, F.lit(True).cast("variant"))
+def join_objects(left: Column, right: Column) -> Column:
+    """One JSON object text from two that share no key."""
+    return (
+        F.when(right == "{}", left)
+        .when(left == "{}", right)
+        .otherwise(F.concat(F.left(left, F.length(left) - 1), F.lit(","), F.substr(right, F.lit(2))))
+    )
 
 
 # --- the extractor -----------------------------------------------------------
@@ -247,18 +238,22 @@ def extract(
 
     found = resolve_fields(docs, mapping)
     token = F.col("_level")
-    taken = F.array_compact(F.array(*[F.col(f"_{field}_path") for field in COERCIONS]))
-    staged = found.withColumns({"_known": canonical_level(token), "_taken": taken})
     known = F.col("_known")
+    leveled = found.withColumn("_known", canonical_level(token))
     markers = {
-        f"{marker}timestamp_fallback": _flag(F.col("_timestamp").isNull()),
-        f"{marker}level_fallback": _flag(token.isNull()),
-        f"{marker}level_original": F.when(known != token, token.cast("variant")),
-        f"{marker}level_unrecognized": F.when(known.isNull() & (token != ""), token.cast("variant")),
+        f"{marker}timestamp_fallback": F.when(F.col("_timestamp").isNull(), F.lit(True)),
+        f"{marker}level_fallback": F.when(token.isNull(), F.lit(True)),
+        f"{marker}level_original": F.when(known != token, token),
+        f"{marker}level_unrecognized": F.when(known.isNull() & (token != ""), token),
     }
-    merged = staged.withColumns(
-        {"_rest": residual(F.col("_doc"), mapping, F.col("_taken")), "_marks": marker_map(markers)}
+    # A marker that is set replaces an equal key of the line.
+    taken = [F.col(f"_{field}_path") for field in COERCIONS]
+    taken += [F.when(value.isNotNull(), F.lit(name)) for name, value in markers.items()]
+    staged = leveled.withColumns(
+        {"_taken": F.array(*taken), "_marks": F.to_json(F.struct(*[v.alias(n) for n, v in markers.items()]))}
     )
+    candidates = list(dict.fromkeys([p for field in mapping.values() for p in field] + list(markers)))
+    merged = staged.withColumn("_rest", F.to_json(residual(F.col("_doc"), candidates, F.col("_taken"))))
     return merged.select(
         *keep,
         F.coalesce("_timestamp", "_arrived").alias("timestamp"),
@@ -267,6 +262,6 @@ def extract(
         F.nullif(F.col("_message"), F.lit("")).alias("message"),
         F.col("_host").alias("host"),
         "source",
-        merge_entries(F.col("_rest"), F.col("_marks")).alias("attributes"),
+        join_objects(F.col("_rest"), F.col("_marks")).alias("attributes"),
         "raw",
     )

@@ -14,8 +14,11 @@ from timberline.sources.extract import extract, is_object_line
 
 def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Strip one trailing carriage return; drop empty lines (they count nowhere)."""
-    stripped = F.regexp_replace(F.col(column), r"\r\z", "")
-    return lines.withColumn(column, stripped).filter(F.length(column) > 0).withColumnRenamed(column, "line")
+    text = F.col(column)
+    # Two cheap tests; the pattern runs only on lines that end in a return.
+    kept = lines.filter((text != "") & (text != "\r"))
+    stripped = F.when(F.endswith(text, F.lit("\r")), F.regexp_replace(text, r"\r\z", "")).otherwise(text)
+    return kept.withColumn(column, stripped).withColumnRenamed(column, "line")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
