@@ -33,5 +33,9 @@ def attribute_text(column: str | Column, path: str) -> Column:
 
 
 def number_of(text: Column) -> Column:
-    """Number held by a text, or NULL when it is not a decimal number."""
-    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+    """Number held by a text, or NULL when it is not a decimal number.
+
+    The pattern yields '' for other text, which casts to NULL: the text (often a
+    JSON lookup) is evaluated once.
+    """
+    return F.regexp_extract(text, NUMBER, 0).try_cast("double")

@@ -238,19 +238,19 @@ def _as_number(value: Any) -> float | None:
 
 
 def _attribute_equals(col: Column, value: Any, exact: bool) -> Column:
-    """Text equality, or numeric equality so that 42, "42" and 42.0 agree.
+    """Numeric equality for a number (42, "42" and 42.0 agree), else text equality.
 
-    The decimal test keeps integers beyond 2^53 apart, which a double cannot.
+    NULL for a missing value, false for a value that is no number. The decimal
+    test keeps integers beyond 2^53 apart, which a double cannot.
     """
     text = text_of(value)
-    same = col == F.lit(text) if exact else F.lower(col) == F.lit(text.lower())
     number = _as_number(value)
     if number is None:
-        return same
+        return col == F.lit(text) if exact else F.lower(col) == F.lit(text.lower())
     equal = number_of(col) == F.lit(number)
-    if abs(number) >= 2**53 and abs(number) < 1e27:
+    if 2**53 <= abs(number) < 1e27:
         equal = equal & (col.try_cast("decimal(38,10)") == F.lit(text).try_cast("decimal(38,10)"))
-    return same | F.coalesce(equal, F.lit(False))
+    return F.coalesce(equal, F.when(col.isNotNull(), F.lit(False)))
 
 
 def _attribute_leaf(node: dict[str, Any], col: Column) -> Column:

@@ -76,7 +76,7 @@ def facet_counts(
     extra = [] if segment is None else [segment.alias("segment")]
     exploded = df.select(*extra, F.explode(pairs).alias("_p")).filter(F.col("_p.value").isNotNull())
     by = [F.col("facet"), F.col("value"), *([] if segment is None else [F.col("segment")])]
-    return exploded.select(*[c for c in extra and ["segment"]], *keys).groupBy(*by).agg(
+    return exploded.select(*(["segment"] if extra else []), *keys).groupBy(*by).agg(
         F.count(F.lit(1)).alias("count")
     )
 
@@ -112,16 +112,21 @@ def facet_report(
     """Top values with ``truncated``, ``total_values`` and, given a segment column,
     ``sample_segments`` (segments that hold at least one value of the facet).
 
-    The per-facet totals come from the same counts as a partial aggregate, not
-    from a window over all values of a facet.
+    The totals per facet are a partial aggregate over the same counts, not a
+    window over all values of a facet. They read the ``count`` column too, so
+    that both branches need the very same aggregate and Spark runs it, and the
+    scan below it, once.
     """
     detail = facet_counts(df, facets, schema, segment)
+    some = F.col("count") > 0
     if segment is None:
         counts, hits = detail, None
     else:
         counts = detail.groupBy("facet", "value").agg(F.sum("count").alias("count"))
-        hits = detail.groupBy("facet").agg(F.countDistinct("segment").alias("sample_segments"))
-    totals = counts.groupBy("facet").agg(F.count(F.lit(1)).alias("total_values"))
+        hits = detail.groupBy("facet").agg(
+            F.countDistinct(F.when(some, F.col("segment"))).alias("sample_segments")
+        )
+    totals = counts.groupBy("facet").agg(F.count_if(some).alias("total_values"))
     if hits is not None:
         totals = totals.join(F.broadcast(hits), "facet")
     # One row per requested facet: small by construction.

@@ -62,18 +62,37 @@ def place_events(
     return df.withColumns(placement(F.col(schema.timestamp), now, width, grace, schema.ntz))
 
 
-def segment_stats(df: DataFrame, segment: Column | str, schema: LogSchema = LogSchema()) -> DataFrame:
-    """Rows, time bounds and sorted distinct sources per segment."""
+def segment_stats(
+    df: DataFrame, segment: Column | str, schema: LogSchema = LogSchema(), sized: str | None = None
+) -> DataFrame:
+    """Rows, time bounds and sorted distinct sources per segment.
+
+    ``sized`` names a text column whose total length becomes ``size_bytes``.
+    """
     by = F.col(segment) if isinstance(segment, str) else segment
     ts = F.col(schema.timestamp)
+    size = [F.sum(F.octet_length(sized)).cast("bigint").alias("size_bytes")] if sized else []
     return df.groupBy(by.alias("id")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.min(ts).alias("time_start"),
         F.max(ts).alias("time_end"),
         F.array_sort(F.collect_set(F.col(schema.source))).alias("sources"),
+        *size,
     )
 
 
+def window_stats(
+    df: DataFrame, width: Any, schema: LogSchema = LogSchema(), sized: str | None = None
+) -> DataFrame:
+    """``segment_stats`` of the tumbling windows of ``width``.
+
+    Rows are grouped by the window start; the id text is made per segment only.
+    """
+    schema = schema.bind(df)
+    start = window_start(F.col(schema.timestamp), width, schema.ntz)
+    return segment_stats(df, start, schema, sized).withColumn("id", segment_id(F.col("id")))
+
+
 def empty_windows(stats: DataFrame, start: Any, end: Any, width: Any, ntz: bool = True) -> DataFrame:
     """Planned windows of ``[start, end)`` that no segment covers."""
     seconds = width_seconds(width)

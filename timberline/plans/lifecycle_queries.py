@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from timberline.operators import lifecycle as L
-from timberline.operators.segments import segment_stats, with_segment
+from timberline.operators.segments import window_stats, with_segment
 from timberline.plans import tables as T
 from timberline.plans.tables import Case
 from timberline.sources import store
@@ -150,8 +150,7 @@ def _checksum(spark, sf):
 
 def _imports(spark, sf):
     """Eight-hour segments offered for import; some broken in one way or another."""
-    rows = with_segment(T.logs(spark, sf), "8h")
-    stats = segment_stats(rows, "segment_id").withColumn("sha", F.sha2(F.col("id"), 256))
+    stats = window_stats(T.logs(spark, sf), "8h").withColumn("sha", F.sha2(F.col("id"), 256))
     size = F.col("row_count")
     manifest = F.struct(
         F.when(size % 11 == 0, F.lit(2)).otherwise(F.lit(1)).alias("manifest_version"),
@@ -195,8 +194,7 @@ def _import_rows(spark, sf):
 
 
 def _import_overlap(spark, sf):
-    rows = segment_stats(with_segment(T.logs(spark, sf), "8h"), "segment_id")
-    return L.import_overlaps(rows, T.segs(spark, sf)).select("id", "existing_id")
+    return L.import_overlaps(window_stats(T.logs(spark, sf), "8h"), T.segs(spark, sf)).select("id", "existing_id")
 
 
 def _archived(spark, sf):

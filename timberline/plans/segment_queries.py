@@ -36,14 +36,12 @@ def _placement(spark, sf):
 
 
 def _stats(spark, sf):
-    rows = SG.with_segment(T.logs(spark, sf), "1h")
-    stats = SG.segment_stats(rows, "segment_id", LogSchema(source="service"))
+    stats = SG.window_stats(T.logs(spark, sf), "1h", LogSchema(source="service"))
     return stats.withColumn("sources", F.array_join("sources", ","))
 
 
 def _empty(spark, sf):
-    rows = SG.with_segment(T.logs(spark, sf).filter(F.col("level") == "error"), "1h")
-    stats = SG.segment_stats(rows, "segment_id")
+    stats = SG.window_stats(T.logs(spark, sf).filter(F.col("level") == "error"), "1h")
     return SG.empty_windows(stats, "2023-12-31T12:30:00Z", "2024-02-01T00:00:00Z", "1h")
 
 
@@ -67,8 +65,7 @@ def _overlap(spark, sf):
 
 
 def _eight_hours(spark, sf):
-    rows = SG.with_segment(T.logs(spark, sf), "8h")
-    return SG.segment_stats(rows, "segment_id").select("id", "time_start", "time_end")
+    return SG.window_stats(T.logs(spark, sf), "8h").select("id", "time_start", "time_end")
 
 
 def _overlap_join(spark, sf):

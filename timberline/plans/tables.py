@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.attributes import attribute_text
-from timberline.functions.timeframe import iso_utc, seconds_interval, segment_id, window_start
-from timberline.operators.segments import segment_stats
+from timberline.functions.timeframe import iso_utc, seconds_interval, segment_start
+from timberline.operators.segments import window_stats
 from timberline.schema import LogSchema
-from timberline.session import prepare
+from timberline.session import checkpointed, prepare
 
 NOW = dt.datetime(2024, 1, 31)
 INGEST_TIME = dt.datetime(2024, 2, 1)
@@ -130,18 +130,16 @@ def _ordinal(start: Column) -> Column:
 
 
 def segs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = logs(spark, sf)
-    start = window_start(F.col("timestamp"), WIDTH)
-    placed = rows.withColumn("_ws", start)
-    by_source = LogSchema(source="service")
-    stats = segment_stats(placed, segment_id(F.col("_ws")), by_source)
-    sizes = placed.groupBy(segment_id(F.col("_ws")).alias("id"), F.col("_ws").alias("window_start")).agg(
-        F.sum(F.length("raw")).alias("size_bytes")
-    )
+    """The catalog, as a snapshot: one pass over the events, then a row per window."""
+    return checkpointed(seg_rows(spark, sf))
+
+
+def seg_rows(spark: SparkSession, sf: str) -> DataFrame:
+    stats = window_stats(logs(spark, sf), WIDTH, LogSchema(source="service"), sized="raw")
     n = F.col("n")
     state = F.when(n % 5 < 2, "sealed").when(n % 5 < 4, "archived").otherwise("rehydrated")
     return (
-        stats.join(sizes, "id")
+        stats.withColumn("window_start", segment_start(F.col("id")))
         .withColumn("n", _ordinal(F.col("window_start")))
         .select(
             "id",
