@@ -96,12 +96,10 @@ def conformance(df: DataFrame, required: Sequence[str] = EVENT_COLUMNS) -> DataF
 # --- files and checksums -----------------------------------------------------
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """``path, length`` of files. The content column is not read."""
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """``path, length`` of the files below a folder. The content is not read."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    if recursive:
-        reader = reader.option("recursiveFileLookup", "true")
-    return reader.load(path).select("path", "length")
+    return reader.option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
 def _open_uri(path: str) -> tuple[Any, str]:
@@ -111,6 +109,28 @@ def _open_uri(path: str) -> tuple[Any, str]:
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
+def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch["path"]:
+            system, name = _open_uri(folder)
+            infos = [i for i in system.get_file_info(fs.FileSelector(name)) if i.is_file]
+            yield pd.DataFrame(
+                {
+                    "path": [f"{folder.rstrip('/')}/{i.base_name}" for i in infos],
+                    "length": [i.size for i in infos],
+                }
+            )
+
+
+def list_folder(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length`` of one folder's files, empty ones included (Spark's file
+    sources leave those out)."""
+    folders = spark.createDataFrame([(path,)], "path string")
+    return folders.mapInPandas(_list_folders, "path string, length bigint")
+
+
 def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
@@ -203,7 +223,7 @@ def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         .option("pathGlobFilter", "*.manifest.json")
         .option("recursiveFileLookup", "true")
         .text(path)
-        .select(F.input_file_name().alias("path"), F.col("value").alias("document"))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("document"))
     )
     return check_manifests(docs)
 
@@ -211,7 +231,8 @@ def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
 def check_manifests(docs: DataFrame, document: str = "document") -> tuple[DataFrame, DataFrame]:
     """Split documents into parsed valid manifests and rejects with the first failed rule."""
     parsed = docs.withColumn("_m", F.from_json(document, MANIFEST_DDL))
-    checked = parsed.withColumn("error", manifest_error(F.col("_m")))
+    broken = F.when(F.try_parse_json(F.col(document)).isNull(), "not valid JSON")
+    checked = parsed.withColumn("error", F.coalesce(broken, manifest_error(F.col("_m"))))
     others = [c for c in docs.columns if c != document]
     valid = checked.filter(F.col("error").isNull()).select(*others, "_m.*")
     rejected = checked.filter(F.col("error").isNotNull()).select(*others, document, "error")
@@ -336,6 +357,32 @@ def parquet_magic(files: DataFrame) -> DataFrame:
     )
 
 
+def read_imports(spark: SparkSession, path: str) -> DataFrame:
+    """The ready imports of a drop folder, with what ``validate_imports`` needs."""
+    files = list_folder(spark, path)
+    ready = ready_imports(files)
+    # The listing is tiny but the files are not: spread them over tasks by number,
+    # which AQE leaves alone.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = files.join(ready.select(F.col("data").alias("path")), "path", "left_semi").repartition(tasks, "path")
+    hashed = parquet_magic(data).join(checksums(data).select("path", "sha256"), "path")
+    docs = (
+        spark.read.option("wholetext", "true")
+        .option("pathGlobFilter", "*.manifest.json")
+        .text(path)
+        .select(
+            F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.manifest\.json$", 1).alias("stem"),
+            F.from_json("value", MANIFEST_DDL).alias("manifest"),
+        )
+    )
+    return (
+        ready.drop("manifest")
+        .join(hashed, F.col("data") == F.col("path"), "left")
+        .join(docs, "stem", "left")
+        .select("stem", "length", "head", "tail", "sha256", "manifest")
+    )
+
+
 def validate_imports(imports: DataFrame, catalog: DataFrame) -> DataFrame:
     """Add ``error``, the first check an import fails (NULL when accepted).
 
@@ -346,9 +393,11 @@ def validate_imports(imports: DataFrame, catalog: DataFrame) -> DataFrame:
     joined = imports.join(known, F.col("manifest.segment_id") == F.col("_known"), "left")
     m = F.col("manifest")
     error = F.coalesce(
-        F.when(F.coalesce("length", F.lit(0)) < 8, "file too small"),
+        F.when(F.col("length").isNull(), "missing data file"),
+        F.when(F.col("length") < 8, "file too small"),
         F.when(F.coalesce("head", F.lit("")) != "PAR1", "missing header magic"),
         F.when(F.coalesce("tail", F.lit("")) != "PAR1", "missing footer magic"),
+        F.when(m.isNull(), "missing manifest"),
         manifest_error(m),
         F.when(F.lower(F.coalesce("sha256", F.lit(""))) != F.lower(m["parquet_sha256"]), "checksum mismatch"),
         F.when(F.col("_known").isNotNull(), "segment already exists"),
