@@ -82,10 +82,8 @@ def facet_counts(
 
 
 def _caps(facets: Sequence[Facet]) -> Column:
-    cap = F.lit(DEFAULT_CAP)
-    for f in facets:
-        cap = F.when(F.col("facet") == f.name, F.lit(f.cap if f.cap > 0 else DEFAULT_CAP)).otherwise(cap)
-    return cap
+    caps = {f.name: f.cap if f.cap > 0 else DEFAULT_CAP for f in facets}
+    return F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col("facet")]
 
 
 def top_values(counts: DataFrame, facets: Sequence[Facet] = BUILTIN) -> DataFrame:

@@ -24,6 +24,8 @@ PHYSICAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Do not record the Python call site of every column: plans build faster.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

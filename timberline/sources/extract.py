@@ -185,10 +185,10 @@ def residual(doc: Column, candidates: Sequence[str], taken: Column) -> Column:
     flat = [c for c in candidates if "." not in c]
     entries = _object_map(doc)
     if flat:
-        entries = F.map_filter(
-            entries,
-            lambda k, _: ~k.isin(flat) | ~F.coalesce(F.array_contains(taken, k), F.lit(False)),
-        )
+        unused = F.map_filter(entries, lambda k, _: ~k.isin(flat) | ~F.array_contains(taken, k))
+        # Naming the array twice keeps Spark from moving its construction into
+        # the lambda, where it would run for every key.
+        entries = F.when(F.size(taken) > 0, unused).otherwise(entries)
     for path in (c for c in candidates if "." in c):
         pruned = _without(entries, path.split("."))
         entries = F.when(F.array_contains(taken, F.lit(path)), pruned).otherwise(entries)
@@ -228,12 +228,14 @@ def extract(
     prepare(lines.sparkSession)
     arrived = ingest_time if isinstance(ingest_time, Column) else time_literal(ingest_time, ntz=False)
     stamp = F.lit(source) if isinstance(source, str) else source
+    # A filter on a projected parse would be pushed below it and parse each line
+    # twice. It cannot move below the explode of a one-element array.
     docs = lines.select(
         *keep,
         F.col(line).alias("raw"),
         stamp.alias("source"),
         arrived.alias("_arrived"),
-        parse_line(F.col(line)).alias("_doc"),
+        F.explode(F.array(parse_line(F.col(line)))).alias("_doc"),
     ).filter(F.col("_doc").isNotNull())
 
     found = resolve_fields(docs, mapping)
@@ -250,7 +252,7 @@ def extract(
     taken = [F.col(f"_{field}_path") for field in COERCIONS]
     taken += [F.when(value.isNotNull(), F.lit(name)) for name, value in markers.items()]
     staged = leveled.withColumns(
-        {"_taken": F.array(*taken), "_marks": F.to_json(F.struct(*[v.alias(n) for n, v in markers.items()]))}
+        {"_taken": F.array(*[F.coalesce(t, F.lit("")) for t in taken]), "_marks": F.to_json(F.struct(*[v.alias(n) for n, v in markers.items()]))}
     )
     candidates = list(dict.fromkeys([p for field in mapping.values() for p in field] + list(markers)))
     merged = staged.withColumn("_rest", F.to_json(residual(F.col("_doc"), candidates, F.col("_taken"))))

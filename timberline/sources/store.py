@@ -63,13 +63,19 @@ def seal(
     writer.parquet(path)
 
 
-def read_store(
-    spark: SparkSession, path: str, start: Any = None, end: Any = None, schema: LogSchema = LogSchema()
-) -> DataFrame:
-    """Sealed events. A time range also prunes the day folders, which Spark does
-    not derive from a bound on the event time by itself."""
+def read_store(spark: SparkSession, path: str, start: Any = None, end: Any = None) -> DataFrame:
+    """Sealed events, optionally only the day folders of a time range.
+
+    Listing the folders and reading the schema takes longer than a short search:
+    keep the frame and use ``prune_days`` for each query.
+    """
     df = spark.read.option("basePath", path).parquet(path)
-    df = df.withColumn(SEGMENT, F.col(SEGMENT).cast("string"))
+    return prune_days(df.withColumn(SEGMENT, F.col(SEGMENT).cast("string")), start, end)
+
+
+def prune_days(df: DataFrame, start: Any = None, end: Any = None) -> DataFrame:
+    """Bound the day folders by a time range, which Spark does not derive from a
+    bound on the event time by itself."""
     if start is not None:
         df = df.filter(F.col(DAY) >= F.lit(parse_time(start).date()))
     if end is not None:
