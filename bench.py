@@ -1,8 +1,8 @@
 """Times the headline queries and prints one JSON line.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS
-(default 5): each case runs once to warm up, then BENCH_RUNS times; the median
-counts.
+(default 7): each case runs three times to warm up, then BENCH_RUNS times; the
+median counts.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def cases(spark, sf):
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "5"))
+    runs = int(os.environ.get("BENCH_RUNS", "7"))
     spark = build_session(
         "bench",
         f"local[{cpus}]",
@@ -122,7 +122,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     timings = {}
     for name, run in cases(spark, sf).items():
-        run()
+        for _ in range(3):
+            run()
         took = []
         for _ in range(runs):
             begin = time.perf_counter()

@@ -109,6 +109,26 @@ def test_archive_keys_and_copy_plan(spark):
     assert {(r.segment_id, r.kind) for r in store.parse_archive_keys(keys).collect()} == {("1", "parquet"), ("1", "manifest")}
 
 
+def test_archive_copy_touches_only_planned_segments(spark, logs, sealed, tmp_path):
+    path = str(tmp_path / "archive")
+    manifests = store.seal_manifests(spark, sealed)
+    segs = manifests.select(F.col("segment_id").alias("id"), "time_start", "parquet_sha256")
+    nothing = spark.createDataFrame([], "segment_id string, sha string")
+    store.write_archive(logs, manifests, path, store.copy_plan(segs, nothing))
+    valid, rejected = store.read_archive_manifests(spark, path)
+    assert valid.count() == manifests.count() and rejected.count() == 0
+    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/data/dt=*/*/*.parquet")}
+    assert store.read_store(spark, f"{path}/data").count() == 30_000
+
+    redo = sorted(r.id for r in segs.collect())[3]
+    remote = segs.select(F.col("id").alias("segment_id"), F.when(F.col("id") == redo, "bad").otherwise(F.col("parquet_sha256")).alias("sha"))
+    store.write_archive(logs, manifests, path, store.copy_plan(segs, remote))
+    after = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/data/dt=*/*/*.parquet")}
+    changed = {f for f in set(before) ^ set(after)} | {f for f in before if after.get(f) != before[f]}
+    assert changed and all(f"segment_id={redo}" in f for f in changed)
+    assert store.read_store(spark, f"{path}/data").select(logs.columns).exceptAll(logs).count() == 0
+
+
 def test_import_drop_zone(spark, logs, tmp_path):
     """Good, known, tampered, truncated, manifest-less, data-less and not-ready imports."""
     drop = tmp_path / "drop"

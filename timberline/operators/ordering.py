@@ -29,6 +29,9 @@ def with_prefix(
     and the running offsets of those few rows are joined back. ``order`` must be
     total. The range partitioning is checkpointed because its sampled bounds
     must be the same for the summary and for the rows.
+
+    ``partitions`` (default: the shuffle partition setting) should leave each
+    range small enough for one task.
     """
     sums = sums or {}
     spark = df.sparkSession

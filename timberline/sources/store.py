@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timberline.functions.timeframe import iso_utc, parse_time, segment_id, window_start
-from timberline.operators.segments import segment_stats
+from timberline.operators.segments import segment_stats, with_segment
 from timberline.schema import EVENT_COLUMNS, LogSchema
 
 DAY = "dt"
@@ -35,11 +35,14 @@ def seal(
     path: str,
     width: Any = "1h",
     schema: LogSchema = LogSchema(),
-    mode: str = "overwrite",
+    replace: str = "all",
     max_records_per_file: int = 0,
 ) -> None:
     """Write events below ``dt=<day>/segment_id=<window>``, sorted by time, zstd level 3.
 
+    ``replace="segments"`` overwrites only the segments that occur in ``events``,
+    so sealing a segment again is harmless; ``"all"`` replaces the whole store.
+
     ``rebalance`` brings the rows of a segment together in one shuffle and lets
     AQE split a segment that is much larger than the rest into several files,
     each sorted, and merge small ones; a plain repartition would put a hot
@@ -53,7 +56,8 @@ def seal(
     writer = (
         placed.hint("rebalance", F.col(DAY), F.col(SEGMENT))
         .sortWithinPartitions(*order)
-        .write.mode(mode)
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic" if replace == "segments" else "static")
         .partitionBy(DAY, SEGMENT)
         .option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", ZSTD_LEVEL)
@@ -310,10 +314,31 @@ def copy_plan(segments: DataFrame, remote: DataFrame, prefix: str = "") -> DataF
     )
 
 
-def write_archive(events: DataFrame, manifests: DataFrame, path: str, width: Any = "1h", schema: LogSchema = LogSchema()) -> None:
-    """Archive copy: data first, then the manifests as the commit marker."""
-    seal(events, f"{path.rstrip('/')}/data", width, schema)
-    manifest_json(manifests).select("document").write.mode("overwrite").text(f"{path.rstrip('/')}/manifests")
+def write_archive(
+    events: DataFrame,
+    manifests: DataFrame,
+    path: str,
+    plan: DataFrame | None = None,
+    width: Any = "1h",
+    schema: LogSchema = LogSchema(),
+) -> None:
+    """Archive copy: the data first, then all manifests as the commit marker.
+
+    With a ``copy_plan`` only the segments it uploads or overwrites are written,
+    so a second run after a failure repeats nothing that is already there.
+    """
+    root = path.rstrip("/")
+    if plan is not None:
+        wanted = plan.filter(F.col("data_action") != "skip").select(F.col("id").alias(SEGMENT))
+        events = with_segment(events, width, schema, SEGMENT).join(wanted, SEGMENT, "left_semi")
+    seal(events, f"{root}/data", width, schema, "segments")
+    manifest_json(manifests).select("document").write.mode("overwrite").text(f"{root}/manifests")
+
+
+def read_archive_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Valid and rejected manifests of ``write_archive``, one document per line."""
+    lines = spark.read.text(f"{path.rstrip('/')}/manifests")
+    return check_manifests(lines.withColumnRenamed("value", "document"))
 
 
 # --- import drop zone --------------------------------------------------------

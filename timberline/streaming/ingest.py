@@ -38,9 +38,14 @@ def append_store(
     schema: LogSchema = LogSchema(),
     available_now: bool = False,
     trigger: str = TRIGGER,
+    writers: int | None = None,
 ) -> StreamingQuery:
     """Append events to a store laid out like the sealed one (day, segment).
 
+    Every task writes its own file per segment. With ``writers`` a batch is
+    first shuffled so that a segment gets at most that many files; the rows of a
+    hot segment still spread over as many tasks.
+
     Files are committed through the sink's log, so a restart after a lost driver
     or executor neither loses nor repeats rows. Events are stored by their own
     time: a late one is found by a query of its time at once.
@@ -48,6 +53,9 @@ def append_store(
     schema = schema.bind(events)
     start = window_start(F.col(schema.timestamp), width, schema.ntz)
     placed = events.withColumns({"dt": F.to_date(start), "segment_id": segment_id(start)})
+    if writers:
+        share = F.pmod(F.xxhash64(schema.raw, schema.timestamp), F.lit(writers))
+        placed = placed.repartition("dt", "segment_id", share)
     writer = (
         placed.writeStream.format("parquet")
         .option("path", path)
