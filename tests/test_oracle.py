@@ -14,7 +14,7 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("case", registry.cases(), ids=lambda c: c.name)
 def test_query_matches_sql(spark, con, sf_dir, case):
-    assert compare(spark, con, case, sf_dir) > 0 or case.name == "flt_search_docs"
+    assert compare(spark, con, case, sf_dir) > 0
 
 
 def test_entry_contract(spark):
