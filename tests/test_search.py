@@ -1,11 +1,15 @@
 import datetime as dt
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions import predicates as P
+from timberline.functions.timeframe import segment_id, window_start
 from timberline.operators import search as S
+from timberline.operators.facets import BUILTIN
 from timberline.operators.ordering import with_prefix
+from timberline.operators.request import SearchRequest, run
 
 BASE = dt.datetime(2026, 5, 12)
 
@@ -96,3 +100,22 @@ def test_prefix_matches_a_plain_window(spark):
         want[i] = (n, total)
         total += v or 0
     assert {r.id: (r.n, r.before) for r in got} == want
+
+
+def test_whole_request(logs):
+    ask = SearchRequest(
+        start=BASE, end=BASE + dt.timedelta(seconds=1), where=P.leaf("service", "exists"), limit=30, facets=BUILTIN[:2]
+    )
+    segment = segment_id(window_start(F.col("timestamp"), "1h"))
+    answer = run(logs, ask, segment=segment)
+    rows, cursor = answer.rows()
+    assert len(rows) == 30 and cursor["event_id"] == rows[-1].event_id
+    total = logs.filter("service is not null").count()
+    assert answer.count.first()["count"] == total
+    assert answer.facets.groupBy("facet").agg(F.sum("count").alias("n")).filter("facet = 'service'").first().n == total
+    assert tuple(answer.stats.first()) == (30, 1)
+    nxt, _ = run(logs, replace(ask, cursor=cursor)).rows()
+    assert not {r.event_id for r in nxt} & {r.event_id for r in rows}
+    assert run(logs, replace(ask, cursor=cursor)).count.first()["count"] == total
+    with pytest.raises(ValueError):
+        run(logs, replace(ask, end=BASE))

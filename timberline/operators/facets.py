@@ -69,16 +69,19 @@ def facet_counts(
     inside each task before the shuffle, so a value that fills a third of the
     table still travels as one row per task.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(f.name).alias("facet"), facet_value(f.field, schema).alias("value")) for f in facets]
-    )
-    keys = [F.col("_p.facet").alias("facet"), F.col("_p.value").alias("value")]
+    if not facets:
+        raise ValueError("no facets given")
     extra = [] if segment is None else [segment.alias("segment")]
-    exploded = df.select(*extra, F.explode(pairs).alias("_p")).filter(F.col("_p.value").isNotNull())
-    by = [F.col("facet"), F.col("value"), *([] if segment is None else [F.col("segment")])]
-    return exploded.select(*(["segment"] if extra else []), *keys).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    if len(facets) == 1:
+        only = facets[0]
+        pairs = df.select(*extra, F.lit(only.name).alias("facet"), facet_value(only.field, schema).alias("value"))
+    else:
+        entries = [
+            F.struct(F.lit(f.name).alias("facet"), facet_value(f.field, schema).alias("value")) for f in facets
+        ]
+        pairs = df.select(*extra, F.inline(F.array(*entries)))
+    by = ["facet", "value", *(["segment"] if extra else [])]
+    return pairs.filter(F.col("value").isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("count"))
 
 
 def _caps(facets: Sequence[Facet]) -> Column:

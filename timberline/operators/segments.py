@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.timeframe import (
-    DAY_SECONDS,
     floor_to,
     parse_time,
     seconds_interval,
@@ -158,7 +157,7 @@ def overlapping(segments: DataFrame, start: Column, end: Column) -> DataFrame:
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
-    bucket_seconds: int = DAY_SECONDS,
+    bucket_seconds: int = 3600,
     bounds: tuple[str, str] = ("time_start", "time_end"),
     prefix: str = "right_",
 ) -> DataFrame:
@@ -167,7 +166,9 @@ def overlap_join(
     Every interval is listed under each fixed bucket it touches and the sides
     meet by equality on the bucket: a hash or sort-merge join that AQE can split
     when one bucket is hot, instead of a nested loop. A pair that shares several
-    buckets is kept only in the bucket where the later interval starts.
+    buckets is kept only in the bucket where the later interval starts. Buckets
+    should be about as long as the shorter intervals: rows are compared only
+    inside a bucket, and a long interval is listed once per bucket.
     """
     lo, hi = bounds
     ntz = str(left.schema[lo].dataType) == "TimestampNTZType()"
