@@ -7,7 +7,6 @@ always an argument, so a plan can be repeated.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
