@@ -299,9 +299,9 @@ def remove_repeats(
     )
 
     def with_runs(hot: bool) -> DataFrame:
-        # Left joins throughout: the shuffle of the texts by key is then the same and made once.
+        # The same columns and left joins throughout: the texts are then shuffled by key only once.
         found = listed.where(F.col("hot") == hot).drop("hot")
-        return rows.join(found, "_key", "left").where(F.size("runs") > 0).select("_key", "text", "runs")
+        return rows.join(found, "_key", "left").where(F.size("runs") > 0).select("_key", "_id", "text", "runs")
 
     slices = with_runs(False).mapInArrow(_slices(window), "seed bigint, _key bigint, start int, words array<bigint>")
     ranges = "_key bigint, first int, last int"
