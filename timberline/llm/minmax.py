@@ -227,3 +227,13 @@ def near_duplicates(
         component.alias("component_id"),
         F.col("_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document per component: the one of the least id.
+
+    Of rows that share that id one stays. Rows with a null id cannot be told apart and all stay."""
+    ids = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    name = F.col(f"`{id_col}`")
+    named = docs.where(name.isNotNull()).join(ids, name == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(name.isNull()))

@@ -8,12 +8,21 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timberline.llm import passages, toxicity
+from timberline.llm.fertility import fertility_rules
 from timberline.llm.minmax import near_duplicates
+from timberline.llm.mixing import mix_plan
 from timberline.llm.substrings import remove_repeats
+from timberline.llm.surrogates import replace_entities
+from timberline.llm.templates import drop_templates
+from timberline.llm.tiling import contamination
+from timberline.llm.token_files import token_output
 
+# Whoever runs the query for real sets a key of their own.
+SURROGATE_KEY = "example key"
 SQL_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -32,6 +41,64 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def id_remainder(modulus: int) -> Column:
+    """crc32 of the id as text, modulo; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def training_labels(spark: SparkSession, sf: str, column: str, modulus: int, held_out: int) -> DataFrame:
+    """(``doc_id``, ``label``) of the documents that may be learned from."""
+    rows = table(spark, sf, "labels").where(id_remainder(modulus) != held_out)
+    return rows.select("doc_id", F.col(column).alias("label"))
+
+
+def _scored(spark: SparkSession, sf: str, model, modulus: int, held_out: int) -> DataFrame:
+    scored = documents(spark, sf).select(
+        "doc_id",
+        F.coalesce(id_remainder(modulus) == held_out, F.lit(False)).alias("held_out"),
+        model.column(F.col("text")).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op1_line_templates(spark: SparkSession, sf: str) -> DataFrame:
+    found = drop_templates(documents(spark, sf))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS number FROM documents),
+parsed AS (SELECT doc_id, number, line,
+    [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END
+     FOR t IN regexp_extract_all(line, '[^\x20\x09-\x0D]+')] AS tokens FROM lines),
+worded AS (SELECT *, array_to_string([CAST(len(tokens) AS VARCHAR)] || tokens[1:3], ' ') AS leaf FROM parsed WHERE len(tokens) > 0),
+leaves AS (SELECT leaf FROM worded GROUP BY leaf HAVING count(DISTINCT doc_id) >= 4),
+distinct_lines AS (SELECT DISTINCT doc_id, leaf, tokens FROM worded JOIN leaves USING (leaf)),
+places AS (SELECT doc_id, leaf, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM distinct_lines),
+often AS (SELECT leaf, place, token FROM places GROUP BY ALL HAVING count(*) >= 4),
+fixed AS (SELECT leaf, tokens, string_agg(place || ':' || token, ' ' ORDER BY place) AS template
+    FROM (SELECT DISTINCT leaf, tokens, place, token FROM places) JOIN often USING (leaf, place, token)
+    GROUP BY leaf, tokens HAVING count(*) >= 0.6 * len(tokens)),
+placed AS (SELECT doc_id, leaf, tokens, template FROM distinct_lines JOIN fixed USING (leaf, tokens)),
+recurring AS (SELECT leaf, template FROM placed GROUP BY ALL HAVING count(DISTINCT doc_id) >= 4),
+gone AS (SELECT DISTINCT doc_id, tokens FROM placed JOIN recurring USING (leaf, template)),
+marked AS (SELECT p.*, g.doc_id IS NOT NULL AS dropped FROM parsed p
+    LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.tokens = g.tokens AND len(p.tokens) > 0)
+SELECT doc_id, count(*) FILTER (len(tokens) > 0) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY number) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id"""
+
+
+def op2_quality_mil(spark: SparkSession, sf: str) -> DataFrame:
+    model = passages.fit(documents(spark, sf), training_labels(spark, sf, "quality", 3, 1))
+    return _scored(spark, sf, model, 3, 1)
+
+
+def op3_string_tiling(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(documents(spark, sf), table(spark, sf, "benchmark"))
+
+
 def op4_suffix_repeats(spark: SparkSession, sf: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -72,7 +139,58 @@ SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id, doc_id
 FROM sets JOIN groups USING (doc_id)"""
 
 
+def op6_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return replace_entities(documents(spark, sf), key=SURROGATE_KEY)
+
+
+def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    return fertility_rules(documents(spark, sf))
+
+
+def op8_systematic_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_plan(documents(spark, sf))
+
+
+OP8_SQL = rf"""
+WITH sized AS (SELECT doc_id, source, CAST(len({SQL_WORDS}) AS BIGINT) AS size FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
+weighted AS (SELECT *, 3 * source_size AS cap,
+    1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM totals),
+ranked AS (SELECT *, row_number() OVER o AS rank,
+    coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS caps_before,
+    coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weights_before,
+    sum(source_size) OVER () AS total, sum(weight) OVER () AS all_weights
+    FROM weighted WINDOW o AS (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST)),
+level AS (SELECT arg_min(CAST(total - caps_before AS DOUBLE) / (all_weights - weights_before), rank) AS level FROM ranked
+    WHERE (total - caps_before) * weight <= cap * (all_weights - weights_before)),
+targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(level, 0) * weight) AS target FROM ranked, level),
+units AS (SELECT *, least(CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END * 16777216) AS BIGINT),
+    3 * 16777216) AS units, CAST('0x' || substr(md5(coalesce('mix-1:' || source, 'mix-1')), 1, 6) AS BIGINT) AS offset_units FROM targets),
+placed AS (SELECT s.doc_id, s.size, u.source_size, u.target, u.units, u.offset_units
+    + (row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS LAST) - 1) * u.units AS at
+    FROM sized s JOIN units u ON s.source IS NOT DISTINCT FROM u.source),
+drawn AS (SELECT *, CAST((at + units) // 16777216 - at // 16777216 AS BIGINT) AS copies FROM placed)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM drawn"""
+
+
+def op9_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return token_output(documents(spark, sf))
+
+
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    model = toxicity.fit(documents(spark, sf), training_labels(spark, sf, "toxic", 5, 0))
+    return _scored(spark, sf, model, 5, 0)
+
+
 CASES = [
+    Case("op1_line_templates", op1_line_templates, OP1_SQL),
+    Case("op2_quality_mil", op2_quality_mil),
+    Case("op3_string_tiling", op3_string_tiling),
     Case("op4_suffix_repeats", op4_suffix_repeats, OP4_SQL),
     Case("op5_minmax_dedup", op5_minmax_dedup, OP5_SQL),
+    Case("op6_surrogates", op6_surrogates),
+    Case("op7_fertility", op7_fertility),
+    Case("op8_systematic_mix", op8_systematic_mix, OP8_SQL),
+    Case("op9_token_files", op9_token_files),
+    Case("op10_toxicity", op10_toxicity),
 ]

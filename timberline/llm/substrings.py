@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.words import hashed_words, pieces, run_hashes, signed
+from timberline.session import checkpointed
 
 WINDOW = 35
 SEED = 8
@@ -286,7 +287,9 @@ def remove_repeats(
     runs = rows.select("_key", "text").mapInArrow(
         _seeds(window, seed), "seed bigint, _key bigint, start int, n int, seeds int"
     )
-    shared = (
+    # Counts are frozen before they are joined: both sides of the join are then plain shuffles, which
+    # Spark splits where a seed or a prefix is hot.
+    shared = checkpointed(
         runs.groupBy("seed")
         .agg(F.sum("n").alias("suffixes"), F.sum("seeds").alias("met"))
         .where("met > 1")
@@ -308,7 +311,7 @@ def remove_repeats(
     cold = slices.repartition("seed").sortWithinPartitions("seed").mapInArrow(_subtrees(window), ranges)
 
     heads = with_runs(True).mapInArrow(_whole_prefixes(window), "p1 bigint, p2 bigint, _key bigint, start int")
-    repeated = heads.groupBy("p1", "p2").count().where("count > 1").drop("count")
+    repeated = checkpointed(heads.groupBy("p1", "p2").count().where("count > 1").drop("count"))
     hot = heads.join(repeated, ["p1", "p2"]).select("_key", F.col("start").alias("first"), F.col("start").alias("last"))
 
     marks = cold.unionByName(hot).groupBy("_key").agg(F.collect_set(F.struct("first", "last")).alias("marks"))

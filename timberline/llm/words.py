@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql.functions import arrow_udf
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -94,25 +95,40 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of ``inside`` bytes, none across a text border."""
+    border = np.zeros(len(inside) + 1, bool)
+    border[offsets] = True
+    beside = np.zeros(len(inside), bool)
+    beside[1:] = inside[:-1]
+    starts = np.flatnonzero(inside & (~beside | border[:-1]))
+    beside[-1:] = False
+    beside[:-1] = inside[1:]
+    return starts, np.flatnonzero(inside & (~beside | border[1:])) + 1
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return spans(~_SPACE[data], offsets)
+
+
+class SpanHasher:
+    """Hashes of any byte ranges of ``data`` after one pass over it."""
+
+    def __init__(self, data: np.ndarray):
+        self._inverse = _powers("byte", len(data) + 1)[1]
+        self._sums = _sums(_CHARS[data], "byte")
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * self._inverse[starts])
+
+
 def hashed_words(texts: pa.Array, lower: bool = False) -> Words:
     """Words of every text; ``lower`` folds A-Z."""
     data, offsets = text_bytes(texts)
     if lower:
         data = LOWER[data]
-    inside = ~_SPACE[data]
-    border = np.zeros(len(data) + 1, bool)
-    border[offsets] = True
-    before = np.empty(len(data), bool)
-    before[:1] = False
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | border[:-1]))
-    after = np.empty(len(data), bool)
-    after[-1:] = False
-    after[:-1] = inside[1:]
-    ends = np.flatnonzero(inside & (~after | border[1:])) + 1
-    sums = _sums(_CHARS[data], "byte")
-    hashes = mix((sums[ends] - sums[starts]) * _powers("byte", len(data) + 1)[1][starts])
-    return Words(hashes, np.searchsorted(starts, offsets))
+    starts, ends = word_spans(data, offsets)
+    return Words(SpanHasher(data)(starts, ends), np.searchsorted(starts, offsets))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -133,3 +149,14 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 def signed(values: np.ndarray) -> np.ndarray:
     """64-bit hashes as the signed integers that Spark stores."""
     return values.view(np.int64)
+
+
+def column_of(function, returns: str):
+    """A column function of texts from ``function(texts) -> pa.Array``, which gets pieces of bounded size."""
+
+    @arrow_udf(returns)
+    def run(texts: pa.Array) -> pa.Array:
+        whole = pa.record_batch({"text": texts})
+        return pa.concat_arrays([function(piece.column("text")) for piece in pieces(iter([whole]))])
+
+    return run
