@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,8 +14,9 @@ from timberline import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tests",
-        "local[8]",
+        f"local[{os.environ.get('TEST_CPUS', '8')}]",
         **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.sql.maxMetadataStringLength": "2000"},
+        **{"spark.checkpoint.dir": f"file://{tempfile.mkdtemp(prefix='tests-')}"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -8,7 +8,12 @@ from timberline.operators import lifecycle as L
 
 NOW = dt.datetime(2026, 5, 12, 12)
 DAY, HOUR = dt.timedelta(days=1), dt.timedelta(hours=1)
-NAMES = [part.split()[0] for part in L.CATALOG_DDL.replace("array<string>", "array").split(", ")]
+DDL = (
+    "id string, state string, time_start timestamp_ntz, time_end timestamp_ntz, row_count bigint, size_bytes bigint, "
+    "size_compressed bigint, local_path string, remote_url string, archive_ref string, parquet_sha256 string, "
+    "sources array<string>, sealed_at timestamp_ntz, archived_at timestamp_ntz, rehydrated_at timestamp_ntz, evict_after timestamp_ntz"
+)
+NAMES = [part.split()[0] for part in DDL.replace("array<string>", "array").split(", ")]
 
 
 def catalog(spark, rows):
@@ -18,7 +23,7 @@ def catalog(spark, rows):
                     local_path="/x", sealed_at=NOW - 2 * DAY, sources=[])
         base.update(row)
         filled.append(tuple(base.get(n) for n in NAMES))
-    return spark.createDataFrame(filled, L.CATALOG_DDL)
+    return spark.createDataFrame(filled, DDL)
 
 
 def plan(spark, rows, **policy):
@@ -172,9 +177,21 @@ def test_audit(spark):
     assert {(r.segment_id, r.finding) for r in L.audit_archive(objects, ids=some).collect()} == {("b", "mismatch"), ("d", "dangling")}
 
 
-def test_archive_reference(spark):
-    texts = ["REF=one\nx\nREF= two \r\nend", "note REF=no", "", "REF="]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    assert [r[0] for r in df.orderBy("i").select(L.archive_ref_of(F.col("t"), "REF=")).collect()] == ["two", "", "", ""]
-    cat = catalog(spark, [dict(id="b", remote_url="u", time_end=NOW), dict(id="a", archive_ref="r"), dict(id="c", archive_ref="")])
-    assert [r.id for r in L.archived_segments(cat).collect()] == ["a", "b"]
+def test_restore_by_id_and_from_manifests(spark):
+    known = [
+        dict(id="a", state="archived", archive_ref="x", local_path=None),
+        dict(id="b", state="lost", archive_ref="x", local_path=None),
+        dict(id="c", state="rehydrated", local_path="/c", row_count=3),
+    ]
+    chosen = L.restore_candidates(catalog(spark, known), segments=["a", "b", "c", "none"])
+    assert sorted(r.id for r in chosen.collect()) == ["a", "c"]
+    with pytest.raises(ValueError):
+        L.restore_candidates(catalog(spark, known))
+    manifests = spark.createDataFrame(
+        [(i, NOW, NOW, 7, 70, 60, "sha", ["s"]) for i in ("a", "c")],
+        "segment_id string, time_start timestamp, time_end timestamp, row_count bigint, size_bytes bigint, "
+        "size_compressed bigint, parquet_sha256 string, source_names array<string>",
+    )
+    got = {r.id: r for r in L.apply_restore(chosen, NOW, dt.timedelta(days=1), False, "/r", manifests).collect()}
+    assert (got["a"].row_count, got["a"].size_compressed, got["a"].parquet_sha256, got["a"].sources) == (7, 60, "sha", ["s"])
+    assert (got["c"].row_count, got["c"].parquet_sha256, got["c"].local_path) == (3, None, "/c")

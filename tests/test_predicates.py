@@ -149,7 +149,9 @@ def test_time_range_and_presets(logs):
         P.time_range("2026-05-01", "2026-05-12", max_span=dt.timedelta(days=7))
     now = dt.datetime(2026, 5, 12, 12)
     assert TF.preset_range("15m", now) == (now - dt.timedelta(minutes=15), now)
-    assert TF.preset_range("?", now) == TF.preset_range("1h", now)
+    assert TF.preset_range(None, now) == TF.preset_range("1h", now)
+    with pytest.raises(ValueError):
+        TF.preset_range("?", now)
     assert TF.preset_range("custom", now, "2026-05-01T00:00", "2026-05-02T01:00:00+01:00") == (
         dt.datetime(2026, 5, 1),
         dt.datetime(2026, 5, 2),

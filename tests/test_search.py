@@ -53,7 +53,9 @@ def test_page_walk_covers_every_row_once(logs, sort):
 
 def test_limits_and_checks(logs):
     assert S.search(logs).count() == 100
-    assert S.page_limit(None) == 100 and S.page_limit(-1) == 100 and S.page_limit(5000) == 1000
+    assert S.page_limit(None) == 100 and S.page_limit(5000) == 5000
+    with pytest.raises(ValueError):
+        S.page_limit(0)
     for bad in ([("message", "asc")], [("timestamp", "up")]):
         with pytest.raises(ValueError):
             S.search(logs, sort=bad)
@@ -68,8 +70,11 @@ def test_counts(logs):
     assert tuple(S.count_capped(logs, guard=101).first()) == (100, False, 100)
     assert tuple(S.count_capped(logs, guard=251).first()) == (250, True, None)
     assert tuple(S.count_capped(logs, guard=250).first()) == (249, False, 249)
-    assert S.count_until(logs, 101) == (100, False)
-    assert S.count_until(logs, 300) == (250, True)
+    days = logs.withColumn("dt", F.to_date("timestamp"))
+    low, high = (str(t) for t in logs.agg(F.min("timestamp"), F.max("timestamp")).first())
+    ask = dict(day="dt", start=low, end=high, max_span=None)
+    assert S.count_newest(days, guard=101, **ask) == (100, False)
+    assert S.count_newest(days, guard=300, **ask) == (250, True)
 
 
 def test_shape(logs):

@@ -109,24 +109,89 @@ def test_archive_keys_and_copy_plan(spark):
     assert {(r.segment_id, r.kind) for r in store.parse_archive_keys(keys).collect()} == {("1", "parquet"), ("1", "manifest")}
 
 
-def test_archive_copy_touches_only_planned_segments(spark, logs, sealed, tmp_path):
+def objects_of(path):
+    return {f[len(path) :]: (os.stat(f).st_mtime_ns, open(f, "rb").read()) for f in glob.glob(f"{path}/**/segment-*", recursive=True)}
+
+
+def test_archive_holds_the_sealed_bytes_and_all_manifests(spark, sealed, tmp_path):
+    """Half of the segments, then the rest, then one spoilt copy again: nothing else is touched."""
     path = str(tmp_path / "archive")
     manifests = store.seal_manifests(spark, sealed)
     segs = manifests.select(F.col("segment_id").alias("id"), "time_start", "parquet_sha256")
     nothing = spark.createDataFrame([], "segment_id string, sha string")
-    store.write_archive(logs, manifests, path, store.copy_plan(segs, nothing))
+    ids = sorted(r.id for r in segs.collect())
+    half = segs.filter(F.col("id").isin(ids[::2]))
+    store.write_archive(spark, sealed, manifests, path, store.copy_plan(half, nothing))
+    first = objects_of(path)
+    assert sum(k.endswith(".manifest.json") for k in first) == len(ids[::2])
+
+    there = store.archive_objects(spark, path).filter("kind = 'parquet'")
+    done = store.write_archive(spark, sealed, manifests, path, store.copy_plan(segs, there)).collect()
+    assert {r.segment_id for r in done if r.copied} == set(ids[1::2])
+    second = objects_of(path)
+    assert all(second[k] == v for k, v in first.items() if k.endswith(".parquet"))
     valid, rejected = store.read_archive_manifests(spark, path)
-    assert valid.count() == manifests.count() and rejected.count() == 0
-    before = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/data/dt=*/*/*.parquet")}
-    assert store.read_store(spark, f"{path}/data").count() == 30_000
-
-    redo = sorted(r.id for r in segs.collect())[3]
-    remote = segs.select(F.col("id").alias("segment_id"), F.when(F.col("id") == redo, "bad").otherwise(F.col("parquet_sha256")).alias("sha"))
-    store.write_archive(logs, manifests, path, store.copy_plan(segs, remote))
-    after = {f: os.stat(f).st_mtime_ns for f in glob.glob(f"{path}/data/dt=*/*/*.parquet")}
-    changed = {f for f in set(before) ^ set(after)} | {f for f in before if after.get(f) != before[f]}
-    assert changed and all(f"segment_id={redo}" in f for f in changed)
-    assert store.read_store(spark, f"{path}/data").select(logs.columns).exceptAll(logs).count() == 0
+    assert sorted(r.segment_id for r in valid.collect()) == ids and rejected.count() == 0
+    sealed_bytes = sorted(open(f, "rb").read() for f in glob.glob(f"{sealed}/dt=*/*/*.parquet"))
+    assert sorted(v[1] for k, v in second.items() if k.endswith(".parquet")) == sealed_bytes
+    assert any(".part-" in k for k in second)  # the hot segment has several files
+
+    listed = store.list_archive(spark, path)
+    assert {r.segment_id for r in listed.collect()} == set(ids)
+    objects = store.archive_objects(spark, path)
+    assert L.audit_archive(objects, segs.withColumn("archive_ref", F.lit("x"))).count() == 0
+    spoilt = next(k for k in second if k.endswith(".parquet") and ".part-" not in k)
+    with open(path + spoilt, "ab") as file:
+        file.write(b"x")
+    found = L.audit_archive(store.archive_objects(spark, path)).collect()
+    assert [(r.finding, r.segment_id in spoilt) for r in found] == [("mismatch", True)]
+    there = store.archive_objects(spark, path).filter("kind = 'parquet'")
+    store.write_archive(spark, sealed, manifests, path, store.copy_plan(segs, there))
+    third = objects_of(path)
+    assert {k for k in third if k.endswith(".parquet") and third[k][0] != second[k][0]} == {spoilt}
+    assert third[spoilt][1] == second[spoilt][1]
+
+
+def test_archive_refuses_a_copy_that_differs(spark, sealed, tmp_path):
+    path = str(tmp_path / "archive")
+    manifests = store.seal_manifests(spark, sealed).withColumn("parquet_sha256", F.lit("00"))
+    with pytest.raises(ValueError, match="differ"):
+        store.write_archive(spark, sealed, manifests, path)
+    assert not any(k.endswith(".manifest.json") for k in objects_of(path))
+
+
+def test_segment_pruning_reads_one_segment(spark, sealed):
+    start, end = "2026-05-12T05:10:00Z", "2026-05-12T05:50:00Z"
+    rows = store.read_store(spark, sealed, start, end, "1h")
+    files = rows.select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+    assert files and all("segment_id=202605120500" in r.f for r in files)
+    whole = store.read_store(spark, sealed).filter(P.time_range(start, end))
+    assert rows.filter(P.time_range(start, end)).count() == whole.count() > 0
+
+
+def test_closed_windows_are_sealed_and_retired(spark, logs, tmp_path):
+    hot, path = str(tmp_path / "hot"), str(tmp_path / "sealed")
+    store.seal(logs, hot, "1h")
+    now = "2026-05-12T10:00:30Z"  # the window from 09:00 is still in its grace
+    rows = store.seal_closed(spark, hot, path, now, "1h").collect()
+    assert {r.id for r in rows} == {f"20260512{h:02d}00" for h in range(9)} and {r.state for r in rows} == {"sealed"}
+    left, done = store.read_store(spark, hot), store.read_store(spark, path)
+    assert left.count() + done.count() == 30_000 and sum(r.row_count for r in rows) == done.count()
+    assert left.filter("segment_id < '202605120900'").isEmpty()
+    assert store.seal_closed(spark, hot, path, now, "1h").collect() == []
+    late = logs.filter("event_id < 3").withColumn("event_id", F.col("event_id") + 100_000)
+    store.seal(late, hot, "1h", replace="segments")
+    again = store.seal_closed(spark, hot, path, now, "1h").collect()
+    assert [r.id for r in again] == sorted({r.id for r in again}) and store.read_store(spark, path).count() == done.count()
+    store.seal(late, hot, "1h", replace="segments")  # a run that failed before it removed the hot files
+    store.seal_closed(spark, hot, path, now, "1h")
+    assert store.read_store(spark, path).filter("event_id >= 100000").count() == 3
+
+
+def test_unsupported_encodings_are_refused(spark, tmp_path):
+    (tmp_path / "a.txt.bz2").write_bytes(b"x")
+    with pytest.raises(ValueError, match="encoding"):
+        N.read_lines(spark, str(tmp_path))
 
 
 def test_import_drop_zone(spark, logs, tmp_path):

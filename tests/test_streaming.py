@@ -5,13 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from timberline.functions import predicates as P
-from timberline.operators.segments import place_events
+from timberline.operators.segments import place_events, window_stats
 from timberline.schema import LogSchema
 from timberline.sources.ndjson import stream_lines
 from timberline.sources.store import read_store
 from timberline.streaming import ingest as I
 from timberline.streaming import live as V
-from timberline.streaming.ratecap import cap_rate_stream, stateful_settings
+from timberline.streaming.deltas import finish
+from timberline.streaming.ratecap import cap_rate_stream, read_capped
 
 T0 = dt.datetime(2026, 5, 12)
 DDL = "event_id bigint, timestamp timestamp_ntz, service string, level string, message string, host string, source string, attributes string, raw string"
@@ -54,15 +55,15 @@ def test_cap_holds_across_batches_and_floods(spark, tmp_path):
     batches = [rows(0, 30), rows(1000, 2000, 0.001, "info"), rows(5000, 40)]
     for batch in batches:
         feed.add(batch)
-        with stateful_settings(spark):
-            I.run_to_parquet(cap_rate_stream(V.fan_out(feed.stream(), subs), cap=7, salts=3), out, offsets)
-    got = spark.read.parquet(out).groupBy("subscription", "window_start").count().collect()
+        finish(cap_rate_stream(V.fan_out(feed.stream(), subs), out, offsets, cap=7, available_now=True))
+    passed = read_capped(V.fan_out(feed.stream(), subs), out)
+    got = passed.groupBy("subscription", "window_start").count().collect()
     assert all(r["count"] <= 7 for r in got)
     matched = V.fan_out(spark.read.schema(DDL).parquet(feed.path), subs)
     want = {(r.subscription, r.window_start): (r.delivered, r.dropped) for r in V.drop_stats(matched, 7).collect()}
     assert {(r.subscription, r.window_start): r["count"] for r in got} == {k: v[0] for k, v in want.items()}
     assert sum(a + b for a, b in want.values()) == matched.count()
-    first = spark.read.parquet(out).filter("event_id < 1000 and subscription = 'errors'")
+    first = passed.filter("event_id < 1000 and subscription = 'errors'")
     plain = V.cap_rate(V.fan_out(spark.createDataFrame(batches[0], DDL), subs[1:]), 7)
     assert {r.event_id for r in first.collect()} == {r.event_id for r in plain.collect()}
 
@@ -94,12 +95,40 @@ def test_ingest_is_exactly_once_over_restarts(spark, tmp_path):
     assert all(r.n <= 2 for r in files)
 
 
-def test_closed_windows_are_reported_once(spark, tmp_path):
+def test_statistics_count_late_rows(spark, tmp_path):
+    """Batches out of order, one of them run twice: sums equal the rows that came in."""
     feed = Feed(spark, tmp_path)
     out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
-    for batch in (rows(0, 10, 1000), rows(100, 12, 1000), rows(200, 1, 1)):
+    subs = [V.Subscription("all", text="m")]
+    for batch in (rows(200, 30, 1000), rows(0, 10, 1000), rows(100, 12, 1000)):
         feed.add(batch)
-        I.run_to_parquet(I.window_stats(feed.stream(), "1h", LogSchema()), out, offsets)
-    got = spark.read.parquet(out).orderBy("id").collect()
-    assert [r.id for r in got] == sorted({r.id for r in got}) and got[0].id == "202605120000"
-    assert all(r.time_end < T0 + dt.timedelta(seconds=11_000 - 60) for r in got)
+        finish(I.write_window_stats(feed.stream(), f"{out}/stats", f"{offsets}/stats", "1h", LogSchema(), available_now=True))
+        finish(V.write_match_counts(V.fan_out(feed.stream(), subs), f"{out}/n", f"{offsets}/n", 3600, available_now=True))
+    for name in ("2", ".2.crc"):  # the driver was lost before it noted the last batch
+        os.remove(f"{offsets}/stats/commits/{name}")
+    finish(I.write_window_stats(feed.stream(), f"{out}/stats", f"{offsets}/stats", "1h", LogSchema(), available_now=True))
+    everything = spark.read.schema(DDL).parquet(feed.path)
+    got = {r.id: (r.row_count, r.sources) for r in I.read_window_stats(spark, f"{out}/stats").collect()}
+    assert got == {r.id: (r.row_count, r.sources) for r in window_stats(everything, "1h").collect()}
+    drops = V.read_drop_stats(spark, f"{out}/n", 3)
+    assert drops.agg(F.sum(F.col("delivered") + F.col("dropped"))).first()[0] == everything.count() == 52
+    want = V.drop_stats(V.fan_out(everything, subs), 3, 3600)
+    assert sorted(map(tuple, drops.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_stream_that_takes_too_long_raises(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.add(rows(0, 5))
+    slow = feed.stream().withColumn("x", F.expr("java_method('java.lang.Thread', 'sleep', 5000L)"))
+    with pytest.raises(TimeoutError):
+        I.run_to_parquet(slow, str(tmp_path / "out"), str(tmp_path / "offsets"), timeout=1)
+
+
+def test_intake_is_observed(spark, tmp_path):
+    source = tmp_path / "lines"
+    source.mkdir()
+    (source / "a.ndjson").write_text('{"a":1}\njunk\n\n{"b":2}\n[1]')
+    lines = I.observe_intake(stream_lines(spark, str(source)))
+    query = lines.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    finish(query, 60)
+    assert [(a, s) for _, a, s in I.intake_counts(query)] == [(2, 2)]

@@ -237,19 +237,35 @@ def _as_number(value: Any) -> float | None:
     return None
 
 
+# Sign, leading zeros, digits, and a fraction of zeros.
+INTEGER = r"^([+-]?)0*([0-9]+?)(?:\.0*)?$"
+
+
+def _integer_text(value: Any) -> str | None:
+    """Sign and digits of an integer literal in plain form, None for other literals."""
+    found = re.fullmatch(INTEGER, text_of(value)) if isinstance(value, (int, str)) else None
+    if not found:
+        return None
+    return ("-" if found[1] == "-" and found[2] != "0" else "") + found[2]
+
+
 def _attribute_equals(col: Column, value: Any, exact: bool) -> Column:
     """Numeric equality for a number (42, "42" and 42.0 agree), else text equality.
 
-    NULL for a missing value, false for a value that is no number. The decimal
-    test keeps integers beyond 2^53 apart, which a double cannot.
+    NULL for a missing value, false for a value that is no number. An integer is
+    compared by its digits, so integers of any length stay apart, which doubles
+    would not keep; a value in exponent form is compared as a double.
     """
     text = text_of(value)
     number = _as_number(value)
     if number is None:
         return col == F.lit(text) if exact else F.lower(col) == F.lit(text.lower())
     equal = number_of(col) == F.lit(number)
-    if 2**53 <= abs(number) < 1e27:
-        equal = equal & (col.try_cast("decimal(38,10)") == F.lit(text).try_cast("decimal(38,10)"))
+    digits = _integer_text(value)
+    if digits is not None:
+        plain = F.regexp_extract(col, INTEGER, 2)
+        minus = F.when((F.regexp_extract(col, INTEGER, 1) == "-") & (plain != "0"), F.lit("-")).otherwise(F.lit(""))
+        equal = F.when(col.rlike(INTEGER), F.concat(minus, plain) == F.lit(digits)).otherwise(equal)
     return F.coalesce(equal, F.when(col.isNotNull(), F.lit(False)))
 
 

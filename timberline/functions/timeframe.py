@@ -45,13 +45,15 @@ def time_literal(value: Any, ntz: bool = True) -> Column:
 def preset_range(
     name: str | None, now: Any, start: Any = None, end: Any = None
 ) -> tuple[dt.datetime, dt.datetime]:
-    """Absolute range of a preset ending at ``now``; unknown names mean the last hour."""
+    """Absolute range of a preset ending at ``now``; no name means the last hour."""
     if name == "custom":
         if start is None or end is None:
             raise ValueError("a custom range needs a start and an end")
         return parse_time(start), parse_time(end)
+    if name and name not in PRESETS:
+        raise ValueError(f"unknown time range {name!r}")
     upper = parse_time(now)
-    return upper - PRESETS.get(name or "1h", PRESETS["1h"]), upper
+    return upper - PRESETS[name or "1h"], upper
 
 
 def width_seconds(width: str | int | dt.timedelta) -> int:

@@ -15,10 +15,6 @@ from timberline.schema import LogSchema
 DEFAULT_CAP = 50
 DEFAULT_SAMPLE = 24
 
-# Spark keeps only the best rows of each task before it shuffles a ranking, for
-# limits up to spark.sql.optimizer.windowGroupLimitThreshold (default 1000).
-_RANK_PUSHDOWN = 1000
-
 
 @dataclass(frozen=True)
 class Facet:
@@ -28,6 +24,10 @@ class Facet:
     label: str | None = None
     value_type: str = "string"
 
+    def __post_init__(self) -> None:
+        if self.cap <= 0:
+            raise ValueError(f"cap of facet {self.name!r} must be positive")
+
 
 # The facets that always exist, with their caps.
 BUILTIN = (
@@ -85,19 +85,21 @@ def facet_counts(
 
 
 def _caps(facets: Sequence[Facet]) -> Column:
-    caps = {f.name: f.cap if f.cap > 0 else DEFAULT_CAP for f in facets}
+    caps = {f.name: f.cap for f in facets}
     return F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])[F.col("facet")]
 
 
 def top_values(counts: DataFrame, facets: Sequence[Facet] = BUILTIN) -> DataFrame:
-    """Best ``cap`` values per facet by count, ties by value; adds ``rank`` and ``cap``."""
-    largest = max((f.cap if f.cap > 0 else DEFAULT_CAP) for f in facets)
+    """Best ``cap`` values per facet by count, ties by value; adds ``rank`` and ``cap``.
+
+    Every facet is thinned in value-hash groups first, as many as there are
+    shuffle partitions, so no task sees all values of a facet, whatever its cap.
+    """
+    largest = max(f.cap for f in facets)
     order = [F.col("count").desc(), F.col("value").asc()]
-    if largest > _RANK_PUSHDOWN:
-        # Thin every facet in value-hash groups first: no task sees a whole facet.
-        group = F.pmod(F.xxhash64("value"), F.lit(256))
-        within = Window.partitionBy("facet", group).orderBy(*order)
-        counts = counts.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= largest).drop("_r")
+    groups = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    within = Window.partitionBy("facet", F.pmod(F.xxhash64("value"), F.lit(groups))).orderBy(*order)
+    counts = counts.withColumn("_r", F.row_number().over(within)).filter(F.col("_r") <= largest).drop("_r")
     place = Window.partitionBy("facet").orderBy(*order)
     return (
         counts.withColumn("rank", F.row_number().over(place))
@@ -144,29 +146,31 @@ def recent_segments(
     readable = overlapping(segments, start, end).filter(
         (F.col("state") == "active") | F.col("local_path").isNotNull()
     )
-    n = sample if sample > 0 else DEFAULT_SAMPLE
-    return readable.orderBy(F.col("time_start").desc(), F.col("id").desc()).limit(n).select("id")
+    if sample <= 0:
+        raise ValueError("sample must be positive")
+    return readable.orderBy(F.col("time_start").desc(), F.col("id").desc()).limit(sample).select("id")
 
 
 def sample_rows(df: DataFrame, segment: Column, segments: DataFrame) -> DataFrame:
-    """Rows of the sampled segments (a limited id list, so the broadcast is bounded)."""
-    ids = F.broadcast(segments.select(F.col("id").alias("_sampled")))
-    return df.join(ids, segment == F.col("_sampled"), "left_semi")
+    """Rows of the sampled segments; Spark broadcasts the ids only where they are few."""
+    return df.join(segments.select(F.col("id").alias("_sampled")), segment == F.col("_sampled"), "left_semi")
 
 
 def suggest_values(
     df: DataFrame, field: str, partial: str = "", maximum: int = 10, schema: LogSchema = LogSchema()
 ) -> DataFrame:
-    """Most frequent values of a field that contain ``partial``.
+    """The ``maximum`` most frequent values of a field among those that contain ``partial``.
 
-    The cap (``maximum + 1``) is applied before the text filter.
+    One partial aggregate and a per-task top-k.
     """
-    spec = Facet("suggest", field, maximum + 1)
-    best = top_values(facet_counts(df, [spec], schema), [spec])
-    needle = partial.lower()
-    if needle:
-        best = best.filter(F.contains(F.lower("value"), F.lit(needle)))
-    return best.orderBy("rank").limit(maximum).select("value", "count")
+    if maximum <= 0:
+        raise ValueError("maximum must be positive")
+    value = facet_value(field, schema)
+    rows = df.select(value.alias("value"))
+    if partial:
+        rows = rows.filter(F.contains(F.lower("value"), F.lit(partial.lower())))
+    counts = rows.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+    return counts.orderBy(F.col("count").desc(), F.col("value").asc()).limit(maximum)
 
 
 # --- facet definitions -------------------------------------------------------

@@ -1,12 +1,13 @@
 """Retention, archive, restore, import and audit jobs over the segment catalog.
 
-Everything takes and returns catalog rows (``CATALOG_COLUMNS``); ``now`` is
+Everything takes and returns rows of the catalog, one per segment; ``now`` is
 always an argument, so a plan can be repeated.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
@@ -21,14 +22,6 @@ LOCAL_STATES = ("sealed", "archived", "rehydrated")
 PROTECTED = dt.timedelta(hours=1)
 RESTORE_BYTES_PER_SECOND = 50 * 1024 * 1024
 
-CATALOG_DDL = (
-    "id string, state string, time_start timestamp_ntz, time_end timestamp_ntz, row_count bigint, "
-    "size_bytes bigint, size_compressed bigint, local_path string, remote_url string, archive_ref string, "
-    "manifest_sha256 string, parquet_sha256 string, sources array<string>, created_at timestamp_ntz, "
-    "sealed_at timestamp_ntz, archived_at timestamp_ntz, rehydrated_at timestamp_ntz, evict_after timestamp_ntz"
-)
-
-
 @dataclass(frozen=True)
 class RetentionPolicy:
     max_age: dt.timedelta | None = None
@@ -185,12 +178,19 @@ def archive_candidates(
     return ready.filter(F.col("time_end") < time_literal(parse_time(now) - older_than, _ntz(catalog)))
 
 
-def restore_candidates(catalog: DataFrame, start: Any, end: Any) -> DataFrame:
-    """Segments of a range that can be made local, with ``already_local``."""
+def restore_candidates(
+    catalog: DataFrame, start: Any = None, end: Any = None, segments: Sequence[str] | None = None
+) -> DataFrame:
+    """Segments of a range, or the given ones, that can be made local, with ``already_local``."""
     ntz = _ntz(catalog)
-    if parse_time(end) <= parse_time(start):
-        raise ValueError("end of the time range must be after its start")
-    found = overlapping(catalog, time_literal(start, ntz), time_literal(end, ntz))
+    if (start is None) == (segments is None) or (start is None) != (end is None):
+        raise ValueError("give a time range or segment ids")
+    if segments is not None:
+        found = catalog.filter((F.col("state") != "lost") & F.col("id").isin(list(segments)))
+    else:
+        if parse_time(end) <= parse_time(start):
+            raise ValueError("end of the time range must be after its start")
+        found = overlapping(catalog, time_literal(start, ntz), time_literal(end, ntz))
     already = (F.col("state") == "rehydrated") & F.coalesce(_present("local_path"), F.lit(False))
     return found.withColumn("already_local", already).filter(F.col("already_local") | _archive_copy(catalog))
 
@@ -206,9 +206,18 @@ def restore_estimate(candidates: DataFrame) -> DataFrame:
 
 
 def apply_restore(
-    candidates: DataFrame, now: Any, ttl: dt.timedelta, persistent: bool, local_root: str
+    candidates: DataFrame,
+    now: Any,
+    ttl: dt.timedelta,
+    persistent: bool,
+    local_root: str,
+    manifests: DataFrame | None = None,
 ) -> DataFrame:
-    """Catalog rows after a restore; local ones only get a new expiry."""
+    """Catalog rows after a restore; local ones only get a new expiry.
+
+    With ``manifests`` a restored row takes its rows, sizes, checksum, time bounds and
+    sources from its manifest, which is what describes the copy that was restored.
+    """
     ntz = _ntz(candidates)
     expiry = F.lit(None).cast("timestamp_ntz" if ntz else "timestamp")
     if not persistent:
@@ -223,7 +232,19 @@ def apply_restore(
         changed["rehydrated_at"] = F.when(F.col("already_local"), F.col("rehydrated_at")).otherwise(
             time_literal(now, ntz)
         )
-    return candidates.withColumns(changed)
+    restored = candidates.withColumns(changed)
+    if manifests is None:
+        return restored
+    stated = {**{c: c for c in ("row_count", "size_bytes", "size_compressed", "parquet_sha256", "time_start", "time_end")}, "sources": "source_names"}
+    stated = {c: m for c, m in stated.items() if c in candidates.columns}
+    read = manifests.select(F.col("segment_id").alias("_segment"), *[F.col(m).alias(f"_{c}") for c, m in stated.items()])
+    fresh = ~F.col("already_local") & F.col("_segment").isNotNull()
+    return restored.join(read, F.col("id") == F.col("_segment"), "left").select(
+        *[
+            F.when(fresh, F.col(f"_{c}").cast(candidates.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c in stated else F.col(c)
+            for c in restored.columns
+        ]
+    )
 
 
 def expired(catalog: DataFrame, now: Any) -> DataFrame:
@@ -256,13 +277,6 @@ def archived_segments(catalog: DataFrame) -> DataFrame:
     return catalog.filter(_archive_copy(catalog)).orderBy(F.col("time_end").asc(), F.col("id").asc())
 
 
-def archive_ref_of(output: Column, marker: str = "ARCHIVE_REF=") -> Column:
-    """Reference a copy tool printed: the text after its last marker line."""
-    lines = F.filter(F.split(output, "\n"), lambda line: F.startswith(line, F.lit(marker)))
-    last = F.try_element_at(lines, F.lit(-1))
-    return F.coalesce(F.trim(F.regexp_replace(F.substr(last, F.lit(len(marker) + 1)), r"\r+$", "")), F.lit(""))
-
-
 def audit_archive(objects: DataFrame, catalog: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
     """Findings over an object listing (``key, segment_id, kind, sha``).
 

@@ -26,6 +26,7 @@ class SearchRequest:
     cursor: dict[str, Any] | None = None
     facets: Sequence[FC.Facet] = field(default_factory=tuple)
     max_span: dt.timedelta | None = S.MAX_SPAN
+    count_guard: int | None = None
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ class SearchResult:
     schema: LogSchema
 
     def rows(self) -> tuple[list[Row], dict[str, Any] | None]:
-        """The page (at most ``MAX_LIMIT`` rows) in order, and the next cursor."""
+        """The page (at most ``limit`` rows) in order, and the next cursor."""
         rows = self.page.orderBy(*S.sort_order(self.sort, self.schema)).collect()
         return rows, S.next_cursor(rows, self.sort, self.schema)
 
@@ -48,7 +49,8 @@ class SearchResult:
 def run(
     df: DataFrame, request: SearchRequest, schema: LogSchema = LogSchema(), segment: Column | None = None
 ) -> SearchResult:
-    """Answer a request. Facets and count ignore the cursor; ``segment`` (the id of
+    """Answer a request. Facets and count ignore the cursor; the count is exact unless
+    ``count_guard`` caps it; ``segment`` (the id of
     a row's segment) adds the segments read and the facets' sample hits."""
     schema = schema.bind(df)
     ask = dict(start=request.start, end=request.end, where=request.where, text=request.text, max_span=request.max_span)
@@ -58,7 +60,7 @@ def run(
     )
     return SearchResult(
         page=page,
-        count=S.count_capped(found),
+        count=S.count_rows(found) if request.count_guard is None else S.count_capped(found, request.count_guard),
         facets=FC.facet_report(found, request.facets, schema, segment) if request.facets else None,
         stats=S.query_stats(page, segment) if segment is not None else None,
         sort=request.sort,

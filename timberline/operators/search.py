@@ -17,7 +17,6 @@ from timberline.operators.ordering import with_prefix
 from timberline.schema import EVENT_COLUMNS, LogSchema
 
 DEFAULT_LIMIT = 100
-MAX_LIMIT = 1000
 MAX_SPAN = dt.timedelta(days=7)
 COUNT_GUARD = 10_001
 
@@ -64,7 +63,12 @@ def sort_order(sort: SortKeys | None, schema: LogSchema = LogSchema()) -> list[C
 
 
 def page_limit(limit: int | None) -> int:
-    return DEFAULT_LIMIT if not limit or limit <= 0 else min(limit, MAX_LIMIT)
+    """The caller's limit as it is; ``DEFAULT_LIMIT`` if none is given."""
+    if limit is None:
+        return DEFAULT_LIMIT
+    if limit <= 0:
+        raise ValueError("limit must be positive")
+    return limit
 
 
 def _constant(name: str, value: Any, schema: LogSchema) -> Column:
@@ -138,7 +142,7 @@ def search_page(
     schema = schema.bind(df)
     n = page_limit(limit)
     rows = _first(df, schema, start, end, where, text, sort, n + 1, cursor, max_span)
-    # At most MAX_LIMIT + 1 rows are left, so one task is enough here.
+    # One page and a row: what the caller asked to have in one place.
     place = Window.orderBy(*sort_order(sort, schema))
     whole = Window.partitionBy(F.lit(1))
     return (
@@ -183,19 +187,53 @@ def count_capped(df: DataFrame, guard: int = COUNT_GUARD) -> DataFrame:
     )
 
 
-def count_until(df: DataFrame, guard: int = COUNT_GUARD) -> tuple[int, bool]:
-    """Interactive capped count: starts with one split and widens only while
-    short of ``guard`` matches, so a frequent term touches few files."""
-    seen = len(df.select(F.lit(1).alias("_one")).take(guard))
-    return (guard - 1, False) if seen >= guard else (seen, True)
-
+def count_newest(
+    df: DataFrame,
+    day: str,
+    schema: LogSchema = LogSchema(),
+    start: Any = None,
+    end: Any = None,
+    where: P.Node | None = None,
+    text: str | Iterable[str] | None = None,
+    guard: int = COUNT_GUARD,
+    max_span: dt.timedelta | None = MAX_SPAN,
+) -> tuple[int, bool]:
+    """Capped count over a store partitioned by event date (column ``day``): the number of
+    matches and whether it is exact.
 
-def query_stats(result: DataFrame, segment: Column) -> DataFrame:
-    """Rows returned and segments they came from."""
-    return result.agg(
+    Reads from the newest day backwards, each time four times as many days, and stops as
+    soon as ``guard`` matches are met; a frequent term touches few files, and nothing but one
+    count leaves a task.
+    """
+    rows = matching(df, schema.bind(df), start, end, where, text, max_span)
+    low, newest = parse_time(start).date(), parse_time(end).date()
+    seen, days, upto = 0, 4, newest
+    while True:
+        oldest = max(newest - dt.timedelta(days=days - 1), low)
+        part = rows.filter((F.col(day) >= F.lit(oldest)) & (F.col(day) <= F.lit(upto)))
+        seen += part.agg(F.count(F.lit(1))).first()[0]
+        if seen >= guard:
+            return guard - 1, False
+        if oldest == low:
+            return seen, True
+        days, upto = days * 4, oldest - dt.timedelta(days=1)
+
+
+def query_stats(result: DataFrame, segment: Column, scanned: DataFrame | None = None) -> DataFrame:
+    """Rows returned and segments they came from; with ``scanned``, the rows the search had to
+    look at (the pruned table before its filters), ``rows_scanned`` too."""
+    stats = result.agg(
         F.count(F.lit(1)).alias("rows_returned"),
         F.countDistinct(segment).alias("segments_read"),
     )
+    if scanned is None:
+        return stats
+    looked = scanned.agg(F.count(F.lit(1)).alias("rows_scanned"))
+    zero = F.lit(0).cast("bigint")
+    both = stats.select("*", zero.alias("rows_scanned")).unionByName(
+        looked.select(zero.alias("rows_returned"), zero.alias("segments_read"), "rows_scanned")
+    )
+    return both.agg(*[F.sum(c).alias(c) for c in ("rows_returned", "segments_read", "rows_scanned")])
 
 
 def shape_events(df: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:

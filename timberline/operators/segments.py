@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.functions.timeframe import (
-    floor_to,
     parse_time,
     seconds_interval,
     segment_id,
@@ -21,8 +22,9 @@ from timberline.functions.timeframe import (
 from timberline.schema import LogSchema
 
 SEAL_GRACE = dt.timedelta(seconds=60)
+# Bucket lengths of an overlap join: 64 s, then sixteen times as long up to more than all time.
+_LEVEL_MICROS = tuple(min(64_000_000 * 16**k, 2**62) for k in range(10))
 DEFAULT_LIST_LIMIT = 100
-MAX_LIST_LIMIT = 1000
 
 
 def with_segment(df: DataFrame, width: Any, schema: LogSchema = LogSchema(), name: str = "segment_id") -> DataFrame:
@@ -147,6 +149,34 @@ def reconcile(active_files: DataFrame, sealed_files: DataFrame, catalog: DataFra
     )
 
 
+def apply_reconcile(catalog: DataFrame, found: DataFrame, stats: DataFrame, now: Any) -> DataFrame:
+    """The catalog after ``reconcile`` (``found``).
+
+    Files the catalog does not know become rows with their statistics (``stats``: ``id, row_count,
+    time_start, time_end, sources`` of the stored rows); segments whose file is gone are lost
+    and have no local path any more. An id that is no window start is left out: such a file is not ours.
+    Columns of the catalog that a new row cannot fill are null.
+    """
+    from timberline.functions.timeframe import segment_start
+
+    ntz = str(catalog.schema["time_start"].dataType) == "TimestampNTZType()"
+    actions = found.select(F.col("id").alias("_id"), "action")
+    gone = F.coalesce(F.col("action") == "mark_lost", F.lit(False))
+    changed = {"state": F.when(gone, "lost").otherwise(F.col("state"))}
+    if "local_path" in catalog.columns:
+        changed["local_path"] = F.when(~gone, F.col("local_path"))
+    kept = catalog.join(actions, F.col("id") == F.col("_id"), "left").withColumns(changed).select(*catalog.columns)
+    new = found.filter(F.col("action").isin("register_sealed", "register_active") & segment_start(F.col("id"), ntz).isNotNull())
+    state = F.when(F.col("action") == "register_sealed", "sealed").otherwise("active")
+    rows = new.select("id", state.alias("state"), F.col("action").alias("_action")).join(stats, "id", "left")
+    if "sealed_at" in catalog.columns:
+        rows = rows.withColumn("sealed_at", F.when(F.col("state") == "sealed", time_literal(now, ntz)))
+    for field in catalog.schema.fields:
+        if field.name not in rows.columns:
+            rows = rows.withColumn(field.name, F.lit(None).cast(field.dataType))
+    return kept.unionByName(rows.select(*[F.col(f.name).cast(f.dataType) for f in catalog.schema.fields]))
+
+
 def overlapping(segments: DataFrame, start: Column, end: Column) -> DataFrame:
     """Segments that touch ``[start, end]``; lost ones hold no data."""
     return segments.filter(
@@ -157,44 +187,59 @@ def overlapping(segments: DataFrame, start: Column, end: Column) -> DataFrame:
 def overlap_join(
     left: DataFrame,
     right: DataFrame,
-    bucket_seconds: int = 3600,
     bounds: tuple[str, str] = ("time_start", "time_end"),
     prefix: str = "right_",
 ) -> DataFrame:
     """Pairs of rows whose closed intervals intersect.
 
-    Every interval is listed under each fixed bucket it touches and the sides
-    meet by equality on the bucket: a hash or sort-merge join that AQE can split
-    when one bucket is hot, instead of a nested loop. A pair that shares several
-    buckets is kept only in the bucket where the later interval starts. Buckets
-    should be about as long as the shorter intervals: rows are compared only
-    inside a bucket, and a long interval is listed once per bucket.
+    Intervals have levels by their length, each with buckets sixteen times as long as the level
+    below, from a minute to beyond the range of timestamps. On its own level and above an
+    interval touches two buckets at most, so it is listed a few times, whether it lasts seconds
+    or centuries. Two intervals meet on the level of the longer one, by equality on the bucket:
+    a hash or sort-merge join that AQE can split when a bucket is hot, instead of a
+    nested loop. A pair is kept in the bucket where the later interval starts.
+
+    The rows of one bucket are compared with each other. That suits segments, of which
+    few share a time; it is not meant for events.
     """
     lo, hi = bounds
-    ntz = str(left.schema[lo].dataType) == "TimestampNTZType()"
 
-    def bucket_of(c: Column) -> Column:
-        return (F.unix_micros(floor_to(c, bucket_seconds, ntz).cast("timestamp")) / 1_000_000).cast("bigint")
+    def micros(c: Column) -> Column:
+        return F.unix_micros(c.cast("timestamp"))
+
+    def bucket(at: Column, width: Column) -> Column:
+        return F.floor((at - F.pmod(at, width)) / width).cast("bigint")
+
+    widths = F.array(*[F.lit(w).cast("bigint") for w in _LEVEL_MICROS])
 
     def spread(df: DataFrame) -> DataFrame:
-        first, last = bucket_of(F.col(lo)), bucket_of(F.col(hi))
-        return df.filter(F.col(lo) <= F.col(hi)).withColumn(
-            "_bucket", F.explode(F.sequence(first, last, F.lit(bucket_seconds).cast("bigint")))
-        )
+        first, last = micros(F.col(lo)), micros(F.col(hi))
+        own = reduce(add, [(last - first > F.lit(w)).cast("int") for w in _LEVEL_MICROS[:-1]])
+
+        def places(level: Column) -> Column:
+            width = F.element_at(widths, level + 1)
+            one = F.struct(level.alias("level"), bucket(first, width).alias("bucket"))
+            two = F.struct(level.alias("level"), bucket(last, width).alias("bucket"))
+            return F.array_distinct(F.array(one, two))
+
+        listed = F.flatten(F.transform(F.sequence(own, F.lit(len(_LEVEL_MICROS) - 1)), places))
+        return df.filter(F.col(lo) <= F.col(hi)).withColumns({"_own": own, "_place": F.explode(listed)})
 
     a = spread(left)
     b = spread(right.select([F.col(c).alias(prefix + c) for c in right.columns]).withColumns(
         {lo: F.col(prefix + lo), hi: F.col(prefix + hi)}
-    )).drop(lo, hi)
-    later_start = F.greatest(F.col(lo), F.col(prefix + lo))
+    )).drop(lo, hi).withColumnRenamed("_own", "_other")
+    later_start = micros(F.greatest(F.col(lo), F.col(prefix + lo)))
+    level = F.greatest("_own", "_other")
     return (
-        a.join(b, "_bucket")
+        a.join(b, "_place")
         .filter(
             (F.col(lo) <= F.col(prefix + hi))
             & (F.col(prefix + lo) <= F.col(hi))
-            & (F.col("_bucket") == bucket_of(later_start))
+            & (F.col("_place.level") == level)
+            & (F.col("_place.bucket") == bucket(later_start, F.element_at(widths, level + 1)))
         )
-        .drop("_bucket")
+        .drop("_place", "_own", "_other")
     )
 
 
@@ -223,7 +268,7 @@ def list_segments(
     page = kept.orderBy(F.col("time_start").desc(), F.col("id").desc())
     if offset:
         page = page.offset(offset)
-    return page.limit(min(limit, MAX_LIST_LIMIT)), kept.agg(F.count(F.lit(1)).alias("total"))
+    return page.limit(limit), kept.agg(F.count(F.lit(1)).alias("total"))
 
 
 def totals_by_state(segments: DataFrame) -> DataFrame:

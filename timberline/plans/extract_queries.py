@@ -75,6 +75,31 @@ _CTES = [T.NDJSON, T.LINES, T.DOCS, _FIELDS]
 _LEVEL = f"coalesce({_KNOWN}, 'info')"
 
 
+_RESIDUAL = (
+    "SELECT event_id, e.key AS key, CAST(e.value AS VARCHAR) AS value FROM fields, json_each(j) e WHERE e.key NOT IN "
+    "(coalesce(p_ts, ''), coalesce(p_level, ''), coalesce(p_message, ''), coalesce(p_service, ''), coalesce(p_host, ''))"
+)
+_MARKERS = (
+    "SELECT event_id, 'ingest_timestamp_fallback' AS key, 'true' AS value FROM fields WHERE f_ts IS NULL UNION ALL "
+    "SELECT event_id, 'ingest_level_fallback', 'true' FROM fields WHERE f_level IS NULL UNION ALL "
+    f"SELECT event_id, 'ingest_level_original', concat('\"', f_level, '\"') FROM fields WHERE {_KNOWN} <> f_level UNION ALL "
+    "SELECT event_id, 'ingest_level_unrecognized', concat('\"', f_level, '\"') FROM fields "
+    f"WHERE f_level IS NOT NULL AND {_KNOWN} IS NULL"
+)
+# All entries of an event's attributes as one sorted text, and what gives it for a row of fields.
+ATTRS = (
+    "attrs AS (SELECT event_id, string_agg(entry, ';' ORDER BY entry) AS attributes FROM (SELECT event_id, "
+    f"concat(key, '=', value) AS entry FROM ({_RESIDUAL} UNION ALL {_MARKERS})) GROUP BY 1)"
+)
+ATTRIBUTES = "coalesce((SELECT a.attributes FROM attrs a WHERE a.event_id = fields.event_id), '')"
+
+
+def entries_text(attributes):
+    """The entries of an attributes text, sorted, as one comparable text."""
+    entries = F.map_entries(F.try_parse_json(attributes).try_cast("map<string,variant>"))
+    return F.array_join(F.array_sort(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.to_json(e["value"])))), ";")
+
+
 def _sql(body: str) -> str:
     return T.with_ctes(body, *_CTES)
 
@@ -162,7 +187,7 @@ def _entries(markers: bool):
 
 
 def _full(spark, sf):
-    return _events(spark, sf).drop("attributes")
+    return _events(spark, sf).withColumn("attributes", entries_text("attributes"))
 
 
 def _counts(spark, sf):
@@ -223,20 +248,14 @@ CASES = [
     Case("ext_message", _columns("message"), _sql("SELECT event_id, nullif(f_message, '') AS message FROM fields")),
     Case("ext_service_host", _columns("service", "host"), _sql(
         "SELECT event_id, f_service AS service, f_host AS host FROM fields")),
-    Case("ext_residual", _entries(False), _sql(
-        "SELECT event_id, e.key AS key, CAST(e.value AS VARCHAR) AS value FROM fields, json_each(j) e WHERE e.key NOT IN "
-        "(coalesce(p_ts, ''), coalesce(p_level, ''), coalesce(p_message, ''), coalesce(p_service, ''), coalesce(p_host, ''))")),
-    Case("ext_markers", _entries(True), _sql(
-        "SELECT event_id, 'ingest_timestamp_fallback' AS key, 'true' AS value FROM fields WHERE f_ts IS NULL UNION ALL "
-        "SELECT event_id, 'ingest_level_fallback', 'true' FROM fields WHERE f_level IS NULL UNION ALL "
-        f"SELECT event_id, 'ingest_level_original', concat('\"', f_level, '\"') FROM fields WHERE {_KNOWN} <> f_level UNION ALL "
-        "SELECT event_id, 'ingest_level_unrecognized', concat('\"', f_level, '\"') FROM fields "
-        f"WHERE f_level IS NOT NULL AND {_KNOWN} IS NULL")),
+    Case("ext_residual", _entries(False), _sql(_RESIDUAL)),
+    Case("ext_markers", _entries(True), _sql(_MARKERS)),
     Case("ext_nulls", _columns("service", "message", "host", "raw"), _sql(
         "SELECT event_id, f_service AS service, nullif(f_message, '') AS message, f_host AS host, line AS raw FROM fields")),
-    Case("ext_full", _full, _sql(
+    Case("ext_full", _full, T.with_ctes(
         f"SELECT event_id, coalesce(f_ts, TIMESTAMP '2024-02-01') AS timestamp, f_service AS service, {_LEVEL} AS level, "
-        "nullif(f_message, '') AS message, f_host AS host, 'app' AS source, line AS raw FROM fields")),
+        f"nullif(f_message, '') AS message, f_host AS host, 'app' AS source, {ATTRIBUTES} AS attributes, line AS raw "
+        "FROM fields", *_CTES, ATTRS)),
     Case("ext_nested_paths", _nested, T.with_ctes(
         "SELECT event_id, timestamp, json_extract_string(raw, '$.event_type') AS service, CASE json_extract_string(raw, "
         "'$.event_type') WHEN 'error' THEN 'error' ELSE 'info' END AS level, json_extract_string(raw, '$.props.k') AS message, "

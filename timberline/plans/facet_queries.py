@@ -93,8 +93,7 @@ def _sampled(spark, sf):
 
 
 def _sample_hits(spark, sf):
-    rows = _sampled_rows(spark, sf).filter(F.col("message").startswith("error by user 1"))
-    return FC.facet_report(rows, _ALL, segment=F.col("segment_id")).select("facet", "value", "count", "sample_segments")
+    return FC.facet_report(_sampled_rows(spark, sf), _ALL, segment=F.col("segment_id")).select("facet", "value", "count", "sample_segments")
 
 
 _SAMPLE_CTES = [
@@ -110,8 +109,7 @@ _SAMPLE_CTES = [
 
 def _hits_sql() -> str:
     scans = " UNION ALL ".join(
-        f"SELECT '{f.name}' AS facet, {f.cap} AS cap, {_value_sql(f.field)} AS value, segment_id FROM sampled "
-        "WHERE starts_with(message, 'error by user 1')"
+        f"SELECT '{f.name}' AS facet, {f.cap} AS cap, {_value_sql(f.field)} AS value, segment_id FROM sampled"
         for f in _ALL
     )
     return T.with_ctes(
@@ -201,9 +199,9 @@ def _suggest_attr(spark, sf):
 
 def _suggest_sql(value: str, where: str, needle: str, maximum: int) -> str:
     return T.with_ctes(
-        f"SELECT value, count FROM (SELECT * FROM (SELECT {value} AS value, count(*) AS count FROM logs WHERE {where} "
-        f"AND {value} IS NOT NULL GROUP BY 1) ORDER BY count DESC, value LIMIT {maximum + 1}) "
-        f"WHERE contains(lower(value), '{needle}') ORDER BY count DESC, value LIMIT {maximum}",
+        f"SELECT value, count FROM (SELECT {value} AS value, count(*) AS count FROM logs WHERE {where} "
+        f"AND {value} IS NOT NULL GROUP BY 1) WHERE contains(lower(value), '{needle}') "
+        f"ORDER BY count DESC, value LIMIT {maximum}",
         T.LOGS,
     )
 

@@ -177,6 +177,13 @@ CASES = [
         T.mixed,
         "mixed",
     ),
+    _case(
+        "flt_attr_big_integer",
+        P.any_of(P.leaf("attributes.n", "eq", 2**53 + 1), P.leaf("attributes.n", "eq", str(10**27 + 1)), P.leaf("attributes.n", "eq", -7)),
+        "event_id % 7 IN (1, 3, 4, 5)",
+        T.big,
+        "logs",
+    ),
     _case(
         "flt_attr_not_in",
         P.leaf("attributes.k", "not_in", [42, "7", "N/A", None]),

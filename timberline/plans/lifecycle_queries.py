@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from timberline.operators import lifecycle as L
 from timberline.operators.segments import window_stats, with_segment
+from timberline.plans import storage_queries as SQ
 from timberline.plans import tables as T
 from timberline.plans.tables import Case
+from timberline.session import scratch_path
 from timberline.sources import store
 
 _AGE = dt.timedelta(days=20)
@@ -46,7 +49,8 @@ def _size(spark, sf):
 
 
 def _protected(spark, sf):
-    return T.segs(spark, sf).select("id", "state", "sealed_at", L.is_protected(T.NOW).alias("protected"))
+    """An hour in which one sealed segment was just written and others long before or later."""
+    return T.segs(spark, sf).select("id", "state", "sealed_at", L.is_protected("2024-01-30T06:30:00Z").alias("protected"))
 
 
 def _candidates(spark, sf):
@@ -107,6 +111,26 @@ def _restore(spark, sf):
     return L.restore_candidates(T.segs(spark, sf), "2024-01-06T00:00:00Z", "2024-01-19T09:00:00Z")
 
 
+def _restore_ids(spark, sf):
+    ids = [f"202401{day:02d}{hour:02d}00" for day in range(2, 20) for hour in (0, 12)] + ["never"]
+    return L.restore_candidates(T.segs(spark, sf), segments=ids).select("id", "state", "already_local")
+
+
+def _restore_manifest(spark, sf):
+    """A catalog whose figures are stale, restored from the manifests of a real store."""
+    manifests = SQ.sealed_manifests(spark, sf)
+    stale = _restore(spark, sf).withColumns({"row_count": F.lit(-1).cast("bigint"), "parquet_sha256": F.lit("stale")})
+    rows = L.apply_restore(stale, T.NOW, _TTL, False, "/data/rehydrated", manifests)
+    known = manifests.select(F.col("segment_id").alias("id"), F.col("parquet_sha256").alias("_sha"), F.col("size_compressed").alias("_size"))
+    return rows.join(known, "id").select(
+        "id",
+        "row_count",
+        F.array_join("sources", ",").alias("sources"),
+        (F.col("parquet_sha256") == F.col("_sha")).alias("own_checksum"),
+        (F.col("size_compressed") == F.col("_size")).alias("own_size"),
+    )
+
+
 def _restore_select(spark, sf):
     return _restore(spark, sf).select("id", "state", "already_local", "size_bytes")
 
@@ -132,47 +156,69 @@ def _evict_apply(spark, sf):
     )
 
 
+def _broken_archive(spark, sf):
+    """A real archive of all segments of the log table, some data or manifests removed and some data spoilt."""
+    path = SQ.archived(spark, sf)
+    number = T.segs(spark, sf).select(F.col("id").alias("segment_id"), "n")
+    objects = store.list_archive(spark, path).join(number, "segment_id")
+    n, data = F.col("n"), F.col("kind") == "parquet"
+    fate = F.when(data & (n % 7 == 3), "remove").when(~data & (n % 11 == 5), "remove").when(data & (n % 13 == 2), "spoil")
+    for key, what in objects.select("key", fate.alias("fate")).where("fate is not null").collect():
+        system, name = store.open_uri(key)
+        if what == "remove":
+            system.delete_file(name)
+        else:
+            with system.open_output_stream(name) as out:
+                out.write(b"PAR1 spoilt PAR1")
+    return path
+
+
 def _audit(spark, sf):
-    return L.audit_archive(T.objs(spark, sf), T.segs(spark, sf)).select("segment_id", "finding")
+    objects = store.archive_objects(spark, _broken_archive(spark, sf))
+    return L.audit_archive(objects, T.segs(spark, sf)).select("segment_id", "finding")
 
 
 def _audit_ids(spark, sf):
+    path = _broken_archive(spark, sf)
     wanted = T.segs(spark, sf).filter(F.col("time_start") < F.lit("2024-01-15").cast("timestamp_ntz"))
-    return L.audit_archive(T.objs(spark, sf), ids=wanted).select("segment_id", "finding", "data_key", "manifest_key")
+    found = L.audit_archive(store.archive_objects(spark, path), ids=wanted)
+    name = {c: F.regexp_extract(c, "(segments/.*)$", 1) for c in ("data_key", "manifest_key")}
+    return found.withColumns(name).select("segment_id", "finding", "data_key", "manifest_key")
 
 
 def _checksum(spark, sf):
-    objects = T.objs(spark, sf)
-    files = objects.filter(F.col("kind") == "parquet").select("segment_id", F.col("sha").alias("sha256"))
-    manifests = objects.filter(F.col("kind") == "manifest").select("segment_id", F.col("sha").alias("parquet_sha256"))
-    return L.checksum_mismatches(files, manifests)
-
-
-def _imports(spark, sf):
-    """Eight-hour segments offered for import; some broken in one way or another."""
-    stats = window_stats(T.logs(spark, sf), "8h").withColumn("sha", F.sha2(F.col("id"), 256))
-    size = F.col("row_count")
-    manifest = F.struct(
-        F.when(size % 11 == 0, F.lit(2)).otherwise(F.lit(1)).alias("manifest_version"),
-        F.col("id").alias("segment_id"),
-        F.col("time_start"),
-        F.col("time_end"),
-        F.col("row_count"),
-        (size * 100).alias("size_bytes"),
-        (size * 9).alias("size_compressed"),
-        F.array(F.lit("events")).alias("source_names"),
-        F.concat(F.lit("segment-"), F.col("id"), F.lit(".parquet")).alias("parquet_filename"),
-        F.when(size % 7 == 0, F.lit("0")).otherwise(F.upper("sha")).alias("parquet_sha256"),
-        (size % 3 == 0).alias("persistent"),
-    )
-    return stats.select(
-        "id",
-        F.when(size % 13 == 0, F.lit(4)).otherwise(size * 9).cast("bigint").alias("length"),
-        F.lit("PAR1").alias("head"),
-        F.when(size % 5 == 0, F.lit("xxxx")).otherwise(F.lit("PAR1")).alias("tail"),
-        F.col("sha").alias("sha256"),
-        manifest.alias("manifest"),
-    )
+    path = _broken_archive(spark, sf)
+    data = store.list_archive(spark, path).filter(F.col("kind") == "parquet").select(F.col("key").alias("path"), "length", "segment_id")
+    files = store.checksums(data).join(data.select("path", "segment_id"), "path")
+    return L.checksum_mismatches(files, store.read_manifests(spark, path)[0]).select("segment_id")
+
+
+def _drop_zone(spark, sf):
+    """Real eight-hour segments offered for import; some are broken in one way or another."""
+    path = SQ.archived(spark, sf, "8h")
+    zone = scratch_path(spark, "drop")
+    system, root = store.open_uri(zone)
+    system.create_dir(root)
+    rows = {r.id: r.row_count for r in window_stats(T.logs(spark, sf), "8h").collect()}
+    for key, segment, kind in store.list_archive(spark, path).select("key", "segment_id", "kind").collect():
+        files, name = store.open_uri(key)
+        with files.open_input_stream(name) as stream:
+            content = stream.read()
+        size = rows[segment]
+        if kind == "parquet":
+            content = content[:4] if size % 13 == 0 else content[:-4] + b"xxxx" if size % 5 == 0 else content
+        else:
+            document = json.loads(content)
+            document["manifest_version"] = 2 if size % 11 == 0 else 1
+            document["parquet_sha256"] = "0" if size % 7 == 0 else document["parquet_sha256"].upper()
+            content = json.dumps(document).encode()
+        ending = ".parquet" if kind == "parquet" else ".manifest.json"
+        with system.open_output_stream(f"{root}/segment-{segment}{ending}") as out:
+            out.write(content)
+        if kind == "parquet" and size % 17 != 0:
+            with system.open_output_stream(f"{root}/segment-{segment}.ready") as out:
+                out.write(b"")
+    return zone
 
 
 _IMPORTS = """imports AS (SELECT *, CASE WHEN row_count % 13 = 0 THEN 'file too small'
@@ -180,17 +226,41 @@ _IMPORTS = """imports AS (SELECT *, CASE WHEN row_count % 13 = 0 THEN 'file too
     WHEN row_count % 7 = 0 THEN 'checksum mismatch'
     WHEN id IN (SELECT id FROM segs) THEN 'segment already exists' END AS error
   FROM (SELECT strftime(time_bucket(INTERVAL '8 hours', timestamp), '%Y%m%d%H%M') AS id, count(*) AS row_count,
-    min(timestamp) AS time_start, max(timestamp) AS time_end FROM logs GROUP BY 1))"""
+    min(timestamp) AS time_start, max(timestamp) AS time_end FROM logs GROUP BY 1) WHERE row_count % 17 <> 0)"""
+_ALL_IMPORTS = _IMPORTS.replace(" WHERE row_count % 17 <> 0", "")
+
+
+def _validated(spark, sf):
+    return store.validate_imports(store.read_imports(spark, _drop_zone(spark, sf)), T.segs(spark, sf))
+
+
+def _import_ready(spark, sf):
+    ready = store.ready_imports(store.list_folder(spark, _drop_zone(spark, sf)))
+    return ready.select("stem", *[F.regexp_extract(c, "([^/]*)$", 1).alias(c) for c in ("data", "manifest")])
 
 
 def _import_validate(spark, sf):
-    return store.validate_imports(_imports(spark, sf), T.segs(spark, sf)).select("id", "error")
+    return _validated(spark, sf).select(F.regexp_extract("stem", "segment-(.*)", 1).alias("id"), "error")
+
+
+def _import_writes(spark, sf):
+    """What lies in the folder of accepted imports and in the quarantine."""
+    good, bad = scratch_path(spark, "accepted"), scratch_path(spark, "quarantine")
+    store.write_imports(_validated(spark, sf), good, bad)
+    stem = F.regexp_extract("stem", "segment-(.*)", 1).alias("id")
+    reason = F.lit(None).cast("string").alias("error")
+    return spark.read.json(good).select(stem, reason).unionAll(spark.read.json(bad).select(stem, "error"))
 
 
 def _import_rows(spark, sf):
-    accepted, _ = store.split_imports(store.validate_imports(_imports(spark, sf), T.segs(spark, sf)))
+    accepted, _ = store.split_imports(_validated(spark, sf))
     rows = L.imported_rows(accepted.select("manifest.*"), T.NOW, _TTL, False, "/data/rehydrated")
-    return rows.withColumn("sources", F.array_join("sources", ","))
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("time_start", "time_end", "rehydrated_at", "evict_after")}
+    return rows.withColumns(times).select(
+        "id", "state", "time_start", "time_end", "row_count", "local_path", F.array_join("sources", ",").alias("sources"),
+        "rehydrated_at", "evict_after", (F.col("size_bytes") == F.col("size_compressed")).alias("sized"),
+        F.length("parquet_sha256").alias("checksum_length"),
+    )
 
 
 def _import_overlap(spark, sf):
@@ -201,18 +271,11 @@ def _archived(spark, sf):
     return L.archived_segments(T.segs(spark, sf)).select("id", "time_end", "archive_ref")
 
 
-def _archive_ref(spark, sf):
-    lines = F.concat(
-        F.lit("copying\nREF="), F.col("id"), F.lit("-a\n note REF=no\nREF= "), F.col("id"), F.lit("-b \r\ndone")
-    )
-    text = F.when(F.col("row_count") % 3 == 0, F.lit("no marker\n")).otherwise(lines)
-    return T.segs(spark, sf).select("id", L.archive_ref_of(text, "REF=").alias("ref"))
-
-
 CASES = [
     Case("lif_age", _age, _sql(f"SELECT id, state, time_end FROM local WHERE {_OLD} AND NOT {_KEEP}", _LOCAL)),
     Case("lif_size", _size, _sql("SELECT id FROM over_size WHERE large", _LOCAL, _FREED)),
-    Case("lif_protected", _protected, _sql(f"SELECT id, state, sealed_at, {_KEEP} AS protected FROM segs")),
+    Case("lif_protected", _protected, _sql("SELECT id, state, sealed_at, state = 'sealed' AND sealed_at > "
+        "TIMESTAMP '2024-01-30 05:30:00' AS protected FROM segs")),
     Case("lif_candidates", _candidates, _sql("SELECT id, state, time_end, size_bytes FROM local", _LOCAL)),
     Case(
         "lif_decide",
@@ -279,7 +342,7 @@ CASES = [
         _restore_select,
         _sql(
             "SELECT id, state, state = 'rehydrated' AS already_local, size_bytes FROM segs WHERE "
-            "time_start <= TIMESTAMP '2024-01-19 09:00:00' AND time_end >= TIMESTAMP '2024-01-06' AND "
+            "time_start <= TIMESTAMP '2024-01-19 09:00:00' AND time_end >= TIMESTAMP '2024-01-06' AND state <> 'lost' AND "
             "(state = 'rehydrated' OR archive_ref IS NOT NULL)"
         ),
     ),
@@ -289,7 +352,7 @@ CASES = [
         _sql(
             "SELECT count(*) AS segments, CAST(sum(size_bytes) * 10000 AS BIGINT) AS total_bytes, "
             "CAST(greatest(1, sum(size_bytes) * 10000 // 52428800) AS BIGINT) AS seconds FROM segs WHERE "
-            "time_start <= TIMESTAMP '2024-01-19 09:00:00' AND time_end >= TIMESTAMP '2024-01-06' AND "
+            "time_start <= TIMESTAMP '2024-01-19 09:00:00' AND time_end >= TIMESTAMP '2024-01-06' AND state <> 'lost' AND "
             "(state = 'rehydrated' OR archive_ref IS NOT NULL)"
         ),
     ),
@@ -300,7 +363,7 @@ CASES = [
             "SELECT id, 'rehydrated' AS state, CASE WHEN state = 'rehydrated' THEN local_path ELSE "
             "concat('/data/rehydrated/segment-', id, '.parquet') END AS local_path, TIMESTAMP '2024-02-03' AS evict_after "
             "FROM segs WHERE time_start <= TIMESTAMP '2024-01-19 09:00:00' AND time_end >= TIMESTAMP '2024-01-06' AND "
-            "(state = 'rehydrated' OR archive_ref IS NOT NULL)"
+            "state <> 'lost' AND (state = 'rehydrated' OR archive_ref IS NOT NULL)"
         ),
     ),
     Case(
@@ -335,8 +398,9 @@ CASES = [
         _audit_ids,
         _sql(
             "SELECT id AS segment_id, CASE WHEN n % 11 = 5 THEN 'orphan' WHEN n % 7 = 3 THEN 'dangling' ELSE 'mismatch' END "
-            "AS finding, CASE WHEN n % 7 <> 3 THEN concat('segments/segment-', id, '.parquet') END AS data_key, CASE WHEN "
-            "n % 11 <> 5 THEN concat('segments/segment-', id, '.manifest.json') END AS manifest_key FROM segs WHERE "
+            "AS finding, CASE WHEN n % 7 <> 3 THEN concat(strftime(time_start, 'segments/%Y/%m/%d/%H/segment-'), id, '.parquet') END "
+            "AS data_key, CASE WHEN n % 11 <> 5 THEN concat(strftime(time_start, 'segments/%Y/%m/%d/%H/segment-'), id, "
+            "'.manifest.json') END AS manifest_key FROM segs WHERE "
             "time_start < TIMESTAMP '2024-01-15' AND NOT (n % 7 = 3 AND n % 11 = 5) AND "
             "(n % 11 = 5 OR n % 7 = 3 OR n % 13 = 2)"
         ),
@@ -345,20 +409,48 @@ CASES = [
         "lif_checksum",
         _checksum,
         _sql(
-            "SELECT d.segment_id, m.sha AS expected, d.sha AS found FROM objs d JOIN objs m USING (segment_id) "
-            "WHERE d.kind = 'parquet' AND m.kind = 'manifest' AND d.sha <> m.sha",
-            T.OBJS,
+            "SELECT id AS segment_id FROM segs WHERE n % 13 = 2 AND n % 7 <> 3 AND n % 11 <> 5"
+        ),
+    ),
+    Case(
+        "src_import_ready",
+        _import_ready,
+        _sql(
+            "SELECT concat('segment-', id) AS stem, concat('segment-', id, '.parquet') AS data, "
+            "concat('segment-', id, '.manifest.json') AS manifest FROM imports",
+            _IMPORTS,
         ),
     ),
+    Case(
+        "lif_rehydrate_ids",
+        _restore_ids,
+        _sql(
+            "SELECT id, state, state = 'rehydrated' AS already_local FROM segs WHERE strftime(window_start, '%H') IN ('00', '12') "
+            "AND window_start >= TIMESTAMP '2024-01-02' AND window_start < TIMESTAMP '2024-01-20' AND state <> 'lost' AND "
+            "(state = 'rehydrated' OR archive_ref IS NOT NULL)"
+        ),
+    ),
+    Case(
+        "lif_rehydrate_manifest",
+        _restore_manifest,
+        _sql(
+            "SELECT id, CASE WHEN state = 'rehydrated' THEN -1 ELSE row_count END AS row_count, CASE WHEN state = "
+            "'rehydrated' THEN coalesce(array_to_string(sources, ','), '') ELSE 'events' END AS sources, "
+            "state <> 'rehydrated' AS own_checksum, CASE WHEN state <> 'rehydrated' THEN true WHEN n % 2 = 1 THEN false END "
+            "AS own_size FROM segs WHERE time_start <= TIMESTAMP '2024-01-19 09:00:00' AND time_end >= TIMESTAMP '2024-01-06' "
+            "AND state <> 'lost' AND (state = 'rehydrated' OR archive_ref IS NOT NULL)"
+        ),
+    ),
+    Case("lif_import_writes", _import_writes, _sql("SELECT id, error FROM imports", _IMPORTS)),
     Case("lif_import_validate", _import_validate, _sql("SELECT id, error FROM imports", _IMPORTS)),
     Case(
         "lif_import_rows",
         _import_rows,
         _sql(
-            "SELECT id, 'rehydrated' AS state, time_start, time_end, row_count, row_count * 100 AS size_bytes, "
-            "row_count * 9 AS size_compressed, concat('/data/rehydrated/segment-', id, '.parquet') AS local_path, "
-            "upper(sha256(id)) AS parquet_sha256, 'events' AS sources, TIMESTAMP '2024-01-31' AS rehydrated_at, "
-            "CASE WHEN row_count % 3 <> 0 THEN TIMESTAMP '2024-02-03' END AS evict_after FROM imports WHERE error IS NULL",
+            "SELECT id, 'rehydrated' AS state, time_start, time_end, row_count, "
+            "concat('/data/rehydrated/segment-', id, '.parquet') AS local_path, 'events' AS sources, "
+            "TIMESTAMP '2024-01-31' AS rehydrated_at, TIMESTAMP '2024-02-03' AS evict_after, true AS sized, "
+            "64 AS checksum_length FROM imports WHERE error IS NULL",
             _IMPORTS,
         ),
     ),
@@ -368,7 +460,7 @@ CASES = [
         _sql(
             "SELECT i.id, s.id AS existing_id FROM imports i JOIN segs s ON i.time_start <= s.time_end AND "
             "s.time_start <= i.time_end AND i.id <> s.id WHERE s.state <> 'lost'",
-            _IMPORTS,
+            _ALL_IMPORTS,
         ),
     ),
     Case(
@@ -376,9 +468,4 @@ CASES = [
         _archived,
         _sql("SELECT id, time_end, archive_ref FROM segs WHERE archive_ref IS NOT NULL"),
     ),
-    Case(
-        "lif_archive_ref",
-        _archive_ref,
-        _sql("SELECT id, CASE WHEN row_count % 3 = 0 THEN '' ELSE concat(id, '-b') END AS ref FROM segs"),
-    ),
 ]

@@ -72,8 +72,7 @@ def _has_more(spark, sf):
 
 
 def _all_pages(spark, sf):
-    rows = S.matching(T.logs(spark, sf), where=P.leaf("level", "in", ["error", "warn"]))
-    return S.paginate(rows.select("event_id", "timestamp", "level"), 100).select(
+    return S.paginate(T.logs(spark, sf).select("event_id", "timestamp", "level"), 100).select(
         "event_id", "timestamp", "row_no", "page"
     )
 
@@ -92,7 +91,7 @@ def _count_exact(spark, sf):
 
 def _stats(spark, sf):
     rows = S.search(T.logs(spark, sf), where=P.leaf("service", "eq", "web"), limit=300)
-    return S.query_stats(rows, segment_id(window_start(F.col("timestamp"), T.WIDTH)))
+    return S.query_stats(rows, segment_id(window_start(F.col("timestamp"), T.WIDTH)), T.logs(spark, sf))
 
 
 def _shape(spark, sf):
@@ -140,7 +139,7 @@ CASES = [
     Case(
         "qry_limit",
         _limit,
-        T.with_ctes(f"SELECT {COLS} FROM logs ORDER BY timestamp DESC, event_id DESC LIMIT 1000", T.LOGS),
+        T.with_ctes(f"SELECT {COLS} FROM logs ORDER BY timestamp DESC, event_id DESC LIMIT 5000", T.LOGS),
     ),
     Case(
         "qry_topk",
@@ -179,8 +178,7 @@ CASES = [
         _all_pages,
         T.with_ctes(
             "SELECT event_id, timestamp, row_no, (row_no + 99) // 100 AS page FROM (SELECT event_id, timestamp, "
-            "row_number() OVER (ORDER BY timestamp DESC, event_id DESC) AS row_no FROM logs "
-            "WHERE level IN ('error', 'warn'))",
+            "row_number() OVER (ORDER BY timestamp DESC, event_id DESC) AS row_no FROM logs)",
             T.LOGS,
         ),
     ),
@@ -209,8 +207,8 @@ CASES = [
         "qry_stats",
         _stats,
         T.with_ctes(
-            "SELECT count(*) AS rows_returned, count(DISTINCT time_bucket(INTERVAL '6 hours', timestamp)) AS segments_read "
-            "FROM (SELECT timestamp FROM logs WHERE service = 'Web' ORDER BY timestamp DESC, event_id DESC LIMIT 300)",
+            "SELECT count(*) AS rows_returned, count(DISTINCT time_bucket(INTERVAL '6 hours', timestamp)) AS segments_read, "
+            "CAST((SELECT count(*) FROM logs) AS BIGINT) AS rows_scanned FROM (SELECT timestamp FROM logs WHERE service = 'Web' ORDER BY timestamp DESC, event_id DESC LIMIT 300)",
             T.LOGS,
         ),
     ),

@@ -41,8 +41,8 @@ def _stats(spark, sf):
 
 
 def _empty(spark, sf):
-    stats = SG.window_stats(T.logs(spark, sf).filter(F.col("level") == "error"), "1h")
-    return SG.empty_windows(stats, "2023-12-31T12:30:00Z", "2024-02-01T00:00:00Z", "1h")
+    stats = SG.window_stats(T.logs(spark, sf), "5m")
+    return SG.empty_windows(stats, "2023-12-31T12:30:00Z", "2024-02-01T00:00:00Z", "5m")
 
 
 def _reconcile_inputs(spark, sf):
@@ -75,6 +75,18 @@ def _overlap_join(spark, sf):
     )
 
 
+def _levels(spark, sf):
+    """The catalog, each segment's end moved by a second, an hour, ... up to centuries."""
+    seconds = F.pow(F.lit(60.0), F.col("n") % 6).cast("bigint")
+    end = F.col("time_end").cast("timestamp") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return T.segs(spark, sf).select("id", "time_start", end.cast("timestamp_ntz").alias("time_end"))
+
+
+def _overlap_levels(spark, sf):
+    pairs = SG.overlap_join(_levels(spark, sf), _eight_hours(spark, sf))
+    return pairs.select("id", F.col("right_id").alias("import_id"))
+
+
 def _list(spark, sf):
     page, _ = SG.list_segments(
         T.segs(spark, sf),
@@ -112,14 +124,11 @@ def _archive_key(spark, sf):
     )
 
 
-def _archive_listing(spark, sf):
-    keyed = T.objs(spark, sf).withColumn("key", F.concat(F.lit("archive/"), F.col("key")))
-    return store.parse_archive_keys(keyed.select("key")).select("key", "segment_id", "kind")
-
-
 def _copy_plan(spark, sf):
-    remote = T.objs(spark, sf).filter(F.col("kind") == "manifest").select("segment_id", "sha")
-    local = T.segs(spark, sf).filter(F.col("local_path").isNotNull())
+    rows, n = T.segs(spark, sf), F.col("n")
+    sha = F.when(n % 13 == 2, F.sha2("parquet_sha256", 256)).otherwise(F.col("parquet_sha256"))
+    remote = rows.filter(n % 11 != 5).select(F.col("id").alias("segment_id"), sha.alias("sha"))
+    local = rows.filter(F.col("local_path").isNotNull())
     return store.copy_plan(local, remote, "cold").select("id", "data_action", "data_key", "manifest_key")
 
 
@@ -157,22 +166,6 @@ _MANIFEST_SQL = """SELECT id, CASE WHEN error IS NULL THEN id END AS segment_id,
     WHEN n % 5 = 1 THEN 'missing time bounds' END AS error FROM segs)"""
 
 
-def _ready(spark, sf):
-    n = F.col("n")
-    names = F.array_compact(
-        F.array(
-            F.when(n % 7 != 3, ".parquet"),
-            F.when(n % 11 != 5, ".manifest.json"),
-            F.when(n % 3 != 0, ".ready"),
-            F.when(n % 4 == 0, ".tmp"),
-        )
-    )
-    files = T.segs(spark, sf).select("id", F.explode(names).alias("ext")).select(
-        F.concat(F.lit("/drop/segment-"), F.col("id"), F.col("ext")).alias("path")
-    )
-    return store.ready_imports(files)
-
-
 CASES = [
     Case(
         "seg_window",
@@ -219,8 +212,8 @@ CASES = [
         _empty,
         T.with_ctes(
             "SELECT strftime(ws, '%Y%m%d%H%M') AS id, ws AS window_start FROM (SELECT unnest(generate_series("
-            "TIMESTAMP '2023-12-31 13:00:00', TIMESTAMP '2024-01-31 23:00:00', INTERVAL '1 hour')) AS ws) WHERE ws NOT IN "
-            "(SELECT time_bucket(INTERVAL '1 hour', timestamp) FROM logs WHERE level = 'error')",
+            "TIMESTAMP '2023-12-31 12:30:00', TIMESTAMP '2024-01-31 23:55:00', INTERVAL '5 minutes')) AS ws) WHERE ws NOT IN "
+            "(SELECT time_bucket(INTERVAL '5 minutes', timestamp) FROM logs)",
             T.LOGS,
         ),
     ),
@@ -260,6 +253,18 @@ CASES = [
             "FROM logs GROUP BY 1)",
         ),
     ),
+    Case(
+        "seg_overlap_levels",
+        _overlap_levels,
+        T.with_ctes(
+            "SELECT s.id, i.id AS import_id FROM (SELECT id, time_start, time_end + to_seconds(CAST(pow(60, n % 6) AS BIGINT)) "
+            "AS time_end FROM segs) s JOIN imports i ON i.time_start <= s.time_end AND s.time_start <= i.time_end",
+            T.LOGS,
+            T.SEGS,
+            f"imports AS (SELECT {_SID.format(w='8 hours')} AS id, min(timestamp) AS time_start, max(timestamp) AS time_end "
+            "FROM logs GROUP BY 1)",
+        ),
+    ),
     Case(
         "seg_list",
         _list,
@@ -319,21 +324,5 @@ CASES = [
             T.SEGS,
         ),
     ),
-    Case(
-        "src_archive_listing",
-        _archive_listing,
-        T.with_ctes("SELECT concat('archive/', key) AS key, segment_id, kind FROM objs", T.LOGS, T.SEGS, T.OBJS),
-    ),
     Case("src_manifest_valid", _manifest_valid, T.with_ctes(_MANIFEST_SQL, T.LOGS, T.SEGS)),
-    Case(
-        "src_import_ready",
-        _ready,
-        T.with_ctes(
-            "SELECT concat('segment-', id) AS stem, CASE WHEN n % 7 <> 3 THEN concat('/drop/segment-', id, '.parquet') END AS "
-            "data, CASE WHEN n % 11 <> 5 THEN concat('/drop/segment-', id, '.manifest.json') END AS manifest FROM segs "
-            "WHERE n % 3 <> 0",
-            T.LOGS,
-            T.SEGS,
-        ),
-    ),
 ]

@@ -10,12 +10,14 @@ from timberline.plans import segment_queries as SQ
 from timberline.plans import tables as T
 from timberline.plans.storage_queries import _written_lines
 from timberline.plans.tables import Case
+from timberline.schema import LogSchema
 from timberline.session import scratch_path
 from timberline.sources.ndjson import stream_lines
-from timberline.sources.store import read_store
+from timberline.sources.store import read_store, seal_closed
 from timberline.streaming import ingest as I
 from timberline.streaming import live as V
-from timberline.streaming.ratecap import cap_rate_stream, stateful_settings
+from timberline.streaming.deltas import finish
+from timberline.streaming.ratecap import cap_rate_stream, read_capped
 
 CAP = 3
 WINDOW = 3600
@@ -47,21 +49,57 @@ def _drain(stream):
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def _ingest(spark, sf):
+def _scrambled(spark, sf):
+    """The events as a stream of three micro-batches, the newest events in the first one."""
+    events = T.table(spark, sf, "events")
+    low, high = (r.timestamp() for r in events.agg(F.min("ts"), F.max("ts")).first())
+    part = F.floor((F.unix_timestamp(F.col("ts").cast("timestamp")) - low) * 3 / (high - low + 1))
+    part = F.least(F.greatest(part, F.lit(0)), F.lit(2))
+    path = scratch_path(spark, "scrambled")
+    for number in (2, 0, 1):
+        events.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+    return T.as_logs(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+def _hot(spark, sf):
+    """A hot store filled by a stream of lines."""
     lines = stream_lines(spark, _written_lines(spark, sf))
     events = I.stream_events(lines, source="app", ingest_time=T.INGEST_TIME)
     path = scratch_path(spark, "store")
-    I.append_store(events, path, scratch_path(spark, "offsets"), "6h", available_now=True).awaitTermination()
-    stored = read_store(spark, path)
-    return stored.select(
-        F.col("timestamp").cast("timestamp_ntz").alias("timestamp"),
-        "service",
-        "level",
-        "message",
-        "host",
-        "source",
-        "raw",
-        "segment_id",
+    finish(I.append_store(events, path, scratch_path(spark, "offsets"), "6h", available_now=True))
+    return path
+
+
+_STORED = ["service", "level", "message", "host", "source", "attributes", "raw", "segment_id"]
+
+
+def _ingest(spark, sf):
+    stored = read_store(spark, _hot(spark, sf))
+    return stored.select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), *_STORED).withColumn(
+        "attributes", EQ.entries_text("attributes")
+    )
+
+
+def _seal_closed(spark, sf):
+    """Closed windows of a hot store sealed, twice; what is where afterwards."""
+    hot, sealed = _hot(spark, sf), scratch_path(spark, "sealed")
+    schema = LogSchema(id=None, ntz=False)
+    for _ in range(2):
+        seal_closed(spark, hot, sealed, "2024-01-20T06:00:30Z", "6h", schema)
+    both = read_store(spark, hot).select("segment_id", F.lit("hot").alias("place")).unionAll(
+        read_store(spark, sealed).select("segment_id", F.lit("sealed"))
+    )
+    return both.groupBy("segment_id", "place").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _intake(spark, sf):
+    """Lines accepted and skipped, observed on the side of a stream."""
+    lines = I.observe_intake(stream_lines(spark, _written_lines(spark, sf), max_files=1))
+    query = lines.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "offsets")).trigger(availableNow=True).start()
+    finish(query)
+    counts = I.intake_counts(query)
+    return spark.createDataFrame(counts, "batch bigint, accepted bigint, skipped bigint").agg(
+        F.sum("accepted").alias("accepted"), F.sum("skipped").alias("skipped")
     )
 
 
@@ -78,10 +116,9 @@ def _multi(spark, sf):
 
 def _rate_cap(spark, sf):
     matched = V.fan_out(_logs(spark, sf), subscriptions())
-    with stateful_settings(spark):
-        return _drain(cap_rate_stream(matched, CAP, WINDOW, salts=4)).select(
-            "subscription", "window_start", "event_id", "timestamp"
-        )
+    path = scratch_path(spark, "capped")
+    finish(cap_rate_stream(matched, path, scratch_path(spark, "offsets"), CAP, WINDOW, available_now=True))
+    return read_capped(matched, path, WINDOW).select("subscription", "window_start", "event_id", "timestamp")
 
 
 def _rate_cap_batch(spark, sf):
@@ -94,13 +131,18 @@ def _drop_batch(spark, sf):
 
 
 def _drop_stream(spark, sf):
-    stats = V.drop_stats_stream(V.fan_out(_logs(spark, sf), subscriptions()), CAP, WINDOW)
-    return _drain(stats).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    matched = V.fan_out(_scrambled(spark, sf), subscriptions())
+    path = scratch_path(spark, "matches")
+    finish(V.write_match_counts(matched, path, scratch_path(spark, "offsets"), WINDOW, available_now=True))
+    return V.read_drop_stats(spark, path, CAP)
 
 
 def _seal_stats(spark, sf):
-    stats = _drain(I.window_stats(_logs(spark, sf), "6h"))
-    return stats.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("time_start", "time_end")})
+    path = scratch_path(spark, "window-stats")
+    schema = LogSchema(source="service")
+    finish(I.write_window_stats(_scrambled(spark, sf), path, scratch_path(spark, "offsets"), "6h", schema, available_now=True))
+    times = {c: F.col(c).cast("timestamp_ntz") for c in ("time_start", "time_end")}
+    return I.read_window_stats(spark, path).withColumns(times).withColumn("sources", F.array_join("sources", ","))
 
 
 def _late(spark, sf):
@@ -119,18 +161,16 @@ _DROPPED = (
     "SELECT subscription, time_bucket(INTERVAL '1 hour', timestamp) AS window_start, "
     f"least(count(*), {CAP}) AS delivered, greatest(count(*) - {CAP}, 0) AS dropped FROM matched GROUP BY 1, 2"
 )
-# A window is final once the newest event is a minute past its end.
-_FINAL = "(SELECT max(timestamp) - INTERVAL '60 seconds' FROM {})"
-
 CASES = [
     Case(
         "str_ingest",
         _ingest,
         T.with_ctes(
             f"SELECT coalesce(f_ts, TIMESTAMP '2024-02-01') AS timestamp, f_service AS service, {EQ._LEVEL} AS level, "
-            "nullif(f_message, '') AS message, f_host AS host, 'app' AS source, line AS raw, strftime(time_bucket("
-            "INTERVAL '6 hours', coalesce(f_ts, TIMESTAMP '2024-02-01')), '%Y%m%d%H%M') AS segment_id FROM fields",
+            f"nullif(f_message, '') AS message, f_host AS host, 'app' AS source, {EQ.ATTRIBUTES} AS attributes, line AS raw, "
+            "strftime(time_bucket(INTERVAL '6 hours', coalesce(f_ts, TIMESTAMP '2024-02-01')), '%Y%m%d%H%M') AS segment_id FROM fields",
             *EQ._CTES,
+            EQ.ATTRS,
         ),
     ),
     Case(
@@ -150,23 +190,37 @@ CASES = [
     Case("str_rate_cap", _rate_cap, _CAPPED),
     Case("str_rate_cap_batch", _rate_cap_batch, _CAPPED),
     Case("str_drop_stats", _drop_batch, T.with_ctes(_DROPPED, T.LOGS, _MATCHED)),
+    Case("str_drop_stats_live", _drop_stream, T.with_ctes(_DROPPED, T.LOGS, _MATCHED)),
     Case(
-        "str_drop_stats_live",
-        _drop_stream,
+        "str_seal_stats",
+        _seal_stats,
         T.with_ctes(
-            f"SELECT * FROM ({_DROPPED}) WHERE window_start + INTERVAL '1 hour' <= {_FINAL.format('matched')}",
+            "SELECT strftime(time_bucket(INTERVAL '6 hours', timestamp), '%Y%m%d%H%M') AS id, count(*) AS row_count, "
+            "min(timestamp) AS time_start, max(timestamp) AS time_end, coalesce(string_agg(DISTINCT service, ',' "
+            "ORDER BY service), '') AS sources FROM logs GROUP BY 1",
             T.LOGS,
-            _MATCHED,
         ),
     ),
     Case(
-        "str_seal_stats",
-        _seal_stats,
+        "str_intake",
+        _intake,
         T.with_ctes(
-            "SELECT strftime(ws, '%Y%m%d%H%M') AS id, row_count, time_start, time_end FROM (SELECT "
-            "time_bucket(INTERVAL '6 hours', timestamp) AS ws, count(*) AS row_count, min(timestamp) AS time_start, "
-            f"max(timestamp) AS time_end FROM logs GROUP BY 1) WHERE ws + INTERVAL '6 hours' <= {_FINAL.format('logs')}",
-            T.LOGS,
+            "SELECT count(*) FILTER (event_id IN (SELECT event_id FROM docs)) AS accepted, "
+            "count(*) FILTER (event_id NOT IN (SELECT event_id FROM docs)) AS skipped FROM lines",
+            T.NDJSON,
+            T.LINES,
+            T.DOCS,
+        ),
+    ),
+    Case(
+        "snk_seal_closed",
+        _seal_closed,
+        T.with_ctes(
+            "SELECT segment_id, CASE WHEN ends + INTERVAL '60 seconds' <= TIMESTAMP '2024-01-20 06:00:30' THEN 'sealed' "
+            "ELSE 'hot' END AS place, count(*) AS n FROM (SELECT strftime(ws, '%Y%m%d%H%M') AS segment_id, "
+            "ws + INTERVAL '6 hours' AS ends FROM (SELECT time_bucket(INTERVAL '6 hours', coalesce(f_ts, "
+            "TIMESTAMP '2024-02-01')) AS ws FROM fields)) GROUP BY ALL",
+            *EQ._CTES,
         ),
     ),
     Case("str_late", _late, next(c.sql for c in SQ.CASES if c.name == "seg_placement")),

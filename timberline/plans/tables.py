@@ -16,7 +16,7 @@ from timberline.functions.attributes import attribute_text
 from timberline.functions.timeframe import iso_utc, seconds_interval, segment_start
 from timberline.operators.segments import window_stats
 from timberline.schema import LogSchema
-from timberline.session import checkpointed, prepare
+from timberline.session import checkpointed, require
 
 NOW = dt.datetime(2024, 1, 31)
 INGEST_TIME = dt.datetime(2024, 2, 1)
@@ -37,7 +37,7 @@ class Case:
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    prepare(spark)
+    require(spark)
     return spark.read.parquet(f"{sf.rstrip('/')}/{name}.parquet")
 
 
@@ -121,6 +121,13 @@ MIXED = """mixed AS (SELECT * REPLACE (CASE event_id % 6
                 json_extract_string(attributes, '$.k'), '"}}') END AS attributes) FROM logs)"""
 
 
+def big(spark: SparkSession, sf: str) -> DataFrame:
+    """The logs with an integer attribute n, near where doubles stop telling integers apart."""
+    forms = (2**53, 2**53 + 1, 10**27, f'"{10**27 + 1}"', f'"+0{10**27 + 1}.00"', "-7.0", -8)
+    value = F.element_at(F.array(*[F.lit(str(f)) for f in forms]), (F.col("event_id") % 7 + 1).cast("int"))
+    return logs(spark, sf).withColumn("attributes", F.concat(F.lit('{"n":'), value, F.lit("}")))
+
+
 # --- segs: one catalog row per six-hour window of logs ------------------------
 
 
@@ -137,7 +144,8 @@ def segs(spark: SparkSession, sf: str) -> DataFrame:
 def seg_rows(spark: SparkSession, sf: str) -> DataFrame:
     stats = window_stats(logs(spark, sf), WIDTH, LogSchema(source="service"), sized="raw")
     n = F.col("n")
-    state = F.when(n % 5 < 2, "sealed").when(n % 5 < 4, "archived").otherwise("rehydrated")
+    lost = n % 17 == 3
+    state = F.when(lost, "lost").when(n % 5 < 2, "sealed").when(n % 5 < 4, "archived").otherwise("rehydrated")
     return (
         stats.withColumn("window_start", segment_start(F.col("id")))
         .withColumn("n", _ordinal(F.col("window_start")))
@@ -151,8 +159,8 @@ def seg_rows(spark: SparkSession, sf: str) -> DataFrame:
             "row_count",
             "size_bytes",
             F.when(n % 2 == 1, (F.col("size_bytes") / 10).cast("bigint")).alias("size_compressed"),
-            F.when(n % 5 != 3, F.concat(F.lit("/data/segment-"), F.col("id"), F.lit(".parquet"))).alias("local_path"),
-            F.when((state == "archived") | (n % 10 == 9), F.concat(F.lit("ref-"), F.col("id"))).alias("archive_ref"),
+            F.when((n % 5 != 3) & ~lost, F.concat(F.lit("/data/segment-"), F.col("id"), F.lit(".parquet"))).alias("local_path"),
+            F.when((state == "archived") | ((n % 20 == 9) & ~lost), F.concat(F.lit("ref-"), F.col("id"))).alias("archive_ref"),
             F.sha2(F.col("id"), 256).alias("parquet_sha256"),
             (F.col("window_start") + seconds_interval(WIDTH_SECONDS + 60)).alias("sealed_at"),
             F.when((state == "rehydrated") & (n % 10 != 4), F.col("time_end") + seconds_interval(7 * 86400)).alias(
@@ -168,45 +176,18 @@ SEGS = """seg_base AS (SELECT time_bucket(INTERVAL '6 hours', timestamp) AS wind
     list_sort(list(DISTINCT service) FILTER (WHERE service IS NOT NULL)) AS sources FROM logs GROUP BY 1),
   seg_num AS (SELECT *, strftime(window_start, '%Y%m%d%H%M') AS id,
     CAST(epoch(window_start) - epoch(TIMESTAMP '2024-01-01') AS BIGINT) // 21600 AS n FROM seg_base),
-  seg_state AS (SELECT *, CASE WHEN n % 5 < 2 THEN 'sealed' WHEN n % 5 < 4 THEN 'archived' ELSE 'rehydrated' END AS state
+  seg_state AS (SELECT *, CASE WHEN n % 17 = 3 THEN 'lost' WHEN n % 5 < 2 THEN 'sealed' WHEN n % 5 < 4 THEN 'archived' ELSE 'rehydrated' END AS state
     FROM seg_num),
   segs AS (SELECT id, n, window_start, state, time_start, time_end, row_count, size_bytes,
     CASE WHEN n % 2 = 1 THEN size_bytes // 10 END AS size_compressed,
-    CASE WHEN n % 5 <> 3 THEN concat('/data/segment-', id, '.parquet') END AS local_path,
-    CASE WHEN state = 'archived' OR n % 10 = 9 THEN concat('ref-', id) END AS archive_ref,
+    CASE WHEN n % 5 <> 3 AND n % 17 <> 3 THEN concat('/data/segment-', id, '.parquet') END AS local_path,
+    CASE WHEN state = 'archived' OR (n % 20 = 9 AND n % 17 <> 3) THEN concat('ref-', id) END AS archive_ref,
     sha256(id) AS parquet_sha256,
     window_start + INTERVAL '6 hours' + INTERVAL '60 seconds' AS sealed_at,
     CASE WHEN state = 'rehydrated' AND n % 10 <> 4 THEN time_end + INTERVAL '7 days' END AS evict_after,
     sources FROM seg_state)"""
 
 
-# --- objs: archive listing of segs, with gaps and wrong checksums -------------
-
-
-def objs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = segs(spark, sf)
-    n, sha = F.col("n"), F.col("parquet_sha256")
-    entries = F.array_compact(
-        F.array(
-            F.when(n % 7 != 3, F.struct(F.lit("parquet").alias("kind"), sha.alias("sha"))),
-            F.when(
-                n % 11 != 5,
-                F.struct(F.lit("manifest").alias("kind"), F.when(n % 13 == 2, F.sha2(sha, 256)).otherwise(sha).alias("sha")),
-            ),
-        )
-    )
-    ext = F.when(F.col("e.kind") == "parquet", ".parquet").otherwise(".manifest.json")
-    return rows.select(F.col("id").alias("segment_id"), F.explode(entries).alias("e")).select(
-        F.concat(F.lit("segments/segment-"), F.col("segment_id"), ext).alias("key"), "segment_id", "e.kind", "e.sha"
-    )
-
-
-OBJS = """objs AS (SELECT concat('segments/segment-', id, '.parquet') AS key, id AS segment_id, 'parquet' AS kind,
-    parquet_sha256 AS sha FROM segs WHERE n % 7 <> 3
-  UNION ALL SELECT concat('segments/segment-', id, '.manifest.json'), id, 'manifest',
-    CASE WHEN n % 13 = 2 THEN sha256(parquet_sha256) ELSE parquet_sha256 END FROM segs WHERE n % 11 <> 5)"""
-
-
 # --- ndjson: one raw line per event, ten forms --------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +13,6 @@ SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     # A repeated JSON key keeps its last value instead of failing the line.
     "spark.sql.variant.allowDuplicateKeys": "true",
-    # The JVM does not compile larger methods; without whole-stage code the many
-    # expressions of an extraction run as small compiled ones (1.5 times faster).
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 # Physical settings that suit log tables: let AQE size shuffles and split skew.
@@ -24,18 +21,30 @@ PHYSICAL_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # The JVM does not compile larger methods; without whole-stage code the many
+    # expressions of an extraction run as small compiled ones (1.5 times faster).
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Do not record the Python call site of every column: plans build faster.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the settings the operators rely on to an existing session."""
+    """Apply the settings the operators rely on to a session of one's own."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
     return spark
 
 
+def require(spark: SparkSession) -> SparkSession:
+    """Raise where a session lacks a setting that right results need; nothing is changed."""
+    for key, value in SESSION_CONF.items():
+        found = spark.conf.get(key, None)
+        if found != value and not (key.endswith("timeZone") and found in ("Etc/UTC", "GMT", "Z")):
+            raise RuntimeError(f"{key} is {found!r} and must be {value!r}: use build_session or prepare")
+    return spark
+
+
 def build_session(app: str = "timberline", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -46,24 +55,29 @@ def build_session(app: str = "timberline", master: str | None = None, **conf: st
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
-
-    Only a local session (one machine by definition) may fall back to a
-    temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or what
+    ``SparkContext.setCheckpointDir`` was given. There is no other choice."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="timberline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return root.rstrip("/")
+
+
+_SCRATCH: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/timberline/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. All such paths of a session are
+    deleted when its driver ends; keep nothing there."""
+    application = spark.sparkContext.applicationId
+    if application not in _SCRATCH:
+        root = f"{shared_root(spark)}/timberline/{application}-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _SCRATCH[application] = re.sub("^file:/+", "file:///", files.makeQualified(path).toString())
+    return f"{_SCRATCH[application]}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from timberline.functions.levels import DEFAULT_LEVEL, canonical_level, trimmed
 from timberline.functions.timeframe import time_literal
-from timberline.session import prepare
+from timberline.session import require
 
 Mapping_ = Mapping[str, Sequence[str]]
 
@@ -38,6 +38,7 @@ RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?(
 MILLIS_FROM = 1_000_000_000_000
 
 DEFAULT_MARKER = "ingest_"
+_LARGEST_INDEX = 2**31 - 1  # of an array; a greater number can only be a key
 
 
 def parse_line(line: Column) -> Column:
@@ -64,7 +65,7 @@ def _variant_paths(path: str) -> list[str]:
             raise ValueError(f"cannot address {path!r}")
         quote = '"' if "'" in seg else "'"
         steps = [f"[{quote}{seg}{quote}]"]
-        if seg.isdecimal() and len(seg) < 10:
+        if seg.isdecimal() and int(seg) <= _LARGEST_INDEX:
             steps.insert(0, f"[{int(seg)}]")
         paths = [p + s for p in paths for s in steps]
     return paths
@@ -225,7 +226,7 @@ def extract(
     """
     if ingest_time is None:
         raise ValueError("ingest_time is required")
-    prepare(lines.sparkSession)
+    require(lines.sparkSession)
     arrived = ingest_time if isinstance(ingest_time, Column) else time_literal(ingest_time, ntz=False)
     stamp = F.lit(source) if isinstance(source, str) else source
     # A filter on a projected parse would be pushed below it and parse each line

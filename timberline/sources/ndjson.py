@@ -21,12 +21,20 @@ def clean_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return kept.withColumn(column, stripped).withColumnRenamed(column, "line")
 
 
+# Endings of files that hold no plain text and that are not read; gzip is.
+REFUSED = (".bz2", ".zst", ".zstd", ".lz4", ".snappy", ".deflate", ".br", ".xz", ".zip", ".z", ".7z", ".lzo")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files; ``.gz`` files are decompressed by Spark (one task each).
 
-    ``lineSep`` is set because the default also splits at a bare ``\\r``.
+    Files of another encoding are refused, by their ending. ``lineSep`` is set
+    because the default also splits at a bare ``\\r``.
     """
-    return clean_lines(spark.read.option("lineSep", "\n").text(path))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    if refused := [f for f in lines.inputFiles() if f.lower().endswith(REFUSED)]:
+        raise ValueError(f"unsupported encoding: {refused[:3]}")
+    return clean_lines(lines)
 
 
 def stream_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:

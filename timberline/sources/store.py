@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
-from timberline.functions.timeframe import iso_utc, parse_time, segment_id, window_start
-from timberline.operators.segments import segment_stats, with_segment
+from timberline.functions.timeframe import iso_utc, parse_time, segment_id, width_seconds, window_start
+from timberline.operators.segments import SEAL_GRACE, sealable, segment_stats
 from timberline.schema import EVENT_COLUMNS, LogSchema
+from timberline.session import checkpointed
 
 DAY = "dt"
 SEGMENT = "segment_id"
 ZSTD_LEVEL = "3"
+_LISTED = 10_000  # files of a listing batch
+_CHUNK = 8 << 20  # bytes of a file in memory
 MANIFEST_VERSION = 1
 
+# The fields of a manifest document.
 MANIFEST_DDL = (
     "manifest_version int, schema_version int, segment_id string, time_start timestamp, time_end timestamp, "
     "row_count bigint, size_bytes bigint, size_compressed bigint, compression string, compression_level int, "
@@ -67,26 +74,127 @@ def seal(
     writer.parquet(path)
 
 
-def read_store(spark: SparkSession, path: str, start: Any = None, end: Any = None) -> DataFrame:
-    """Sealed events, optionally only the day folders of a time range.
+def read_store(
+    spark: SparkSession, path: str, start: Any = None, end: Any = None, width: Any = None, schema: StructType | None = None
+) -> DataFrame:
+    """Sealed events, optionally only the folders of a time range.
 
-    Listing the folders and reading the schema takes longer than a short search:
-    keep the frame and use ``prune_days`` for each query.
+    Days are always bounded by the range, segments too if the store's ``width`` is given.
+    Without ``schema`` the columns are taken from the files; the folders' types
+    are fixed in any case (``dt`` a date, ``segment_id`` text), so nothing is inferred from
+    names. Listing the folders and reading the schema takes longer than a short search:
+    keep the frame and use ``prune`` for each query.
     """
-    df = spark.read.option("basePath", path).parquet(path)
-    return prune_days(df.withColumn(SEGMENT, F.col(SEGMENT).cast("string")), start, end)
+    return prune(_read_folders(spark, path, schema).drop(_BATCH), start, end, width)
+
+
+# Folder of a micro-batch in a hot store.
+_BATCH = "_batch"
+
 
+def _read_folders(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    columns = schema or spark.read.option("basePath", path).parquet(path).schema
+    folders = [StructField(DAY, DateType()), StructField(SEGMENT, StringType())]
+    whole = StructType([f for f in columns.fields if f.name not in (DAY, SEGMENT)] + folders)
+    return spark.read.schema(whole).option("basePath", path).parquet(path)
 
-def prune_days(df: DataFrame, start: Any = None, end: Any = None) -> DataFrame:
-    """Bound the day folders by a time range, which Spark does not derive from a
-    bound on the event time by itself."""
+
+def prune(df: DataFrame, start: Any = None, end: Any = None, width: Any = None) -> DataFrame:
+    """Bound the day folders, and with ``width`` the segment folders, by a time range.
+
+    Spark does not derive that from a bound on the event time by itself. Segment ids have a
+    fixed width, so they compare as text; the first segment is the one that holds ``start``.
+    """
     if start is not None:
-        df = df.filter(F.col(DAY) >= F.lit(parse_time(start).date()))
+        low = parse_time(start)
+        df = df.filter(F.col(DAY) >= F.lit(low.date()))
+        if width is not None:
+            df = df.filter(F.col(SEGMENT) >= F.lit(_id_of(low, width)))
     if end is not None:
-        df = df.filter(F.col(DAY) <= F.lit(parse_time(end).date()))
+        high = parse_time(end)
+        df = df.filter(F.col(DAY) <= F.lit(high.date()))
+        if width is not None:
+            df = df.filter(F.col(SEGMENT) <= F.lit(_id_of(high, width)))
     return df
 
 
+def _id_of(moment: dt.datetime, width: Any) -> str:
+    """Id of the segment that holds a moment."""
+    epoch = dt.datetime(1970, 1, 1)
+    seconds = width_seconds(width)
+    start = epoch + dt.timedelta(seconds=(moment - epoch) // dt.timedelta(seconds=seconds) * seconds)
+    return start.strftime("%Y%m%d%H%M")
+
+
+def seal_closed(
+    spark: SparkSession,
+    hot: str,
+    path: str,
+    now: Any,
+    width: Any = "1h",
+    schema: LogSchema = LogSchema(),
+    grace: dt.timedelta = SEAL_GRACE,
+) -> DataFrame:
+    """Seal the closed windows of a hot store and retire their hot files.
+
+    The hot store is laid out like the sealed one (``append_store``). All windows that
+    ended ``grace`` before ``now`` are written sorted, the catalog rows of the sealed
+    segments are returned (``id, state, row_count, time_start, time_end, sources,
+    sealed_at``), and only then are their hot folders removed. Open windows stay.
+
+    A segment that was sealed before and got late rows is written again with both, and a
+    row the sealed segment already holds is not added again, so a run that
+    failed between the commit and the removal may simply be repeated.
+    """
+    active = _read_folders(spark, hot)
+    if _BATCH not in active.columns:
+        active = active.withColumn(_BATCH, F.lit(None).cast("bigint"))
+    columns = [c for c in active.columns if c not in (DAY, SEGMENT, _BATCH)]
+    found = active.select(F.col(SEGMENT).alias("id"), _BATCH, F.lit("active").alias("state")).distinct()
+    # The folders read are fixed here: a batch that arrives meanwhile is left for the next run.
+    folders = checkpointed(sealable(found, now, width, grace).select(F.col("id").alias(SEGMENT), _BATCH))
+    closed = folders.select(SEGMENT).distinct()
+    read = folders.select(F.col(SEGMENT).alias("_segment"), F.col(_BATCH).alias("_number"))
+    here = (F.col(SEGMENT) == F.col("_segment")) & F.col(_BATCH).eqNullSafe(F.col("_number"))
+    chosen = active.join(read, here, "left_semi").select(columns)
+    if _has_files(path):
+        known = read_store(spark, path).join(closed, SEGMENT, "left_semi").select(columns)
+        # EXCEPT ALL keeps true duplicates of a row, but not those a repeated run brings.
+        chosen = known.unionAll(chosen.exceptAll(known))
+    chosen = checkpointed(chosen)
+    if chosen.isEmpty():
+        return _catalog_rows(segment_stats(chosen.withColumn(SEGMENT, F.lit("")), SEGMENT, schema.bind(chosen)), now)
+    seal(chosen, path, width, schema, "segments")
+    sealed = read_store(spark, path).join(closed, SEGMENT, "left_semi")
+    rows = checkpointed(_catalog_rows(segment_stats(sealed, SEGMENT, schema.bind(sealed)), now))
+    _remove_folders(hot, [tuple(r) for r in folders.collect()])
+    return rows
+
+
+def _catalog_rows(stats: DataFrame, now: Any) -> DataFrame:
+    stamp = F.lit(parse_time(now).isoformat(sep=" ")).cast("timestamp_ntz")
+    return stats.select(
+        "id", F.lit("sealed").alias("state"), "row_count", "time_start", "time_end", "sources", stamp.alias("sealed_at")
+    )
+
+
+def _has_files(path: str) -> bool:
+    from pyarrow import fs
+
+    system, root = open_uri(path)
+    return system.get_file_info(root).type == fs.FileType.Directory and any(
+        not i.base_name.startswith(("_", ".")) for i in system.get_file_info(fs.FileSelector(root))
+    )
+
+
+def _remove_folders(path: str, folders: Sequence[tuple[str, int | None]]) -> None:
+    """Remove the folders of some segments, or of some batches of them, of a hot store."""
+    system, root = open_uri(path)
+    for one, batch in folders:
+        folder = f"{root}/{DAY}={one[:4]}-{one[4:6]}-{one[6:8]}/{SEGMENT}={one}"
+        system.delete_dir(folder if batch is None else f"{folder}/{_BATCH}={batch}")
+
+
 def union_hot(hot: DataFrame, sealed: DataFrame) -> DataFrame:
     """Active rows and sealed rows as one table."""
     columns = [c for c in hot.columns if c in sealed.columns]
@@ -112,7 +220,7 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return reader.option("recursiveFileLookup", "true").load(path).select("path", "length")
 
 
-def _open_uri(path: str) -> tuple[Any, str]:
+def open_uri(path: str) -> tuple[Any, str]:
     """File system and name for a path as Spark lists it."""
     from pyarrow import fs
 
@@ -124,31 +232,43 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for folder in batch["path"]:
-            system, name = _open_uri(folder)
+            system, name = open_uri(folder)
             infos = [i for i in system.get_file_info(fs.FileSelector(name)) if i.is_file]
-            yield pd.DataFrame(
-                {
-                    "path": [f"{folder.rstrip('/')}/{i.base_name}" for i in infos],
-                    "length": [i.size for i in infos],
-                }
-            )
+            for at in range(0, len(infos), _LISTED):
+                part = infos[at : at + _LISTED]
+                yield pd.DataFrame(
+                    {
+                        "path": [f"{folder.rstrip('/')}/{i.base_name}" for i in part],
+                        "length": [i.size for i in part],
+                    }
+                )
 
 
 def list_folder(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length`` of one folder's files, empty ones included (Spark's file
-    sources leave those out)."""
-    folders = spark.createDataFrame([(path,)], "path string")
-    return folders.mapInPandas(_list_folders, "path string, length bigint")
+    """``path, length`` of the files in a folder and in its subfolders, empty
+    files included (Spark's file sources leave those out).
+
+    A task lists one folder at a time and passes its files on in batches, so a
+    large drop zone should be split over subfolders.
+    """
+    system, root = open_uri(path)
+    from pyarrow import fs
+
+    inner = [i.path for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if not i.is_file]
+    base = path.rstrip("/")
+    folders = [(base,)] + [(base + i[len(root.rstrip("/")) :],) for i in inner]
+    frame = spark.createDataFrame(folders, "path string").repartition(len(folders), "path")
+    return frame.mapInPandas(_list_folders, "path string, length bigint")
 
 
 def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         digests = []
         for path in batch["path"]:
-            system, name = _open_uri(path)
+            system, name = open_uri(path)
             digest = hashlib.sha256()
             with system.open_input_stream(name) as stream:
-                while chunk := stream.read(8 << 20):
+                while chunk := stream.read(_CHUNK):
                     digest.update(chunk)
             digests.append(digest.hexdigest())
         yield batch.assign(sha256=digests)
@@ -167,6 +287,12 @@ def segment_of_path(path: Column) -> Column:
     return F.regexp_extract(path, f"/{SEGMENT}=([0-9]+)/", 1)
 
 
+def _one_checksum(parts: Column) -> Column:
+    """The checksum of a single file, or one over the checksums of sorted ``parts``."""
+    joined = F.sha2(F.array_join(F.transform(parts, lambda p: p["sha256"]), ""), 256)
+    return F.when(F.size(parts) == 1, parts[0]["sha256"]).otherwise(joined)
+
+
 def segment_files(spark: SparkSession, path: str) -> DataFrame:
     """Per segment: files, bytes and one checksum over its sorted file checksums.
 
@@ -180,9 +306,7 @@ def segment_files(spark: SparkSession, path: str) -> DataFrame:
         SEGMENT,
         "files",
         "size_compressed",
-        F.when(F.col("files") == 1, F.col("_parts")[0]["sha256"])
-        .otherwise(F.sha2(F.array_join(F.transform("_parts", lambda p: p["sha256"]), ""), 256))
-        .alias("parquet_sha256"),
+        _one_checksum(F.col("_parts")).alias("parquet_sha256"),
     )
 
 
@@ -287,7 +411,7 @@ def parse_archive_keys(objects: DataFrame, key: str = "key") -> DataFrame:
     kind = F.when(F.endswith(name, F.lit(".manifest.json")), "manifest").when(
         F.endswith(name, F.lit(".parquet")), "parquet"
     )
-    segment = F.regexp_replace(name, r"^segment-|(\.manifest\.json|\.parquet)$", "")
+    segment = F.regexp_replace(name, r"^segment-|(\.manifest\.json|(\.part-[0-9]+)?\.parquet)$", "")
     return objects.withColumns({"segment_id": segment, "kind": kind}).filter(F.col("kind").isNotNull())
 
 
@@ -296,6 +420,19 @@ def list_archive(spark: SparkSession, path: str) -> DataFrame:
     return parse_archive_keys(list_files(spark, path).withColumnRenamed("path", "key"))
 
 
+def archive_objects(spark: SparkSession, path: str) -> DataFrame:
+    """What an audit reads: ``key, segment_id, kind, sha`` of every segment's data (the
+    first file and one checksum of all, by content) and manifest (the checksum it states)."""
+    data = list_archive(spark, path).filter(F.col("kind") == "parquet")
+    hashed = checksums(data.select(F.col("key").alias("path"), "length")).withColumnRenamed("path", "key")
+    joined = parse_archive_keys(hashed).groupBy("segment_id").agg(
+        F.min("key").alias("key"), _one_checksum(F.array_sort(F.collect_list(F.struct(F.col("key").alias("path"), "sha256")))).alias("sha")
+    )
+    valid, _ = read_manifests(spark, path)
+    stated = valid.select(F.col("path").alias("key"), "segment_id", F.lit("manifest").alias("kind"), F.col("parquet_sha256").alias("sha"))
+    return joined.select("key", "segment_id", F.lit("parquet").alias("kind"), "sha").unionByName(stated)
+
+
 def copy_plan(segments: DataFrame, remote: DataFrame, prefix: str = "") -> DataFrame:
     """What an archive run does per segment: skip, upload or overwrite the data.
 
@@ -314,31 +451,88 @@ def copy_plan(segments: DataFrame, remote: DataFrame, prefix: str = "") -> DataF
     )
 
 
-def write_archive(
-    events: DataFrame,
-    manifests: DataFrame,
-    path: str,
-    plan: DataFrame | None = None,
-    width: Any = "1h",
-    schema: LogSchema = LogSchema(),
-) -> None:
-    """Archive copy: the data first, then all manifests as the commit marker.
+def _copy_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Copy ``path`` to ``target`` byte by byte; the target appears whole or not at all."""
+    for batch in batches:
+        digests = []
+        for source, target in zip(batch["path"], batch["target"]):
+            (read, name), (write, goal) = open_uri(source), open_uri(target)
+            folder = goal.rsplit("/", 1)[0]
+            write.create_dir(folder, recursive=True)
+            draft, digest = f"{folder}/_draft-{uuid.uuid4().hex}", hashlib.sha256()
+            with read.open_input_stream(name) as stream, write.open_output_stream(draft) as out:
+                while chunk := stream.read(_CHUNK):
+                    digest.update(chunk)
+                    out.write(chunk)
+            write.move(draft, goal)
+            digests.append(digest.hexdigest())
+        yield batch[["segment_id", "path"]].assign(sha256=digests)
 
-    With a ``copy_plan`` only the segments it uploads or overwrites are written,
-    so a second run after a failure repeats nothing that is already there.
+
+def _write_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for target, document in zip(batch["target"], batch["document"]):
+            system, goal = open_uri(target)
+            folder = goal.rsplit("/", 1)[0]
+            system.create_dir(folder, recursive=True)
+            draft = f"{folder}/_draft-{uuid.uuid4().hex}"
+            with system.open_output_stream(draft) as out:
+                out.write(document.encode())
+            system.move(draft, goal)
+        yield batch[["segment_id"]]
+
+
+def write_archive(spark: SparkSession, sealed: str, manifests: DataFrame, path: str, plan: DataFrame | None = None) -> DataFrame:
+    """Archive sealed segments below ``path`` in the layout of ``archive_key``.
+
+    The bytes of the sealed files are copied inside tasks and hashed on the way; a
+    segment whose copy has another checksum than its manifest states raises, and no manifest of
+    the run is written. Then follows one manifest object per segment, the commit marker. Nothing
+    else is touched, so a second run repeats nothing that is there. With a
+    ``copy_plan`` only the data it uploads or overwrites is copied; manifests are written
+    for all segments of the plan. Returns ``segment_id, files, copied``.
+
+    A segment of several files is stored as ``segment-<id>.part-<n>.parquet``.
     """
     root = path.rstrip("/")
+    kept = manifests
     if plan is not None:
-        wanted = plan.filter(F.col("data_action") != "skip").select(F.col("id").alias(SEGMENT))
-        events = with_segment(events, width, schema, SEGMENT).join(wanted, SEGMENT, "left_semi")
-    seal(events, f"{root}/data", width, schema, "segments")
-    manifest_json(manifests).select("document").write.mode("overwrite").text(f"{root}/manifests")
+        kept = kept.join(plan.select(F.col("id").alias(SEGMENT), "data_action"), SEGMENT)
+    action = F.col("data_action") if plan is not None else F.lit("upload")
+    kept = checkpointed(kept.withColumn("_copy", action != "skip"))
+    files = list_files(spark, sealed, "*.parquet").withColumn(SEGMENT, segment_of_path(F.col("path")))
+    # A window over one segment's files, which are few.
+    whole = Window.partitionBy(SEGMENT)
+    number, count = F.row_number().over(whole.orderBy("path")), F.count(F.lit(1)).over(whole)
+    part = F.when(number.isNull() | (count == 1), "").otherwise(F.format_string(".part-%05d", number))
+    wanted = kept.filter("_copy").select(SEGMENT, "time_start", "parquet_sha256")
+    key = archive_key(F.col(SEGMENT), F.col("time_start"))
+    named = files.withColumn("_part", part).join(wanted, SEGMENT)
+    target = F.concat(F.lit(root + "/"), F.regexp_replace(key, r"\.parquet$", ""), F.col("_part"), F.lit(".parquet"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    copied = checkpointed(
+        named.select(SEGMENT, "path", target.alias("target")).repartition(tasks, "path")
+        .mapInPandas(_copy_files, "segment_id string, path string, sha256 string")
+    )
+    found = copied.groupBy(SEGMENT).agg(
+        F.count(F.lit(1)).alias("files"), _one_checksum(F.array_sort(F.collect_list(F.struct("path", "sha256")))).alias("sha")
+    )
+    checked = kept.join(found, SEGMENT, "left")
+    wrong = checked.filter("_copy").filter(F.col("sha").isNull() | (F.lower("sha") != F.lower("parquet_sha256")))
+    if bad := [r[0] for r in wrong.select(SEGMENT).limit(5).collect()]:
+        raise ValueError(f"copies differ from their manifests: segments {bad}")
+    documents = manifest_json(kept.select(*manifests.columns)).join(kept.select(SEGMENT, "time_start"), SEGMENT)
+    place = F.concat(F.lit(root + "/"), archive_key(F.col(SEGMENT), F.col("time_start"), "manifest"))
+    checkpointed(
+        documents.select(SEGMENT, "document", place.alias("target")).repartition(tasks, SEGMENT)
+        .mapInPandas(_write_documents, "segment_id string")
+    )
+    return checked.select(SEGMENT, F.coalesce("files", F.lit(0)).alias("files"), F.col("_copy").alias("copied"))
 
 
 def read_archive_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Valid and rejected manifests of ``write_archive``, one document per line."""
-    lines = spark.read.text(f"{path.rstrip('/')}/manifests")
-    return check_manifests(lines.withColumnRenamed("value", "document"))
+    """Valid and rejected manifests of ``write_archive``, one object per segment."""
+    return read_manifests(spark, path)
 
 
 # --- import drop zone --------------------------------------------------------
@@ -369,7 +563,7 @@ def _magic(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         heads, tails = [], []
         for path, length in zip(batch["path"], batch["length"]):
-            system, name = _open_uri(path)
+            system, name = open_uri(path)
             if length < 8:
                 heads.append(None)
                 tails.append(None)
@@ -443,3 +637,11 @@ def split_imports(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
         validated.filter(F.col("error").isNotNull()),
     )
 
+
+def write_imports(validated: DataFrame, accepted: str, quarantine: str) -> None:
+    """Append accepted imports to one folder and rejected ones, with their reason, to another.
+
+    ``validated`` is frozen first, so both folders come from one and the same check."""
+    good, bad = split_imports(checkpointed(validated))
+    good.write.mode("append").json(accepted)
+    bad.write.mode("append").json(quarantine)

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from timberline.functions.timeframe import segment_id, width_seconds, window_start
-from timberline.operators.segments import SEAL_GRACE, place_events
+from timberline.functions.timeframe import segment_id, window_start
+from timberline.operators.segments import SEAL_GRACE, place_events, segment_stats
 from timberline.schema import LogSchema
-from timberline.sources.extract import DEFAULT_MAPPING, extract
-
-TRIGGER = "1 second"
+from timberline.sources.extract import DEFAULT_MAPPING, extract, is_object_line
+from timberline.streaming.deltas import BATCH, TRIGGER, each_batch, finish, read_batches, write_batch
 
 
 def stream_events(
@@ -42,13 +41,14 @@ def append_store(
 ) -> StreamingQuery:
     """Append events to a store laid out like the sealed one (day, segment).
 
-    Every task writes its own file per segment. With ``writers`` a batch is
+    Every task writes its own file per segment and batch. With ``writers`` a batch is
     first shuffled so that a segment gets at most that many files; the rows of a
     hot segment still spread over as many tasks.
 
-    Files are committed through the sink's log, so a restart after a lost driver
-    or executor neither loses nor repeats rows. Events are stored by their own
-    time: a late one is found by a query of its time at once.
+    The files of a batch lie in folders named by its number, which are replaced when the
+    batch is repeated: a restart after a lost driver or executor neither loses nor repeats rows.
+    Events are stored by their own time: a late one is found by a query of its time at
+    once. ``seal_closed`` turns closed windows into sealed segments.
     """
     schema = schema.bind(events)
     start = window_start(F.col(schema.timestamp), width, schema.ntz)
@@ -56,23 +56,22 @@ def append_store(
     if writers:
         share = F.pmod(F.xxhash64(schema.raw, schema.timestamp), F.lit(writers))
         placed = placed.repartition("dt", "segment_id", share)
-    writer = (
-        placed.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .option("compression", "zstd")
-        .partitionBy("dt", "segment_id")
-        .outputMode("append")
-    )
-    return _triggered(writer, available_now, trigger).start()
 
+    def work(batch: DataFrame, number: int) -> None:
+        (
+            batch.withColumn(BATCH, F.lit(number))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .option("compression", "zstd")
+            .partitionBy("dt", "segment_id", BATCH)
+            .parquet(path)
+        )
 
-def _triggered(writer: Any, available_now: bool, every: str) -> Any:
-    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)
+    return each_batch(placed, work, checkpoint, available_now, trigger)
 
 
 def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, timeout: int | None = None) -> None:
-    """Process what is available, append it to ``path`` and stop."""
+    """Process what is available, append it to ``path`` and stop; raises after ``timeout`` seconds."""
     query = (
         stream.writeStream.format("parquet")
         .option("path", path)
@@ -81,14 +80,19 @@ def run_to_parquet(stream: DataFrame, path: str, checkpoint: str, timeout: int |
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination(timeout)
+    finish(query, timeout)
 
 
-def each_batch(
-    stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False
-) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
-    return _triggered(writer, available_now, TRIGGER).start()
+def observe_intake(lines: DataFrame, name: str = "intake") -> DataFrame:
+    """Count accepted and skipped lines of a stream on the side (``intake_counts``)."""
+    ok = is_object_line(F.col("line"))
+    return lines.observe(name, F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("skipped"))
+
+
+def intake_counts(query: StreamingQuery, name: str = "intake") -> list[tuple[int, int, int]]:
+    """(batch, accepted, skipped) of the batches whose progress the query still holds."""
+    found = [(p.batchId, p.observedMetrics.get(name)) for p in query.recentProgress]
+    return [(batch, row["accepted"], row["skipped"]) for batch, row in found if row is not None]
 
 
 def mark_late(
@@ -98,18 +102,39 @@ def mark_late(
     return place_events(events, now, width, schema, grace)
 
 
-def window_stats(
-    events: DataFrame, width: Any, schema: LogSchema = LogSchema(), grace: dt.timedelta = SEAL_GRACE
-) -> DataFrame:
-    """Statistics of each window, emitted once it closed and ``grace`` has passed.
+STATS = "id string, row_count bigint, time_start timestamp, time_end timestamp, sources array<string>"
 
-    The watermark rejects ``timestamp_ntz``, so the time is cast to an instant.
+
+def write_window_stats(
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    width: Any,
+    schema: LogSchema = LogSchema(),
+    available_now: bool = False,
+    trigger: str = TRIGGER,
+) -> StreamingQuery:
+    """Keep the statistics of all windows of a stream below ``path``.
+
+    Every micro-batch adds the statistics of its own rows, late ones included, so the
+    sum over the batches (``read_window_stats``) always equals the rows that came in.
     """
-    seconds = width_seconds(width)
-    instant = events.withColumn("_ts", F.col(schema.timestamp).cast("timestamp"))
-    grouped = instant.withWatermark("_ts", f"{int(grace.total_seconds())} seconds").groupBy(
-        F.window("_ts", f"{seconds} seconds")
+    schema = schema.bind(events)
+
+    def work(batch: DataFrame, number: int) -> None:
+        start = window_start(F.col(schema.timestamp), width, schema.ntz)
+        stats = segment_stats(batch, start, schema).withColumn("id", segment_id(F.col("id")))
+        instants = {c: F.col(c).cast("timestamp") for c in ("time_start", "time_end")}
+        write_batch(stats.withColumns(instants), path, number)
+
+    return each_batch(events, work, checkpoint, available_now, trigger)
+
+
+def read_window_stats(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, time bounds and sources of every window so far."""
+    return read_batches(spark, path, STATS).groupBy("id").agg(
+        F.sum("row_count").alias("row_count"),
+        F.min("time_start").alias("time_start"),
+        F.max("time_end").alias("time_end"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"),
     )
-    return grouped.agg(
-        F.count(F.lit(1)).alias("row_count"), F.min("_ts").alias("time_start"), F.max("_ts").alias("time_end")
-    ).select(segment_id(F.col("window.start")).alias("id"), "row_count", "time_start", "time_end")

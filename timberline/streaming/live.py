@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass
-from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from timberline.functions import predicates as P
 from timberline.functions.timeframe import floor_to
 from timberline.schema import LogSchema
+from timberline.streaming.deltas import each_batch, read_batches, write_batch
 
 RATE_CAP = 100
 RATE_WINDOW_SECONDS = 1
@@ -85,24 +85,28 @@ def _split(cap: int) -> list[Column]:
     ]
 
 
-def drop_stats_stream(
+MATCHES = "subscription string, window_start timestamp_ntz, n bigint"
+
+
+def write_match_counts(
     matched: DataFrame,
-    cap: int = RATE_CAP,
+    path: str,
+    checkpoint: str,
     seconds: int = RATE_WINDOW_SECONDS,
     schema: LogSchema = LogSchema(),
-    lateness: str = "60 seconds",
-) -> DataFrame:
-    """Streaming form of ``drop_stats``: a window is reported once it is ``lateness`` old."""
-    instant = matched.withColumn("_ts", F.col(schema.timestamp).cast("timestamp")).withWatermark("_ts", lateness)
-    counts = instant.groupBy("subscription", F.window("_ts", f"{seconds} seconds")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    return counts.select("subscription", F.col("window.start").alias("window_start"), *_split(cap))
+    available_now: bool = False,
+) -> StreamingQuery:
+    """Keep the number of matched events per subscription and window of a stream below ``path``."""
+    schema = schema.bind(matched)
 
+    def work(batch: DataFrame, number: int) -> None:
+        start = rate_window(schema, seconds).cast("timestamp_ntz").alias("window_start")
+        write_batch(batch.groupBy("subscription", start).agg(F.count(F.lit(1)).alias("n")), path, number)
 
-def subscriptions_from(specs: Mapping[str, Any]) -> list[Subscription]:
-    """Subscriptions from ``name -> filter`` or ``name -> search text``."""
-    return [
-        Subscription(name, text=spec) if isinstance(spec, str) else Subscription(name, where=spec)
-        for name, spec in specs.items()
-    ]
+    return each_batch(matched, work, checkpoint, available_now)
+
+
+def read_drop_stats(spark: SparkSession, path: str, cap: int = RATE_CAP) -> DataFrame:
+    """Streaming form of ``drop_stats``: delivered and dropped so far, late events included."""
+    counts = read_batches(spark, path, MATCHES).groupBy("subscription", "window_start").agg(F.sum("n").alias("_n"))
+    return counts.select("subscription", "window_start", *_split(cap))

@@ -2,104 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StreamingQuery
 
 from timberline.schema import LogSchema
+from timberline.streaming.deltas import BATCH, each_batch, earlier, write_batch
 from timberline.streaming.live import RATE_CAP, RATE_WINDOW_SECONDS, rate_window
 
-STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SALTS = 16
-
-
-class FirstRows(StatefulProcessor):
-    """Pass the first ``cap`` rows of a key, in (time, id) order within a batch.
-
-    The state is one counter. The rows of a key are read as a stream of Arrow
-    batches and at most ``cap`` of them are held at a time.
-    """
-
-    def __init__(self, cap: int, order: list[str], columns: list[str], ttl_ms: int):
-        self.cap, self.order, self.columns, self.ttl_ms = cap, order, columns, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.passed = handle.getValueState("passed", "n bigint", self.ttl_ms)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        before = self.passed.get()[0] if self.passed.exists() else 0
-        room = self.cap - before
-        best = None
-        for batch in rows:
-            if room > 0:
-                pool = batch if best is None else pd.concat([best, batch])
-                best = pool.sort_values(self.order).head(room)
-        if best is not None and len(best):
-            self.passed.update((before + len(best),))
-            yield best[self.columns]
-
-    def close(self) -> None:
-        pass
-
 
 def cap_rate_stream(
     matched: DataFrame,
+    path: str,
+    checkpoint: str,
     cap: int = RATE_CAP,
     seconds: int = RATE_WINDOW_SECONDS,
     schema: LogSchema = LogSchema(),
-    salts: int = SALTS,
-    ttl_ms: int = 3_600_000,
-) -> DataFrame:
-    """Streaming form of ``cap_rate`` over ``fan_out`` output.
-
-    The state is kept per subscription *and* window and expires ``ttl_ms`` after
-    its last use. A first step keeps ``cap`` rows in each of ``salts`` groups of
-    a window, so a flooded window is thinned by many tasks before its rows meet.
-    Needs the RocksDB state store (``stateful_settings``).
+    available_now: bool = False,
+    **options: Any,
+) -> StreamingQuery:
+    """Streaming form of ``cap_rate`` over ``fan_out`` output; rows go to ``path/rows``.
+
+    In each micro-batch every task thins its rows to the first ``cap`` of a window, in (time, id) order,
+    before they are shuffled; what earlier batches passed is a small table of counts beside the
+    rows (``path/counts``). A batch that is repeated after a failure replaces what it wrote.
     """
     schema = schema.bind(matched)
-    flagged = matched.withColumn("window_start", rate_window(schema, seconds))
-    fields = T.StructType(flagged.schema.fields)
-    order = [schema.timestamp, schema.id]
-
-    def limit(df: DataFrame, *by: Column) -> DataFrame:
-        # Key columns are copies: Spark takes them out of the rows it hands over.
-        copies = {f"_key{i}": c for i, c in enumerate(by)}
-        return df.withColumns(copies).groupBy(*copies).transformWithStateInPandas(
-            statefulProcessor=FirstRows(cap, order, fields.fieldNames(), ttl_ms),
-            outputStructType=fields,
-            outputMode="append",
-            timeMode="ProcessingTime",
-        )
-
-    keys = [F.col("subscription"), F.unix_micros(F.col("window_start").cast("timestamp"))]
-    if salts > 1:
-        flagged = limit(flagged, *keys, F.pmod(F.xxhash64(schema.id), F.lit(salts)))
-    return limit(flagged, *keys)
-
-
-@contextmanager
-def stateful_settings(spark: Any) -> Iterator[None]:
-    """Settings to start a capped query under; a running query keeps them.
-
-    State expires by the clock, for which Spark would run empty batches for
-    ever. Expiry may as well wait for the next batch with data.
-    """
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": STATE_PROVIDER,
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-    }
-    before = {k: spark.conf.get(k) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    rows, counts = f"{path}/rows", f"{path}/counts"
+    keys = ["subscription", "window_start"]
+
+    def work(batch: DataFrame, number: int) -> None:
+        flagged = batch.withColumn("window_start", rate_window(schema, seconds))
+        place = Window.partitionBy(*keys).orderBy(schema.timestamp, schema.id)
+        first = flagged.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= cap)
+        before = earlier(batch.sparkSession, counts, number, "subscription string, window_start timestamp_ntz, passed bigint")
+        passed = before.groupBy(*keys).agg(F.sum("passed").alias("_passed"))
+        kept = first.join(passed, keys, "left").filter(F.col("_n") + F.coalesce("_passed", F.lit(0)) <= cap)
+        write_batch(kept.select(*flagged.columns), rows, number)
+        written = batch.sparkSession.read.schema(kept.select(*flagged.columns).schema).parquet(f"{rows}/{BATCH}={number}")
+        done = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("passed"))
+        write_batch(done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), counts, number)
+
+    return each_batch(matched, work, checkpoint, available_now, **options)
+
+
+def read_capped(stream: DataFrame, path: str, seconds: int = RATE_WINDOW_SECONDS, schema: LogSchema = LogSchema()) -> DataFrame:
+    """The rows that passed so far; ``stream`` is what was capped."""
+    schema = schema.bind(stream)
+    shape = stream.withColumn("window_start", rate_window(schema, seconds)).schema
+    return stream.sparkSession.read.schema(shape).parquet(f"{path}/rows")
