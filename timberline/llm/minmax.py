@@ -7,12 +7,13 @@ of similarity 0.75 share one of the 40 default bands but for a chance of
 (1 - 0.75**4)**40 < 3e-7.
 
 Equal shingle sets are one node of the graph, so exact copies cost one row.
-The members of a band meet at its hub (the least node), not in all pairs, and a
-pair is a link only if the full sets confirm it. Members that did not come into
-their hub's component could still be linked with other members; they become
-centres themselves, ``CENTRES`` in a band first and four times as many in each
-later round, until every pair of a band is either confirmed, refuted or joined by
-other links. No pair is left out, however large the band.
+The members of a band meet at its hub (the least node), not in all pairs, and a pair is a link
+only if the full sets confirm it. A member that is then in another component than others of its
+band could still be linked with one that was no hub. The bands where that is so are
+joined into families, and a family is settled exactly: its members are dealt to blocks of
+bounded size, and each pair of blocks is a task that multiplies the blocks' shingle matrices and
+returns the links that join components, never the pairs. No pair is left out for the size of
+its band.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.components import components
@@ -31,8 +32,10 @@ from timberline.session import checkpointed
 SHINGLE = 5
 PERMUTATIONS = 80
 PERCENT = 75
-CENTRES = 16
+BLOCK_SETS = 1000  # members of a block, about
+BLOCK_SHINGLES = 1_000_000  # shingles of a block, about
 _PER_BAND = 2  # permutations in a band
+_COLUMNS = 2048  # shingles multiplied at a time
 
 
 def _factors(permutations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +146,99 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _common(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one block with all of another."""
+    sizes = [len(x) for x in own + other]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    values, place, met = np.unique(np.concatenate([*own, *other]), return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(met > 1)  # a shingle of one set adds nothing
+    at = np.full(len(values), -1)
+    at[kept] = np.arange(len(kept))
+    place = at[place]
+    row, place = row[place >= 0], place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    total = np.zeros((len(own), len(other)), np.float32)
+    for start in range(0, len(kept), _COLUMNS):
+        low, high = np.searchsorted(place, (start, start + _COLUMNS))
+        matrix = np.zeros((len(sizes), _COLUMNS), np.float32)
+        matrix[row[low:high], place[low:high] - start] = 1
+        total += matrix[: len(own)] @ matrix[len(own) :].T
+    return total
+
+
+def _joining(block: list, other: list, percent: int) -> list[tuple[int, int]]:
+    """Links between members (node, root, set) of two blocks that join different roots."""
+    common = _common([m[2] for m in block], [m[2] for m in other])
+    union = np.array([len(m[2]) for m in block])[:, None] + np.array([len(m[2]) for m in other]) - common
+    rows, columns = np.nonzero(100 * common >= percent * union)
+    above: dict[int, int] = {}
+
+    def top(root: int) -> int:
+        while root in above:
+            root = above[root]
+        return root
+
+    links = []
+    for i, j in zip(rows.tolist(), columns.tolist()):
+        a, b = top(block[i][1]), top(other[j][1])
+        if a != b:
+            above[a] = b
+            links.append((block[i][0], other[j][0]))
+    return links
+
+
+def _settle(percent: int):
+    """Links of every (family, i, j); the rows come sorted by it."""
+
+    def links_of(members: list, i: int, j: int) -> list[tuple[int, int]]:
+        block = [m[1:] for m in members if m[0] == i]
+        other = block if i == j else [m[1:] for m in members if m[0] == j]
+        return _joining(block, other, percent) if block and other else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members = None, []
+        for batch in batches:
+            sets, at = batch.column("set"), batch.column("set").offsets.to_numpy()
+            flat = sets.values.to_numpy()
+            names = ("family", "i", "j", "block", "node", "root")
+            found: list[tuple[int, int]] = []
+            for k, (family, i, j, block, node, root) in enumerate(zip(*[batch.column(n).to_pylist() for n in names])):
+                if (family, i, j) != key:
+                    if members:
+                        found += links_of(members, key[1], key[2])
+                    key, members = (family, i, j), []
+                members.append((block, node, root, flat[at[k] : at[k + 1]].copy()))
+            yield _pairs(found)
+        if members:
+            yield _pairs(links_of(members, key[1], key[2]))
+
+    return run
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+
+def _family_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links that the hubs missed, between members of different components."""
+    placed = checkpointed(shared.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub"))
+    open_ = checkpointed(placed.join(split.where("low <> high").select("band", "hub"), "band"))
+    families = components(open_.select("node", "hub")).withColumnRenamed("root", "family")
+    members = open_.select("node", "n", "root").distinct().join(families, "node")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = members.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    )
+    tasks = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "family", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    whole = tasks.join(sets, "node").select("family", "i", "j", "block", "node", "root", "set")
+    return whole.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_settle(percent), "a bigint, b bigint")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -163,7 +259,7 @@ def near_duplicates(
     that repeat an id are rows of their own and are kept or dropped alike. An
     empty table gives an empty table.
     """
-    if permutations % _PER_BAND:
+    if permutations <= 0 or permutations % _PER_BAND:
         raise ValueError(f"permutations must be a multiple of {_PER_BAND}")
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["_id"].dataType.simpleString()
@@ -194,29 +290,9 @@ def near_duplicates(
     )
     links = checkpointed(_confirmed(pairs, sets, percent))
     roots = components(links)
-    checked, centres = pairs, CENTRES
-    done = None
-    while True:
-        placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        hub_root = placed.where("node = hub").select("band", F.col("root").alias("hub_root"))
-        strays = placed.join(hub_root, "band").where("root <> hub_root").select("band", "node", "n", "root")
-        if done is not None:
-            strays = strays.join(done, ["band", "node"], "left_anti")
-        order = Window.partitionBy("band").orderBy("node")
-        chosen = checkpointed(strays.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= centres).drop("_k"))
-        if chosen.isEmpty():
-            break
-        x = chosen.select("band", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("root").alias("x_root"))
-        y = placed.select("band", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("root").alias("y_root"))
-        fresh = _ordered(x.join(y, "band").where("x_root <> y_root"), percent).join(checked, ["a", "b"], "left_anti")
-        fresh = checkpointed(fresh)
-        found = checkpointed(_confirmed(fresh, sets, percent))
-        checked = checked.union(fresh)
-        done = chosen.select("band", "node") if done is None else done.union(chosen.select("band", "node"))
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links)
-        centres *= 4
+    more = checkpointed(_family_links(shared, roots, sets, percent))
+    if not more.isEmpty():
+        roots = components(links.union(more))
 
     placed = sketches.select("_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("_id").alias("least"))
