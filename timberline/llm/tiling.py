@@ -23,8 +23,9 @@ from timberline.session import checkpointed
 
 MIN_MATCH = 5
 COVERAGE = 0.5
-# The seed filter sent to the tasks: so many places, whatever the size of the benchmark.
-FILTER_PLACES = 1 << 20
+# The seed filter sent to the tasks: two tables of so many bits, whatever the size of the
+# benchmark. A seed has a place in each by other bits of its hash.
+FILTER_PLACES = 1 << 22
 
 
 def tile(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> np.ndarray:
@@ -97,12 +98,30 @@ def _item_seeds(min_match: int):
     return run
 
 
-def _met(sizes: list[int], places: np.ndarray):
+def _places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of hashes in the two tables of the filter."""
+    bits = np.uint64(FILTER_PLACES.bit_length() - 1)
+    mask = np.uint64(FILTER_PLACES - 1)
+    return (hashes & mask).astype(np.int64), ((hashes >> bits) & mask).astype(np.int64)
+
+
+def _filter(seeds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The tables, as packed bits; at most ``FILTER_PLACES`` places of each are collected."""
+    bits = FILTER_PLACES.bit_length() - 1
+    tables = []
+    for shift in (0, bits):
+        place = F.shiftrightunsigned("seed", shift).bitwiseAND(F.lit(FILTER_PLACES - 1)).cast("int")
+        table = np.zeros(FILTER_PLACES, np.uint8)
+        table[seeds.select(place.alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = 1
+        tables.append(np.packbits(table))
+    return tables[0], tables[1]
+
+
+def _met(sizes: list[int], tables: tuple[np.ndarray, np.ndarray]):
     """Texts with a run that the seed filter knows, and those runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(places).astype(bool)
-        mask = np.uint64(len(known) - 1)
+        one, two = (np.unpackbits(t).astype(bool) for t in tables)
         for piece in pieces(batches):
             words = hashed_words(piece.column("text"), lower=True)
             ends = words.ends()
@@ -110,7 +129,8 @@ def _met(sizes: list[int], places: np.ndarray):
             rows, seeds = [], []
             for size in sizes:
                 grams = run_hashes(words.hashes, size)
-                at = np.flatnonzero(known[(grams & mask).astype(np.int64)])
+                first, second = _places(grams)
+                at = np.flatnonzero(one[first] & two[second])
                 at = at[at + size <= ends[at]]
                 rows.append(text[at])
                 seeds.append(grams[at])
@@ -172,12 +192,8 @@ def coverage(
     seeds = checkpointed(items.mapInArrow(_item_seeds(min_match), f"_item {item_type}, size int, seed bigint"))
 
     sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())  # min_match values at most
-    place = F.col("seed").bitwiseAND(F.lit(FILTER_PLACES - 1))
-    known = np.zeros(FILTER_PLACES, np.uint8)
-    known[seeds.select(place.cast("int").alias("p")).distinct().toPandas()["p"].to_numpy(np.int64)] = 1
-
     met = checkpointed(
-        rows.mapInArrow(_met(sizes, np.packbits(known)), "_key bigint, text string, seeds array<bigint>").dropDuplicates(["_key"])
+        rows.mapInArrow(_met(sizes, _filter(seeds)), "_key bigint, text string, seeds array<bigint>").dropDuplicates(["_key"])
     )
     pairs = met.select("_key", F.explode("seeds").alias("seed")).join(seeds.select("seed", "_item"), "seed")
     pairs = pairs.select("_key", "_item").distinct()
