@@ -50,8 +50,9 @@ def pack(codes: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(codes) // 4) * 4, np.uint8)
     padded[: len(codes)] = extra
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    used = np.arange(4) <= extra[:, None]
-    return control.tobytes(), codes.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    width = int(extra.max(initial=0)) + 1
+    used = np.arange(width) <= extra[:, None]
+    return control.tobytes(), codes.view(np.uint8).reshape(-1, 4)[:, :width][used].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -86,8 +87,8 @@ def _frequencies(size: int, dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for ids in batch.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(ids, dtype), minlength=size)
+            ids = b"".join(batch.column("ids").to_pylist())
+            total += np.bincount(np.frombuffer(ids, dtype), minlength=size)
         met = np.flatnonzero(total)
         yield pa.record_batch({"token": pa.array(met, pa.int64()), "count": pa.array(total[met], pa.int64())})
 

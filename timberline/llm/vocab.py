@@ -2,36 +2,67 @@
 
 None of the supported vocabularies has a token across white space, so the ids
 of a text are the ids of its words one after the other. A worker keeps the ids
-of the words it has met; when the cache is full it starts again, which costs
-time only.
+of the words it met lately, in two generations: when the younger is full it becomes the
+older one, and what was not used since goes. A word that is met again is encoded
+again, so the size of the cache costs time only.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import re
 
 import numpy as np
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000  # of a generation
+CACHE_PARTS = 300_000  # letters of words, of a generation
+_TOGETHER = 1000  # plain words encoded in one call
 
 _LOADED: dict[str, "Vocabulary"] = {}
 
+# Letters whose lower case is one letter and that do not combine, and ASCII signs without the apostrophe.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-þ]+")
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Generations:
+    """A dictionary that forgets what was not used for a generation."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def table(self, words) -> tuple[dict, list]:
+        """The younger generation with all known ones of ``words``, and the unknown ones."""
+        if len(self.young) >= self.size:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for word in words:
+            if word not in young:
+                found = old.get(word)
+                if found is None:
+                    new.append(word)
+                else:
+                    young[word] = found
+        return young, new
+
 
 class Vocabulary:
-    """Ids of words by one vocabulary file; ids are kept as little-endian bytes of ``dtype``."""
+    """Ids of words by one vocabulary file, kept as little-endian bytes of ``dtype``."""
 
     def __init__(self, path: str):
-        self.path = path
         self.special = np.empty(0, np.int64)
         if path.endswith(".json"):
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
 
-            model = Tokenizer.from_file(path)
-            self.size = model.get_vocab_size()
-            many = getattr(model, "encode_batch_fast", model.encode_batch)
-            self._encode = lambda words: [e.ids for e in many(words, add_special_tokens=False)]
+            self._model = Tokenizer.from_file(path)
+            self._many = getattr(self._model, "encode_batch_fast", self._model.encode_batch)
+            self.size = self._model.get_vocab_size()
+            self._ends = np.zeros(self.size, bool)
+            self._ends[[i for token, i in self._model.get_vocab().items() if token.endswith("</w>")]] = True
+            self._parts = _Generations(CACHE_PARTS)
+            self._encode = self._encode_parts if self._ends.any() else self._encode_each
         elif path.endswith(".tiktoken"):
             import public_tokenizers
             import tiktoken
@@ -40,30 +71,58 @@ class Vocabulary:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
             model = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.size = max(ranks.values()) + 1
-            self._encode = lambda words: [model.encode_ordinary(w) for w in words]
+            self._encode = lambda words: [self._bytes(model.encode_ordinary(w.decode())) for w in words]
         else:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.size = model.get_piece_size()
             self.special = np.flatnonzero([model.is_byte(i) for i in range(self.size)])
-            self._encode = lambda words: model.encode(words, num_threads=1)
+            self._encode = lambda words: [self._bytes(ids) for ids in model.encode([w.decode() for w in words], num_threads=1)]
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self._cache: dict[bytes, bytes] = {}
+        self._words = _Generations(CACHE_WORDS)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _encode_each(self, words: list[bytes]) -> list[bytes]:
+        return [self._bytes(e.ids) for e in self._many([w.decode() for w in words], add_special_tokens=False)]
+
+    def _encode_parts(self, words: list[bytes]) -> list[bytes]:
+        """For a vocabulary that folds case and parts letters from signs: most words are a known
+        part and signs. Parts of letters alone end with the one token that closes a word, so
+        many of them can be encoded as one text."""
+        parts: list[bytes | None] = []
+        tails = []
+        for word in words:
+            part = word.rstrip(_SIGNS)
+            tails.append(word[len(part) :])
+            if part.isalpha():
+                parts.append(part.lower())
+            else:
+                text = part.decode()
+                parts.append(text.lower().encode() if _LETTERS.fullmatch(text) else None)
+        table, new = self._parts.table(set(parts) - {None})
+        for start in range(0, len(new), _TOGETHER):
+            table.update(zip(new[start : start + _TOGETHER], self._encode_letters(new[start : start + _TOGETHER])))
+        signs = list(set(tails))
+        marks = dict(zip(signs, self._encode_each(signs)))
+        odd = iter(self._encode_each([w for w, part in zip(words, parts) if part is None]))
+        return [next(odd) if part is None else table[part] + marks[tail] for part, tail in zip(parts, tails)]
+
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        ids = np.array(self._many([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.dtype)
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words):
+            return self._encode_each(words)
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """A table with the ids of at least the given words."""
-        cache = self._cache
-        new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = list(words)
+        table, new = self._words.table(words)
         if new:
-            found = self._encode([w.decode() for w in new])
-            dtype = self.dtype
-            for word, ids in zip(new, found):
-                cache[word] = np.array(ids, dtype).tobytes()
-        return cache
+            table.update(zip(new, self._encode(new)))
+        return table
 
 
 def vocabulary(path: str) -> Vocabulary:
