@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timberline.llm.words import SpanHasher, mix, pieces, run_hashes, signed, text_bytes, word_spans
+from timberline.session import checkpointed
 
 DEPTH = 3
 MIN_DOCS = 4
@@ -159,14 +160,14 @@ def drop_templates(
     rows = rows.select(F.xxhash64("_id", "text").alias("_key"), "_id", "text")
     lines = rows.select("_key", "text").mapInArrow(_line_keys(depth), "_key bigint, leaf bigint, line bigint")
     leaves = lines.select("leaf", "_key").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    shared = lines.join(leaves, "leaf").distinct()
+    shared = checkpointed(lines.join(checkpointed(leaves), "leaf").distinct())
 
     def with_lines(found: DataFrame) -> DataFrame:
-        # Left joins in both places: the shuffle of the texts is then the same and made once.
+        # The same columns and left joins in both places: the texts are then shuffled only once.
         return rows.join(found.groupBy("_key").agg(F.collect_set("line").alias("lines")), "_key", "left")
 
     distinct = (
-        with_lines(shared).where(F.size("lines") > 0).dropDuplicates(["_key"]).select("text", "lines")
+        with_lines(shared).where(F.size("lines") > 0).dropDuplicates(["_key"]).select("_id", "text", "lines")
         .mapInArrow(_line_tokens(depth), "leaf bigint, line bigint, tokens array<bigint>")
         .groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     )
