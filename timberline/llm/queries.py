@@ -167,9 +167,9 @@ targets AS (SELECT source, source_size, least(CAST(cap AS DOUBLE), coalesce(leve
 units AS (SELECT *, least(CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END * 16777216) AS BIGINT),
     3 * 16777216) AS units, CAST('0x' || substr(md5(coalesce('mix-1:' || source, 'mix-1')), 1, 6) AS BIGINT) AS offset_units FROM targets),
 placed AS (SELECT s.doc_id, s.size, u.source_size, u.target, u.units, u.offset_units
-    + (row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS LAST) - 1) * u.units AS at
+    + (row_number() OVER (PARTITION BY s.source ORDER BY s.size, s.doc_id NULLS LAST) - 1) * u.units AS spot
     FROM sized s JOIN units u ON s.source IS NOT DISTINCT FROM u.source),
-drawn AS (SELECT *, CAST((at + units) // 16777216 - at // 16777216 AS BIGINT) AS copies FROM placed)
+drawn AS (SELECT *, CAST((spot + units) // 16777216 - spot // 16777216 AS BIGINT) AS copies FROM placed)
 SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM drawn"""
 
 
