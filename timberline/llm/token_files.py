@@ -28,15 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timberline.llm.vocab import public_path, vocabulary
+from timberline.llm.vocab import forget, public_path, vocabulary
 from timberline.llm.words import pieces
 from timberline.operators.ordering import with_prefix
 from timberline.session import checkpointed, scratch_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-SHARD_TOKENS = 16_000_000
-BLOCK_TOKENS = 1_000_000
+SHARD_TOKENS = 4_000_000
+BLOCK_TOKENS = 500_000
 _HEADER = 5
 
 # Lengths of the four codes that a control byte stands for.
@@ -85,6 +85,7 @@ def _encoded(path: str, end_id: int):
 
 def _frequencies(size: int, dtype: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         total = np.zeros(size, np.int64)
         for batch in batches:
             ids = b"".join(batch.column("ids").to_pylist())
@@ -116,6 +117,7 @@ def _write_shards(folder: str, rank_of: np.ndarray, dtype: np.dtype, whole: bool
         from pyarrow import fs
         from pyspark import TaskContext
 
+        forget()
         shard = TaskContext.get().partitionId()
         files, root = fs.FileSystem.from_uri(folder)
         draft = f"{root}/_draft-{uuid.uuid4().hex}"

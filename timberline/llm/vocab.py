@@ -132,6 +132,11 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Give back the memory of loaded vocabularies; later steps in the same worker need it."""
+    _LOADED.clear()
+
+
 def public_path(name: str) -> str:
     """Where a public vocabulary file is installed."""
     import public_tokenizers
