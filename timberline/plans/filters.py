@@ -63,7 +63,45 @@ def _customers(spark, sf):
     return matching(rows, schema, where=node).select("c_custkey", "c_mktsegment", "n_name")
 
 
+def _kinds(spark, sf):
+    """Event types, which stand in for names a user may get wrong (a handful)."""
+    return [r[0] for r in T.table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()]
+
+
+def error_of(check) -> str:
+    """The message a refused input raises."""
+    try:
+        check()
+    except ValueError as error:
+        return str(error)
+    return ""
+
+
+def _invalid(spark, sf):
+    """Trees with an event type where an operator, a list, a group or a value belongs."""
+    rows = []
+    for kind in _kinds(spark, sf):
+        trees = {
+            "op": P.all_of({"field": "level", "op": kind, "value": 1}),
+            "list": {"field": "level", "op": "in", "value": kind},
+            "group": {"op": kind, "children": [P.leaf("level", "eq", kind)]},
+            "value": P.any_of(P.leaf("level", "eq", kind), {"field": kind, "op": "eq"}),
+            "valid": P.leaf("level", "eq", kind),
+        }
+        rows += [(kind, name, error_of(lambda tree=tree: P.validate(tree))) for name, tree in trees.items()]
+    errors = spark.createDataFrame(rows, "event_type string, tree string, error string")
+    counts = T.table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return errors.join(counts, "event_type")
+
+
+_INVALID_SQL = """SELECT event_type, tree, n, CASE tree WHEN 'op' THEN concat('invalid op ''', event_type, '''')
+  WHEN 'list' THEN 'op ''in'' needs a non-empty list' WHEN 'group' THEN concat('invalid group op ''', event_type, '''')
+  WHEN 'value' THEN 'op ''eq'' needs a value' ELSE '' END AS error
+  FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), (VALUES ('op'), ('list'), ('group'), ('value'), ('valid')) t(tree)"""
+
+
 CASES = [
+    Case("flt_invalid", _invalid, _INVALID_SQL),
     _case("flt_eq", P.leaf("service", "eq", "WEB"), "lower(service) = 'web'"),
     _case("flt_eq_cs", P.leaf("service", "eq", "Web", case_sensitive=True), "service = 'Web'"),
     _case("flt_neq", P.leaf("service", "neq", "API"), "lower(service) <> 'api'"),
@@ -177,6 +215,13 @@ CASES = [
         T.mixed,
         "mixed",
     ),
+    _case(
+        "flt_literal_kinds",
+        P.any_of(*[P.leaf("attributes.k", "eq", P.coerce_literal(token)) for token in ("42", "7.0", "1e1", "n/a")]),
+        f"coalesce({_NUM} IN (42, 7, 10), false) OR coalesce({_K} = 'n/a', false)",
+        T.mixed,
+        "mixed",
+    ),
     _case(
         "flt_attr_big_integer",
         P.any_of(P.leaf("attributes.n", "eq", 2**53 + 1), P.leaf("attributes.n", "eq", str(10**27 + 1)), P.leaf("attributes.n", "eq", -7)),

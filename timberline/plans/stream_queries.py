@@ -8,6 +8,7 @@ from timberline.functions import predicates as P
 from timberline.plans import extract_queries as EQ
 from timberline.plans import segment_queries as SQ
 from timberline.plans import tables as T
+from timberline.plans.filters import error_of
 from timberline.plans.storage_queries import _written_lines
 from timberline.plans.tables import Case
 from timberline.schema import LogSchema
@@ -126,6 +127,17 @@ def _rate_cap_batch(spark, sf):
     return V.cap_rate(matched, CAP, WINDOW).select("subscription", "window_start", "event_id", "timestamp")
 
 
+def _unrestricted(spark, sf):
+    """Subscriptions with search text made of an event type, or of blanks, which is refused."""
+    kinds = T.table(spark, sf, "events").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    rows = []
+    for (name,) in kinds.select("name").orderBy("name").collect():  # a handful
+        for text in (name, "  "):
+            sub = V.Subscription(name, text=text)
+            rows.append((name, text, error_of(lambda sub=sub: sub.predicate(T.LOG_SCHEMA))))
+    return spark.createDataFrame(rows, "name string, text string, error string").join(kinds, "name")
+
+
 def _drop_batch(spark, sf):
     return V.drop_stats(V.fan_out(T.logs(spark, sf), subscriptions()), CAP, WINDOW)
 
@@ -187,6 +199,13 @@ CASES = [
         _multi,
         T.with_ctes("SELECT subscription, event_id, timestamp FROM matched", T.LOGS, _MATCHED),
     ),
+    Case(
+        "str_subscription_errors",
+        _unrestricted,
+        "SELECT name, name AS text, '' AS error, n FROM (SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1) UNION ALL "
+        "SELECT name, '  ', concat('subscription ''', name, ''' has neither a filter nor search text'), n FROM "
+        "(SELECT event_type AS name, count(*) AS n FROM events GROUP BY 1)",
+    ),
     Case("str_rate_cap", _rate_cap, _CAPPED),
     Case("str_rate_cap_batch", _rate_cap_batch, _CAPPED),
     Case("str_drop_stats", _drop_batch, T.with_ctes(_DROPPED, T.LOGS, _MATCHED)),
