@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from timberline.llm.samples import labelled_sample
 from timberline.llm.words import LOWER, SpanHasher, column_of, mix, pieces, spans, text_bytes
 
-PER_CLASS = 6000
+PER_CLASS = 4000
 PENALTY = 1.0
 BITS = 18
 _STARTS = (4, 5)  # bytes of a word's beginning that are a feature of their own
@@ -126,7 +126,7 @@ class Model:
 
 def _flat(lists: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = [len(x) for x in lists]
-    return np.repeat(np.arange(len(lists)), sizes), np.concatenate([*lists, np.empty(0, np.int32)]).astype(np.int64)
+    return np.repeat(np.arange(len(lists), dtype=np.int32), sizes), np.concatenate([*lists, np.empty(0, np.int32)])
 
 
 def fit_examples(
@@ -137,20 +137,20 @@ def fit_examples(
     n = len(label)
     if n == 0 or label.min() == label.max():  # nothing to tell apart
         return Model(weights, 0.0 if n == 0 else (4.0 if label[0] else -4.0))
-    rows, cols = _flat(own)
-    toxic = np.bincount(cols, label[rows].astype(float), 1 << bits)
-    seen = np.bincount(cols, minlength=1 << bits).astype(float)
+    toxic, seen = (np.zeros(1 << bits) for _ in range(2))
+    for buckets, y in zip(own, label.tolist()):  # a text's buckets are distinct
+        seen[buckets] += 1
+        toxic[buckets] += y
     share = label.mean()
     expected = seen * share
     evidence = (toxic - expected) ** 2 / np.maximum(expected * (1 - share) * (1 - seen / (n + 1)), 1e-9)
     used = np.flatnonzero((evidence >= _EVIDENCE) & (seen >= 3))
-    place = np.full(1 << bits, -1)
+    place = np.full(1 << bits, -1, np.int32)
     place[used] = np.arange(len(used))
 
     def matrix(lists):
-        r, c = _flat(lists)
-        keep = place[c] >= 0
-        return r[keep], place[c[keep]]
+        r, c = _flat([at[at >= 0] for at in (place[x] for x in lists)])
+        return r, c
 
     rows, cols = matrix(own)
     pairs = np.flatnonzero(named)
