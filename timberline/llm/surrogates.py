@@ -23,8 +23,8 @@ _NAME = r"\p{Lu}\p{Ll}+(?:[-' ]\p{Lu}\p{Ll}+){0,2}"
 
 # Kinds in the order in which they claim a text; a match is of the first kind that fits it whole.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_key)=[^\s\"'&]+"
+    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?i:password|passwd|secret|token|api_key)=[^\s\"'&]+"
     r"|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
@@ -35,7 +35,11 @@ PATTERNS = {
     "name_m": rf"(?<!\p{{L}})(?:{_MALE})\.? {_NAME}",
     "name_f": rf"(?<!\p{{L}})(?:{_FEMALE})\.? {_NAME}",
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Every entity begins a word, a number or a sign before one, so most characters are passed over at once.
+ANY = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(г])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+# What a text with an entity must hold at least: a digit, an address or a value, or what may be a
+# title before a capital. That tells most texts apart from those the patterns must read.
+GATES = (r"[0-9@=]", r"[MHFSг][\p{Ll}-]{0,7}\.? \p{Lu}")
 _TITLE = rf"^(?:{_MALE}|{_FEMALE})\.? "
 _DIGITS = ("card", "ssn", "phone")
 _MOST_DRAWS = 100
@@ -195,7 +199,9 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     any_entity = F.lit(ANY)
     found = F.regexp_extract_all("text", any_entity, F.lit(0))
-    held = rows.where(F.col("text").rlike(ANY)).withColumn("_key", F.xxhash64("text"))
+    gate = F.col("text").rlike(GATES[0]) | F.col("text").rlike(GATES[1])
+    some = F.coalesce(F.when(gate, F.col("text").rlike(ANY)), F.lit(False))
+    held = rows.where(some).withColumn("_key", F.xxhash64("text"))
     mentions = (
         held.select("_key", F.explode(F.array_distinct(found)).alias("match"))
         .distinct()
@@ -215,5 +221,5 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         F.zip_with(between, found, lambda p, m: F.concat(F.coalesce(p, F.lit("")), F.coalesce(F.col("shown")[m], F.lit("")))), ""
     )
     changed = held.join(tables, "_key").select("_id", joined.alias("text"), F.size(found).cast("bigint").alias("n_entities"))
-    same = rows.where(~F.coalesce(F.col("text").rlike(ANY), F.lit(False))).select("_id", "text", F.lit(0).cast("bigint").alias("n_entities"))
+    same = rows.where(~some).select("_id", "text", F.lit(0).cast("bigint").alias("n_entities"))
     return changed.unionByName(same).withColumnRenamed("_id", id_col)
