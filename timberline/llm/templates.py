@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.words import SpanHasher, mix, pieces, run_hashes, signed, text_bytes, word_spans
+from timberline.llm.words import SpanHasher, mix, pieces, range_hashes, signed, text_bytes, word_spans
 from timberline.session import checkpointed
 
 DEPTH = 3
@@ -34,6 +34,11 @@ _DIGIT[48:58] = True
 _FIELD_HASH = np.uint64(0x6A09E667F3BCC909)
 
 
+def _in_text(text: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One hash of a text's number and a line."""
+    return mix(line ^ mix(text.astype(np.uint64) + np.uint64(0x2545F4914F6CDD1D)))
+
+
 class _Lines:
     """Lines with a token, over all texts of a piece."""
 
@@ -61,11 +66,13 @@ class _Lines:
         for part in parts:
             leaf = mix(leaf ^ mix(part + np.uint64(0x9E3779B97F4A7C15)))
         self.leaf = leaf
-        whole = leaf.copy()
-        for size in np.unique(self.count):
-            same = np.flatnonzero(self.count == size)
-            whole[same] = mix(whole[same] ^ run_hashes(tokens, int(size))[self.first[same]])
-        self.line = whole
+        self.line = mix(leaf ^ range_hashes(tokens, self.first, self.first + self.count))
+
+    def listed(self, lists: pa.Array) -> np.ndarray:
+        """Which lines are in their text's list of line hashes."""
+        row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        hashes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return np.isin(_in_text(self.text, self.line), _in_text(row, hashes))
 
 
 def _line_keys(depth: int):
@@ -90,15 +97,8 @@ def _line_tokens(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             lines = _Lines(piece.column("text"), depth)
-            asked = [set(x.as_py() or ()) for x in piece.column("lines")]
-            names = signed(lines.line).tolist()
-            seen: set = set()
-            chosen = []
-            for i, (text, name) in enumerate(zip(lines.text.tolist(), names)):
-                if name in asked[text] and (text, name) not in seen:
-                    seen.add((text, name))
-                    chosen.append(i)
-            at = np.array(chosen, np.int64)
+            at = np.flatnonzero(lines.listed(piece.column("lines")))
+            at = at[np.unique(_in_text(lines.text[at], lines.line[at]), return_index=True)[1]]
             count = lines.count[at]
             ends = np.cumsum(count)
             index = np.arange(count.sum()) + np.repeat(lines.first[at] - (ends - count), count)
@@ -119,12 +119,11 @@ def _without(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             lines = _Lines(piece.column("text"), depth)
-            dropped = [set(x.as_py() or ()) for x in piece.column("lines")]
-            gone: list[set[int]] = [set() for _ in dropped]
             total = np.bincount(lines.text, minlength=piece.num_rows)
-            for text, name, number in zip(lines.text.tolist(), signed(lines.line).tolist(), lines.number.tolist()):
-                if name in dropped[text]:
-                    gone[text].add(number)
+            dropped = np.flatnonzero(lines.listed(piece.column("lines")))
+            gone: list[set[int]] = [set() for _ in range(piece.num_rows)]
+            for text, number in zip(lines.text[dropped].tolist(), lines.number[dropped].tolist()):
+                gone[text].add(number)
             kept = []
             for text, out in zip(piece.column("text").to_pylist(), gone):
                 text = text or ""
@@ -166,7 +165,7 @@ def drop_templates(
         # The same columns and left joins in both places: the texts are then shuffled only once.
         return rows.join(found.groupBy("_key").agg(F.collect_set("line").alias("lines")), "_key", "left")
 
-    distinct = (
+    distinct = checkpointed(
         with_lines(shared).where(F.size("lines") > 0).dropDuplicates(["_key"]).select("_id", "text", "lines")
         .mapInArrow(_line_tokens(depth), "leaf bigint, line bigint, tokens array<bigint>")
         .groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))

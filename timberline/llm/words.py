@@ -66,6 +66,12 @@ def run_hashes(words: np.ndarray, k: int, base: str = "word") -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * inverse[: len(words) - k + 1])
 
 
+def range_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: str = "word") -> np.ndarray:
+    """Hash of ``words[starts[i]:ends[i]]`` for every i."""
+    sums = _sums(words, base)
+    return mix((sums[ends] - sums[starts]) * _powers(base, len(words) + 1)[1][starts])
+
+
 @dataclass
 class Words:
     """Hashed words of several texts, one after the other.
