@@ -1,5 +1,6 @@
 """Classifiers, fertility rules and surrogates."""
 
+import ipaddress
 import math
 import re
 import zlib
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from timberline.llm import passages, queries, toxicity
 from timberline.llm.fertility import fertility_rules
-from timberline.llm.surrogates import canonical, distinct_surrogates, kind_of, replace_entities
+from timberline.llm.surrogates import canonical, distinct_surrogates, kind_of, replace_entities, surrogate
 from timberline.llm.vocab import public_path
 
 
@@ -202,6 +203,32 @@ def test_surrogates_stay_distinct(spark):
     assert not {r.surrogate for r in rows} & {f"{i:03d}" for i in range(450)}
 
 
+def test_surrogates_of_full_spaces(spark):
+    """Forms that have no other value left, or none at all, get longer surrogates."""
+    texts = [f"token={i}" for i in range(10)]
+    texts += ["password=********", "password=****", "token=***", "secret=пароль", "api_key=_1", "secret=ключ7x"]
+    texts += [f"{i}@{j}.org" for i in range(10) for j in range(10)] + [f"+1 {i % 10} {i // 1000:02d} {i // 10 % 100:02d}" for i in range(100_000)]
+    rows = replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), key="k").collect()
+    new = {r.doc_id: r.text for r in rows}
+    assert len(rows) == len(new) == len(texts) == len(set(new.values()))
+    assert not set(new.values()) & set(texts) and all(r.n_entities == 1 for r in rows)
+    assert all(new[i].split("=")[0] == t.split("=")[0] for i, t in enumerate(texts) if "=" in t)
+    assert not any(c in t for t in new.values() for c in "парольключ*")
+    assert re.fullmatch(r"password=[a-z]{4}", new[11]) and all(re.fullmatch(r"token=\d[0-9a-f]{8,}", new[i]) for i in range(10))
+
+
+def test_longer_surrogates_keep_their_form(spark):
+    values = [("ip", "10.0.0.1"), ("card", "4539148803436467"), ("email", "a.b@c.org"), ("name_f", "erika"), ("name_m", "иван петров"), ("iban", "DE89370400440532013000")]
+    entities = spark.createDataFrame(values, "kind string, value string")
+    early, late, later = (
+        {r.kind: r.s for r in entities.select("kind", surrogate(F.col("kind"), F.col("value"), "k", n).alias("s")).collect()} for n in (0, 6, 7)
+    )
+    for k, s in late.items():
+        assert len(early[k]) < len(s) and (k == "ip" or len(s) < len(later[k]))
+    assert luhn(late["card"]) and ipaddress.ip_address(late["ip"]).version == 6 != ipaddress.ip_address(early["ip"]).version
+    assert re.fullmatch(r"[a-z]\.[a-z][0-9a-f]{8}@[a-z]\.org", late["email"]) and late["name_f"].endswith("na") and late["name_m"].split()[0].endswith("н")
+
+
 def test_no_planted_entity_is_left(spark, sf_dir, documents, texts):
     rows = replace_entities(documents, key="k").collect()
     assert len(rows) == len(texts)

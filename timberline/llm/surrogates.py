@@ -5,12 +5,14 @@ kind and format, derived from a secret key: digits stay digits, letters stay let
 their case and script, addresses stay valid, card numbers keep their issuer and check
 digit, names keep their title, gender and script. So one entity has one surrogate in all
 documents, whatever case or separators a mention uses. Surrogates that would meet
-each other or a real entity are drawn again until all are distinct.
+each other or a real entity are drawn again until all are distinct; after some draws they
+get longer each time (an ip address one of version 6), so no space of values can fill up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +44,9 @@ ANY = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(г])(?:" + "|".join(f"(?:{p})" for p in P
 GATES = (r"[0-9@=]", r"[MHFSг][\p{Ll}-]{0,7}\.? \p{Lu}")
 _TITLE = rf"^(?:{_MALE}|{_FEMALE})\.? "
 _DIGITS = ("card", "ssn", "phone")
-_MOST_DRAWS = 100
+# Draws in an entity's own form, and the characters that each later draw adds.
+_PLAIN_DRAWS = 6
+_LONGER = 8
 
 _LATIN = ("ba be bi bo da de di do fa fe ga ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te ti to va ve vi".split())
 _CYRILLIC = ("ба бе ви во га да де ди до ка ке ла ле ли ло ма ме ми мо на не ни но па ра ре ри ро са се та те ти то ва за зо жа".split())
@@ -76,8 +80,11 @@ def _pick(alphabet: str, n: Column) -> Column:
     return F.substring(F.lit(alphabet), n % len(alphabet) + 1, F.lit(1))
 
 
-def _characters(value: Column, digest: Column, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Every character replaced by one of its class; others, and those ``keep`` names by place, stay."""
+def _characters(
+    value: Column, digest: Column, keep: Callable[[Column], Column] | None = None, also: Callable[[Column], Column] | None = None
+) -> Column:
+    """Every character replaced by one of its class; others, and those ``keep`` names by place, stay.
+    Where ``also`` holds of such another character, it becomes a letter."""
 
     def one(c: Column, i: Column) -> Column:
         n = _number(digest, i)
@@ -87,8 +94,10 @@ def _characters(value: Column, digest: Column, keep: Callable[[Column], Column]
             .when(c.rlike("^[a-f]$") & hexadecimal, _pick("abcdef", n))
             .when(c.rlike("^[a-z]$"), _pick("abcdefghijklmnopqrstuvwxyz", n))
             .when(c.rlike("^[A-Z]$"), _pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", n))
-            .otherwise(c)
         )
+        if also:
+            out = out.when(also(c), _pick("abcdefghijklmnopqrstuvwxyz", n))
+        out = out.otherwise(c)
         return F.when(keep(i), c).otherwise(out) if keep else out
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
@@ -102,14 +111,18 @@ def _check_digit(payload: Column) -> Column:
     return ((10 - total % 10) % 10).cast("string")
 
 
-def _name(value: Column, kind: Column, digest: Column) -> Column:
-    """As many words as the name has, of syllables of its script, the first with its gender's ending."""
+def _name(value: Column, kind: Column, digest: Column, tail: Column, more: int) -> Column:
+    """As many words as the name has, of syllables of its script, the first with its gender's ending
+    and ``more`` further syllables drawn from ``tail``."""
 
     def word(w: Column, i: Column, syllables: list[str], male: str, female: str) -> Column:
         table = F.array(*map(F.lit, syllables))
         # 16-bit draws: neighbouring bytes, three syllables a word
         part = [F.element_at(table, (_number(digest, i * 7 + 2 * k) * 256 + _number(digest, i * 7 + 2 * k + 1)) % len(syllables) + 1) for k in range(3)]
         end = F.when(i > 0, "").when(kind == "name_f", female).otherwise(male)
+        if more:
+            longer = [F.element_at(table, _number(tail, k) % len(syllables) + 1) for k in range(more)]
+            end = F.concat(F.when(i > 0, "").otherwise(F.concat(*longer)), end)
         return F.concat(*part, end)
 
     words = F.split(value, "[ ]")
@@ -119,23 +132,39 @@ def _name(value: Column, kind: Column, digest: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, key: str, draw: int) -> Column:
-    """The surrogate of a canonical entity at one draw."""
+    """The surrogate of a canonical entity at one draw.
+
+    The first draws keep the entity's form. Each later one is ``_LONGER`` characters
+    (or syllables) longer than the one before, so the space grows by 10 ** 8 at least.
+    """
     digest = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, F.lit(str(draw))), 512)
+    more = max(0, draw - _PLAIN_DRAWS + 1) * _LONGER
+    tail = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, value, F.lit(str(draw)), F.lit("more")), 512)
+    letters = F.substring(tail, 1, more) if more else F.lit("")
+    digits = F.translate(letters, "abcdef", "012345")
     code = F.length(F.regexp_extract(value, r"^(\+[0-9]{0,1})", 1))
     local = F.regexp_extract(value, r"^(.*)\.[^.]*$", 1)
     top = F.regexp_extract(value, r"(\.[^.]*)$", 1)
+    address = _characters(local, digest)
     payload = _characters(F.substring(value, F.lit(1), F.length(value) - 1), digest, lambda i: i < 1)
     octets = F.concat_ws(".", *[(_number(digest, i) % 254 + 1).cast("string") for i in range(4)])
+    if more:
+        address = F.regexp_replace(address, F.lit("@"), F.concat(letters, F.lit("@")))
+        payload = F.concat(payload, digits)
+        octets = F.concat_ws(":", F.concat(F.lit("fd"), F.substring(tail, 1, 2)), *[F.substring(tail, 4 * i - 1, 4) for i in range(1, 8)])
     prefix = F.length(F.regexp_extract(value, r"^(AKIA|[A-Za-z_]+=)", 1))
+    # A secret without a letter or digit of ASCII, such as ****, would be its own surrogate.
+    signs = ~F.substring(value, prefix + 1, F.length(value)).rlike("[0-9A-Za-z]") | F.lit(more > 0)
+    hidden = _characters(value, digest, lambda i: i < prefix, lambda c: signs | c.rlike(r"^[^\x00-\x7F]$"))
     return (
-        F.when(kind == "email", F.concat(_characters(local, digest), top))
+        F.when(kind == "email", F.concat(address, top))
         .when(kind == "ip", octets)
         .when(kind == "card", F.concat(payload, _check_digit(payload)))
-        .when(kind == "phone", _characters(value, digest, lambda i: i < code))
-        .when(kind == "secret", _characters(value, digest, lambda i: i < prefix))
-        .when(kind == "iban", _characters(value, digest, lambda i: i < 2))
-        .when(kind.startswith("name"), _name(value, kind, digest))
-        .otherwise(_characters(value, digest))
+        .when(kind == "phone", F.concat(_characters(value, digest, lambda i: i < code), digits))
+        .when(kind == "secret", F.concat(hidden, letters))
+        .when(kind == "iban", F.concat(_characters(value, digest, lambda i: i < 2), digits))
+        .when(kind.startswith("name"), _name(value, kind, digest, tail, more))
+        .otherwise(F.concat(_characters(value, digest), digits))
     )
 
 
@@ -143,12 +172,13 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(``kind``, ``value``, ``surrogate``) with no surrogate twice and none that is a real value.
 
     Each round draws for the values still open and keeps the draws that meet neither an
-    entity, nor an earlier surrogate, nor a lesser value of the same round.
+    entity, nor an earlier surrogate, nor a lesser value of the same round. Surrogates
+    get longer from round to round in the end, so the rounds come to an end for any entities.
     """
     entities = checkpointed(entities.select("kind", "value").distinct())
     real = entities.select("kind", F.col("value").alias("surrogate"))
     done, pending = None, entities
-    for draw in range(_MOST_DRAWS):
+    for draw in count():
         drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, draw))
         taken = real if done is None else real.union(done.select("kind", "surrogate"))
         kept = checkpointed(
@@ -159,7 +189,6 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
         pending = checkpointed(pending.join(kept, ["kind", "value"], "left_anti"))
         if pending.isEmpty():
             return done
-    raise ValueError(f"no distinct surrogates after {_MOST_DRAWS} draws")
 
 
 def rendered(kind: Column, match: Column, new: Column) -> Column:
@@ -174,7 +203,8 @@ def rendered(kind: Column, match: Column, new: Column) -> Column:
             text = F.concat(a["text"], F.when(is_slot, F.substring(stream, a["next"], F.lit(1))).otherwise(c))
             return F.struct(text.alias("text"), (a["next"] + is_slot.cast("int")).alias("next"))
 
-        return F.aggregate(F.split(match, ""), start, step, lambda a: a["text"])
+        rest = lambda a: F.substring(stream, a["next"], F.length(stream))  # noqa: E731  what a longer surrogate has left
+        return F.aggregate(F.split(match, ""), start, step, lambda a: F.concat(a["text"], rest(a)))
 
     cased = F.array_join(
         F.zip_with(F.split(match, ""), F.split(new, ""), lambda c, s: F.when(c.rlike(r"^\p{Lu}$"), F.upper(s)).otherwise(s)), ""
