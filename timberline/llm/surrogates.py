@@ -25,8 +25,8 @@ _NAME = r"\p{Lu}\p{Ll}+(?:[-' ]\p{Lu}\p{Ll}+){0,2}"
 
 # Kinds in the order in which they claim a text; a match is of the first kind that fits it whole.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z])(?i:password|passwd|secret|token|api_key)=[^\s\"'&]+"
+    "email": r"(?:(?<![A-Za-z0-9])|\G)[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:password|passwd|secret|token|api_key)=[^\s\"'&]+"
     r"|(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])",
@@ -37,11 +37,15 @@ PATTERNS = {
     "name_m": rf"(?<!\p{{L}})(?:{_MALE})\.? {_NAME}",
     "name_f": rf"(?<!\p{{L}})(?:{_FEMALE})\.? {_NAME}",
 }
-# Every entity begins a word, a number or a sign before one, so most characters are passed over at once.
-ANY = r"(?<![A-Za-z0-9])(?=[A-Za-z0-9+(г])(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
-# What a text with an entity must hold at least: a digit, an address or a value, or what may be a
-# title before a capital. That tells most texts apart from those the patterns must read.
-GATES = (r"[0-9@=]", r"[MHFSг][\p{Ll}-]{0,7}\.? \p{Lu}")
+PLAIN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Where a pattern can match at all: no letter or digit before, a digit or sign next, a digit or a
+# match before, or a key of a secret next. So most letters are passed over at once, and nothing that
+# a pattern allows is; a pattern's own lookbehind decides what it may be glued to.
+_WHERE = r"(?=[A-Za-z0-9+(г])(?:(?<![A-Za-z0-9])|(?=[0-9+(])|(?<=[0-9])|\G|(?=[PSTApsta](?i:assword|asswd|ecret|oken|pi_key)=))"
+ANY = f"{_WHERE}(?:{PLAIN})"
+# What a text with an entity must hold at least: a digit, an address or a value, what may be a
+# title before a capital, or a key without a digit. That tells most texts apart from those the patterns must read.
+GATES = (r"[0-9@=]", r"[MHFSг][\p{Ll}-]{0,7}\.? \p{Lu}|AKIA|[a-f]{32}")
 _TITLE = rf"^(?:{_MALE}|{_FEMALE})\.? "
 _DIGITS = ("card", "ssn", "phone")
 # Draws in an entity's own form, and the characters that each later draw adds.
