@@ -3,12 +3,13 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from timberline.llm.components import components
 from timberline.llm.minmax import deduplicated, near_duplicates
 from timberline.llm.substrings import remove_repeats
-from timberline.llm.templates import drop_templates
+from timberline.llm.templates import _repeats, drop_templates
 
 
 def words(text):
@@ -113,6 +114,39 @@ def test_components_of_a_long_path(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
 
 
+def test_templates_of_any_size(spark):
+    """Fields are fields whether their values recur or not."""
+
+    def letters(n):
+        return "".join("abcdefghij"[int(d)] for d in str(n))
+
+    for n, kinds in ((40, 40), (1000, 20), (4000, 1000)):
+        # names and cities meet in as many pairs as can be, so hardly a line recurs
+        rows = [(i, f"Report filed today by N{letters(i % kinds)} from C{letters((i * 7 + i // kinds) % kinds)} office") for i in range(n)]
+        rows.append((n, "Report filed and never read by anyone in any office"))
+        got = drop_templates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+        assert {r.doc_id: r.n_dropped for r in got} == {i: int(i < n) for i in range(n + 1)}
+
+
+def test_templates_count_documents_and_not_lines(spark):
+    # "k" is met there in four lines of one document: a field, as in the three other documents
+    rows = [(0, "\n".join(f"a b c d {x} k" for x in "pqrs"))] + [(i, f"a b c d {x} {y}") for i, (x, y) in enumerate(["tu", "vw", "xy"], 1)]
+    rows += [(i, "a b c d e f g h\na b c d e x y z") for i in range(10, 13)] + [(13, "a b c m n o p q")]
+    got = {r.doc_id: r.n_dropped for r in drop_templates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {0: 4, 1: 1, 2: 1, 3: 1, 10: 0, 11: 0, 12: 0, 13: 0}
+    # six lines of one document in a leaf of four: none of their own tokens recurs in other documents
+    rows = [(0, "\n".join(f"a b c d e {x} w z" for x in "pqrstu"))] + [(i, f"a b c {x} {x}{x} {x}y y{x} {x}z") for i, x in enumerate("ghi", 1)]
+    got = {r.doc_id: r.n_dropped for r in drop_templates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {i: 0 for i in range(4)}
+
+
+def test_repeats_in_a_text():
+    text, leaf, count = np.array([0, 0, 0, 1, 1]), np.array([5, 5, 9, 5, 5], np.uint64), np.array([2, 2, 1, 2, 2])
+    tokens = np.array([1, 2, 1, 3, 1, 1, 2, 1, 2], np.uint64)
+    got = sorted(zip(*(x.tolist() for x in _repeats(text, leaf, count, tokens))))
+    assert got == [(5, 0, 1, 2), (5, 1, 2, 1)]
+
+
 def test_templates(spark, edge_docs, no_docs):
     rows = [(i, f"Unique text of number {'abcdefgh'[i]}\nServer node-{i} answered in {i * 7} ms today\n\nEnd{i}") for i in range(6)]
     rows += [(6, "Server node-1 was never heard of again today"), (7, None)]

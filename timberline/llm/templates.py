@@ -1,15 +1,19 @@
 """Line dedup by a log-template tree.
 
 The tree has a fixed depth: lines are parsed by their number of tokens and then by their
-``depth`` leading tokens, a token with a digit counting as a variable field. Inside a leaf a
-position of a line is constant if its token is met there in ``min_docs`` documents or more,
-and a variable field otherwise; what is left is the line's template. A template
-with enough constant positions that recurs in ``min_docs`` documents or more is boilerplate, and its
-lines are dropped.
+``depth`` leading tokens, a token with a digit counting as a variable field. Inside a leaf the
+token at a position has a rank by the share of the leaf's documents that have it there: rank r is a
+share of 1 / 2**r or more. A token that fewer than ``min_docs`` documents have there is a
+variable field at any rank. A line's template holds its positions up to the lowest rank at which
+enough of them are constant; the others are variable fields. So fields are told by shares, and lines have the
+same template in a corpus of any size. A template that recurs in ``min_docs`` documents or more is
+boilerplate, and its lines are dropped. (Templates of higher ranks are not asked for: lines that
+share one share that of the lowest rank too.)
 
 Nothing depends on the order of lines. Leaves that fewer documents share are left out after
 one count; the tokens of the rest are counted once for each distinct line, with partial sums
-before the shuffle, so a line in a third of all documents is one row.
+before the shuffle, so a line in a third of all documents is one row. What lines of one document have in
+common is taken off again, so that documents are counted and not lines.
 """
 
 from __future__ import annotations
@@ -91,8 +95,25 @@ def _line_keys(depth: int):
     return run
 
 
+def _repeats(text: np.ndarray, leaf: np.ndarray, count: np.ndarray, tokens: np.ndarray):
+    """(leaf, place, token, documents counted too often) where lines of one text agree."""
+    several = np.unique(_in_text(text, leaf), return_inverse=True, return_counts=True)
+    many = several[2][several[1]] > 1
+    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.flatnonzero(np.repeat(many, count))
+    line = np.repeat(np.arange(len(count)), count)[at]
+    place, tokens = place[at], tokens[at]
+    name = mix(tokens ^ mix(leaf[line] ^ mix(place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))))
+    texts, first, met = np.unique(_in_text(text[line], name), return_index=True, return_counts=True)
+    first, extra = first[met > 1], met[met > 1] - 1
+    _, one, group = np.unique(name[first], return_index=True, return_inverse=True)
+    total = np.bincount(group, weights=extra, minlength=len(one)).astype(np.int64)
+    first = first[one]
+    return leaf[line[first]], place[first], tokens[first], total
+
+
 def _line_tokens(depth: int):
-    """The tokens of the lines asked for, once per text."""
+    """The tokens of the lines asked for, once per text, and :func:`_repeats` with its count below zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -102,13 +123,19 @@ def _line_tokens(depth: int):
             count = lines.count[at]
             ends = np.cumsum(count)
             index = np.arange(count.sum()) + np.repeat(lines.first[at] - (ends - count), count)
+            leaf, place, token, extra = _repeats(lines.text[at], lines.leaf[at], count, lines.tokens[index])
+            n, more = len(at), len(leaf)
+            off = np.arange(n + more) >= n
             yield pa.record_batch(
                 {
-                    "leaf": pa.array(signed(lines.leaf[at]), pa.int64()),
-                    "line": pa.array(signed(lines.line[at]), pa.int64()),
+                    "leaf": pa.array(signed(np.append(lines.leaf[at], leaf)), pa.int64()),
+                    "line": pa.array(signed(np.append(lines.line[at], leaf)), pa.int64(), mask=off),
+                    "place": pa.array(np.append(np.zeros(n, np.int32), place.astype(np.int32)), mask=~off),
                     "tokens": pa.ListArray.from_arrays(
-                        pa.array(np.append(0, ends), pa.int32()), pa.array(signed(lines.tokens[index]), pa.int64())
+                        pa.array(np.concatenate([[0], ends, ends[-1:].sum() + np.arange(1, more + 1)]), pa.int32()),
+                        pa.array(signed(np.append(lines.tokens[index], token)), pa.int64()),
                     ),
+                    "docs": pa.array(np.append(np.ones(n, np.int64), -extra), pa.int64()),
                 }
             )
 
@@ -158,30 +185,40 @@ def drop_templates(
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.select(F.xxhash64("_id", "text").alias("_key"), "_id", "text")
     lines = rows.select("_key", "text").mapInArrow(_line_keys(depth), "_key bigint, leaf bigint, line bigint")
-    leaves = lines.select("leaf", "_key").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf")
-    shared = checkpointed(lines.join(checkpointed(leaves), "leaf").distinct())
+    leaves = checkpointed(
+        lines.select("leaf", "_key").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("leaf_docs"))
+        .where(F.col("leaf_docs") >= min_docs)
+    )
+    shared = checkpointed(lines.join(leaves.select("leaf"), "leaf").distinct())
 
     def with_lines(found: DataFrame) -> DataFrame:
         # The same columns and left joins in both places: the texts are then shuffled only once.
         return rows.join(found.groupBy("_key").agg(F.collect_set("line").alias("lines")), "_key", "left")
 
-    distinct = checkpointed(
+    # Lines with their tokens and documents; rows without a line take documents off one token's count.
+    counted = checkpointed(
         with_lines(shared).where(F.size("lines") > 0).dropDuplicates(["_key"]).select("_id", "text", "lines")
-        .mapInArrow(_line_tokens(depth), "leaf bigint, line bigint, tokens array<bigint>")
-        .groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
+        .mapInArrow(_line_tokens(depth), "leaf bigint, line bigint, place int, tokens array<bigint>, docs bigint")
+        .withColumn("token", F.when(F.col("line").isNull(), F.col("tokens")[0]))
+        .groupBy("leaf", "line", "place", "token").agg(F.first("tokens").alias("tokens"), F.sum("docs").alias("docs"))
     )
-    places = distinct.select("leaf", "line", "docs", F.posexplode("tokens").alias("place", "token"))
-    often = (
-        places.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("met")).where(F.col("met") >= min_docs).drop("met")
-    )
-    sizes = distinct.select("leaf", "line", F.size("tokens").alias("size"))
+    distinct = counted.where(F.col("line").isNotNull()).select("leaf", "line", "tokens", "docs")
+    places = distinct.select("leaf", "line", "docs", F.size("tokens").alias("size"), F.posexplode("tokens").alias("place", "token"))
+    repeats = counted.where(F.col("line").isNull()).select("leaf", "place", "token", "docs")
+    ranked = (
+        places.select("leaf", "place", "token", "docs").union(repeats)
+        .groupBy("leaf", "place", "token").agg(F.sum("docs").alias("met")).where(F.col("met") >= min_docs)
+        .join(leaves, "leaf")
+        .select("leaf", "place", "token", F.ceil(F.log2(F.col("leaf_docs") / F.col("met")) - 1e-9).cast("int").alias("rank"))
+    )
+    enough = F.greatest(F.lit(1), F.ceil(F.lit(constant) * F.col("size"))).cast("int")
     templates = (
-        places.join(often, ["leaf", "place", "token"])
+        places.join(ranked, ["leaf", "place", "token"])
         .groupBy("leaf", "line")
-        .agg(F.count(F.lit(1)).alias("fixed"), F.bit_xor(F.xxhash64("place", "token")).alias("template"))
-        .join(sizes, ["leaf", "line"])
-        .where(F.col("fixed") >= constant * F.col("size"))
-        .select("line", F.xxhash64("leaf", "template").alias("template"))
+        .agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("rank", "place", "token"))).alias("fixed"))
+        .where(F.size("fixed") >= enough)
+        .withColumn("rank", F.element_at("fixed", enough)["rank"])
+        .select("line", F.xxhash64("leaf", F.filter("fixed", lambda x: x["rank"] <= F.col("rank"))).alias("template"))
     )
     placed = shared.select("_key", "line").join(templates, "line")
     recurring = placed.select("template", "_key").distinct().groupBy("template").count().where(F.col("count") >= min_docs)
