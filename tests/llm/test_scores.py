@@ -152,6 +152,29 @@ def test_fertility_rejects_what_is_unlike_its_group(spark):
     assert not got[900] and sum(got[i] for i in range(200)) > 195
 
 
+def test_fertility_judges_rare_languages_and_lengths(spark):
+    """What is unlike all others is rejected where its language or length class is rare, too."""
+    rng = np.random.default_rng(5)
+    plain = ["the", "house", "of", "water", "stands", "near", "green", "old", "river", "and", "people", "walk", "there"]
+    junk = ["".join(rng.choice(list("qxzjkvw"), 9)) for _ in range(400)]
+
+    def text(words, n):
+        return " ".join(rng.choice(words, n))
+
+    rows = [(i, text(plain, 60), "en") for i in range(200)]
+    rows += [(300 + i, text(plain, 60), "rare") for i in range(5)] + [(400 + i, text(plain, 200), "en") for i in range(5)]
+    rows += [(900, text(junk, 60), "rare"), (901, text(junk, 60), "alone"), (902, text(junk, 200), "en")]
+    # few different words without a repeated window: plain by its letters, poor by its entropy
+    poor = ["of", "and"]
+    order = np.array([0, 0, 0, 0, 1, 0, 0, 0, 1, 1, 0, 0, 1, 0, 1, 0, 0, 1, 1, 1, 0, 1, 0, 1, 1, 0, 1, 1, 1, 1, 1, 0, 0, 0, 0])
+    rows += [(903, " ".join(poor[i] for i in order), "rare")]
+    got = {r.doc_id: r for r in fertility_rules(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not any(got[i].base_failed for i in range(900, 904)) and not any(got[i].kept for i in range(900, 904))
+    assert all(got[i].kept for i in [*range(300, 305), *range(400, 405)]) and sum(got[i].kept for i in range(200)) > 195
+    alone = fertility_rules(spark.createDataFrame(rows[:20] + [r for r in rows if r[0] == 900], "doc_id bigint, text string, lang string")).collect()
+    assert {r.doc_id for r in alone if not r.kept} == {900}
+
+
 MENTIONS = [
     (1, "Write to Jane.Doe@Example.com or jane.doe@example.com, call +1 (415) 555-2671 or +1 415 555 2671."),
     (2, "Card 4539 1488 0343 6467 and 4539148803436467, host 192.168.10.4, ssn 078-05-1120."),

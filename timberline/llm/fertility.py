@@ -4,8 +4,10 @@ A public vocabulary encodes every word of a text by itself. Three measures follo
 characters per token, the share of byte-fallback tokens, and the entropy of the
 text's tokens. What is normal depends on the language or script and on the length,
 so the bands are taken from the documents of the same language (or, where that is null, of
-the same script) and length class: quartiles widened by ``SPREAD`` times their distance. Where a
-length class has too few documents, its language's bands decide on all but the entropy.
+the same script) and length class: quartiles widened by ``SPREAD`` times their distance. Where these
+are too few, wider groups decide: the language, the script, all documents. The entropy depends on
+the length before all, so there length classes nearby come first, of the language, of the script and of
+all documents. All documents together have bands however few they are, so each one is judged.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ MIN_WORDS = 10
 MAX_REPEATED = 20  # per cent of words in repeated windows
 SPREAD = 4.0
 LEAST_WIDTH = {"chars_per_token": 0.4, "fallback_share": 0.05, "entropy": 0.6}
-MIN_GROUP = 50  # documents a group needs to have bands at all
+MIN_GROUP = 50  # documents a group needs to have bands of its own
+NEAR = 2  # length classes nearby that bands of the entropy may take in
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -105,28 +108,66 @@ def script(text: Column) -> Column:
 def measured(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", path: str | None = None
 ) -> DataFrame:
-    """(``_id``, ``_group``, measures) of every row; see :func:`fertility_rules`."""
+    """(``_id``, ``_group``, ``_script``, measures) of every row; see :func:`fertility_rules`."""
     text = F.col(f"`{text_col}`").cast("string")
     measure = column_of(_measured(path or public_path(VOCABULARY)), MEASURES)
-    group = F.concat(F.lit("script "), script(text))
+    written = F.concat(F.lit("script "), script(text))
+    group = written
     if lang_col:
         group = F.coalesce(F.concat(F.lit("lang "), F.col(f"`{lang_col}`").cast("string")), group)
-    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), group.alias("_group"), measure(text).alias("_m"))
-    return rows.select("_id", "_group", "_m.*")
-
-
-def bands(rows: DataFrame, by: list[str], measures: list[str], spread: float, min_group: int) -> DataFrame:
-    """Lower and upper bound of measures by group, for groups of ``min_group`` documents or more.
-
-    Measures are rounded before their quartiles are taken, so a group's state is a
-    table of counts by value, which does not grow with the documents.
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), group.alias("_group"), written.alias("_script"), measure(text).alias("_m"))
+    return rows.select("_id", "_group", "_script", "_m.*")
+
+
+CLASS = ("_group", "_script", "_length")
+
+
+def _levels(measure: str, reach: bool) -> list[Column]:
+    """The groups whose bands a class of documents takes, the first with enough documents, or, with
+    ``reach``, those to whose bands it adds."""
+    steps = [("_group", 0)]
+    if measure == "entropy":
+        steps += [(by, near) for by in ("_group", "_script", None) for near in range(NEAR + 1) if (by, near) != steps[0]]
+    else:
+        steps += [("_group", None), ("_script", None)]
+    steps.append((None, None))
+    out = []
+    for level, (by, near) in enumerate(steps):
+        # A language may be called like a script's group, so they are told apart by the level.
+        key = F.col(by) if by else F.lit("")
+        for off in [0] if not near or not reach else range(-near, near + 1):
+            length = F.lit(-1) if near is None else F.col("_length") + off
+            last = F.lit(level == len(steps) - 1)
+            out.append(F.struct(F.lit(level).alias("level"), key.alias("key"), length.cast("int").alias("length"), last.alias("last")))
+    return out
+
+
+def bands(rows: DataFrame, spread: float, min_group: int) -> DataFrame:
+    """(``CLASS``, a struct of ``low`` and ``high`` for each measure), one row per class of documents.
+
+    Measures are rounded before their quartiles are taken, so a class is a table of
+    counts by value, which does not grow with the documents, and wider groups add up such tables.
     """
-    summary = []
-    for name in measures:
-        q = F.percentile(F.round(name, 2), F.array(F.lit(0.25), F.lit(0.75)))
+    classes = checkpointed(rows.groupBy(*CLASS).agg(F.count(F.lit(1)).alias("_docs"))).drop("_docs")
+    found = classes
+    for name in LEAST_WIDTH:
+        values = rows.groupBy(*CLASS, F.round(name, 2).alias("value")).agg(F.count(F.lit(1)).alias("docs"))
+        q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)), F.col("docs"))
         width = F.greatest((q[1] - q[0]) * spread, F.lit(LEAST_WIDTH[name]))
-        summary.append(F.struct((q[0] - width).alias("low"), (q[1] + width).alias("high")).alias("_".join([name, *by])))
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_docs"), *summary).where(F.col("_docs") >= min_group).drop("_docs")
+        table = (
+            values.select("value", "docs", F.explode(F.array(*_levels(name, True))).alias("at"))
+            .groupBy("at")
+            .agg(F.sum("docs").alias("docs"), F.struct((q[0] - width).alias("low"), (q[1] + width).alias("high")).alias("band"))
+            .where((F.col("docs") >= min_group) | F.col("at.last"))
+        )
+        chosen = (
+            classes.select(*CLASS, F.explode(F.array(*_levels(name, False))).alias("at"))
+            .join(table, "at")
+            .groupBy(*CLASS)
+            .agg(F.min_by("band", "at.level").alias(f"_{name}"))
+        )
+        found = found.join(chosen, [*CLASS])
+    return checkpointed(found)
 
 
 def fertility_rules(
@@ -145,7 +186,8 @@ def fertility_rules(
     ``fallback_share``, ``entropy``, ``kept``). A text of fewer than ``MIN_WORDS`` words (null and empty texts
     too) or with more than ``MAX_REPEATED`` % of its words in repeated windows fails
     the base rules and is not kept; the bands are made from those that pass, and decide on
-    them. A group of fewer than ``min_group`` documents has no bands and rejects none.
+    them. A group of fewer than ``min_group`` documents takes the bands of a wider one, and all
+    documents have bands in the end, so each document is judged.
     Ids may be null or repeat. Other columns are not read. An empty table gives an empty table.
     """
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
@@ -156,15 +198,11 @@ def fertility_rules(
         .withColumn("_length", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
     )
     passed = rows.where(~F.col("base_failed"))
-    near = bands(passed, ["_group", "_length"], list(LEAST_WIDTH), spread, min_group)
-    wide = bands(passed, ["_group"], ["chars_per_token", "fallback_share"], spread, min_group)
     inside = F.lit(True)
     for name in LEAST_WIDTH:
-        limit = F.col(f"{name}__group__length")
-        if name != "entropy":
-            limit = F.coalesce(limit, F.col(f"{name}__group"))
+        limit = F.col(f"_{name}")
         inside &= F.coalesce(F.col(name).between(limit["low"], limit["high"]), F.lit(True))
-    return rows.join(near, ["_group", "_length"], "left").join(wide, "_group", "left").select(
+    return rows.join(bands(passed, spread, min_group), [*CLASS], "left").select(
         F.col("_id").alias(id_col),
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "n_tokens", "chars_per_token", "fallback_share", "entropy",
