@@ -91,6 +91,14 @@ def test_near_duplicates_of_edge_rows(edge_docs, no_docs):
     assert [r.doc_id for r in deduplicated(edge_docs).collect()].count(9) == 1
 
 
+def test_deduplicated_tells_rows_by_id_and_text(spark):
+    one, two, three, four = (" ".join(f"{name}{i}" for i in range(30)) for name in "abcd")
+    rows = [(1, one), (None, one), (None, one + " end"), (7, two), (7, three), (None, four), (None, four), (8, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.text) for r in deduplicated(docs).collect())
+    assert got == sorted([("1", one), ("7", two), ("7", three), ("None", four), ("8", ""), ("9", "")])
+
+
 def test_near_duplicates_in_chains_and_hot_bands(spark):
     """Edited copies of copies: links between members that their common hub does not have."""
     rng = random.Random(11)

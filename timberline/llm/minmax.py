@@ -91,6 +91,7 @@ def _sketches(size: int, permutations: int):
             yield pa.record_batch(
                 {
                     "_id": piece.column("_id"),
+                    "_key": piece.column("_key"),
                     "n": pa.array(count, pa.int64()),
                     "node": pa.array(signed(node), pa.int64(), mask=count == 0),
                     "bands": pa.ListArray.from_arrays(
@@ -239,35 +240,25 @@ def _family_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent:
     return whole.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j").mapInArrow(_settle(percent), "a bigint, b bigint")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = SHINGLE,
-    permutations: int = PERMUTATIONS,
-    percent: int = PERCENT,
-) -> DataFrame:
-    """Group documents linked by a similarity of ``percent`` % or more.
+def _row_key(id_col: str, text_col: str) -> Column:
+    """What rows equal in id and text have in common."""
+    name = F.col(f"`{id_col}`")
+    return F.xxhash64(name, F.col(f"`{text_col}`").cast("string"), name.isNull())
 
-    A document's set holds its distinct runs of ``shingle`` words, A-Z folded; a
-    shorter text is one shingle, a null text or one without words has an empty
-    set and no links. Returns (``id_col``, ``n_shingles``, ``component_id``,
-    ``kept``), one row per input row: ``component_id`` is the least id of the
-    component, ``kept`` says that the row holds that id. Other columns are
-    not read. Rows with a null id link like others, but give a component no id;
-    a component of such rows alone has a null id and all are kept. Rows
-    that repeat an id are rows of their own and are kept or dropped alike. An
-    empty table gives an empty table.
-    """
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, permutations: int, percent: int) -> DataFrame:
+    """(``_id``, ``_key``, ``n``, ``node``, ``root``) of every row: its set, and its component's root."""
     if permutations <= 0 or permutations % _PER_BAND:
         raise ValueError(f"permutations must be a multiple of {_PER_BAND}")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(
+        F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("text"), _row_key(id_col, text_col).alias("_key")
+    )
     id_type = rows.schema["_id"].dataType.simpleString()
     sketches = checkpointed(
-        rows.mapInArrow(_sketches(shingle, permutations), f"_id {id_type}, n bigint, node bigint, bands array<bigint>")
+        rows.mapInArrow(_sketches(shingle, permutations), f"_id {id_type}, _key bigint, n bigint, node bigint, bands array<bigint>")
     )
     met = sketches.where("node is not null")
-    nodes = met.groupBy("node").agg(F.min("_id").alias("_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = met.groupBy("node").agg(F.min("_key").alias("_key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     members = nodes.select("node", "n", F.explode("bands").alias("band"))
     hubs = (
         members.groupBy("band")
@@ -281,9 +272,9 @@ def near_duplicates(
         _ordered(shared.select(F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("hub").alias("y"), F.col("hub_n").alias("y_n")), percent)
     )
     asked = shared.select("node").distinct()
-    holders = nodes.join(asked, "node").select("node", "_id")
+    holders = nodes.join(asked, "node").select("node", "_key")
     sets = checkpointed(
-        rows.join(holders, rows["_id"].eqNullSafe(holders["_id"]))
+        rows.join(holders, "_key")
         .select("node", "text")
         .mapInArrow(_sets(shingle), "node bigint, set array<bigint>")
         .dropDuplicates(["node"])
@@ -294,7 +285,30 @@ def near_duplicates(
     if not more.isEmpty():
         roots = components(links.union(more))
 
-    placed = sketches.select("_id", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return sketches.select("_id", "_key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    permutations: int = PERMUTATIONS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """Group documents linked by a similarity of ``percent`` % or more.
+
+    A document's set holds its distinct runs of ``shingle`` words, A-Z folded; a
+    shorter text is one shingle, a null text or one without words has an empty
+    set and no links. Returns (``id_col``, ``n_shingles``, ``component_id``,
+    ``kept``), one row per input row: ``component_id`` is the least id of the
+    component, ``kept`` says that the row holds that id. Other columns are
+    not read. Rows with a null id link like others, but give a component no id;
+    a component of such rows alone has a null id and all are kept. Rows
+    that repeat an id are rows of their own and are kept or dropped alike. An
+    empty table gives an empty table.
+    """
+    placed = _placed(docs, id_col, text_col, shingle, permutations, percent)
     least = placed.where("root is not null").groupBy("root").agg(F.min("_id").alias("least"))
     component = F.when(F.col("root").isNull(), F.col("_id")).otherwise(F.col("least"))
     return placed.join(least, "root", "left").select(
@@ -305,11 +319,22 @@ def near_duplicates(
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, of one document per component: the one of the least id.
-
-    Of rows that share that id one stays. Rows with a null id cannot be told apart and all stay."""
-    ids = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    name = F.col(f"`{id_col}`")
-    named = docs.where(name.isNotNull()).join(ids, name == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(name.isNull()))
+def deduplicated(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    permutations: int = PERMUTATIONS,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, of one document per component: the one of the least id, then
+    of the least hash of id and text. Null ids come last.
+
+    Rows equal in id and text are one document and one of them stays, with a null id or an empty text
+    too; rows that share an id alone are told apart by their texts."""
+    placed = _placed(docs, id_col, text_col, shingle, permutations, percent)
+    own = F.when(F.col("root").isNull(), F.col("_key")).alias("_own")
+    first = F.min(F.struct(F.col("_id").isNull().alias("late"), F.col("_id"), F.col("_key")))
+    ids = placed.groupBy("root", own).agg(first.alias("first")).select(F.col("first._key").alias("_kept_key"))
+    keyed = docs.withColumn("_row_key", _row_key(id_col, text_col))
+    return keyed.join(ids, F.col("_row_key") == F.col("_kept_key"), "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
