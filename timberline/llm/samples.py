@@ -8,6 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _known(labels: DataFrame, id_col: str) -> DataFrame:
+    return (
+        labels.where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1))
+        .groupBy(F.col(id_col).alias("_id"))
+        .agg(F.max("label").cast("int").alias("label"))
+    )
+
+
+def label_counts(labels: DataFrame, id_col: str = "doc_id") -> dict[int, int]:
+    """Documents of either label among all that :func:`labelled_sample` chooses from."""
+    found = {r.label: r.n for r in _known(labels, id_col).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {c: found.get(c, 0) for c in (0, 1)}
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, per_class: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -18,11 +32,7 @@ def labelled_sample(
     of the id, so reruns agree. The chosen ids number ``2 * per_class`` at most,
     which is what makes them fit to broadcast.
     """
-    known = (
-        labels.where(F.col(id_col).isNotNull() & F.col("label").isin(0, 1))
-        .groupBy(F.col(id_col).alias("_id"))
-        .agg(F.max("label").cast("int").alias("label"))
-    )
+    known = _known(labels, id_col)
     chosen = reduce(
         DataFrame.union,
         [known.where(F.col("label") == c).orderBy(F.xxhash64("_id"), "_id").limit(per_class) for c in (0, 1)],

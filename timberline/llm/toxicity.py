@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.samples import labelled_sample
+from timberline.llm.samples import label_counts, labelled_sample
 from timberline.llm.words import LOWER, SpanHasher, column_of, mix, pieces, spans, text_bytes
 
 PER_CLASS = 4000
@@ -185,7 +185,8 @@ def fit(
 
     ``labels`` holds (``id_col``, ``label``); null ids, null labels and labels other than 0 and 1
     are ignored, a null text counts as empty, and other columns are not read. Without labels of
-    both kinds the score is the same for every text.
+    both kinds the score is the same for every text. Where the sample takes another share of one label
+    than of the other, the bias is set back to the shares of all labels.
     """
     sample = labelled_sample(docs, labels, per_class, id_col, text_col)
     id_type = sample.schema["_id"].dataType.simpleString()
@@ -195,9 +196,13 @@ def fit(
         .toPandas()
         .sort_values("_id")
     )
-    return fit_examples(
-        list(rows["own"]), list(rows["swapped"]), rows["named"].to_numpy(bool), rows["label"].to_numpy(np.int64), bits, penalty
-    )
+    label = rows["label"].to_numpy(np.int64)
+    model = fit_examples(list(rows["own"]), list(rows["swapped"]), rows["named"].to_numpy(bool), label, bits, penalty)
+    if len(label) and label.min() != label.max():
+        # The odds of a label in the sample, over those among all labels, are the odds of its being drawn.
+        drawn = {c: min(n, per_class) / n for c, n in label_counts(labels, id_col).items()}
+        model.bias += float(np.log(drawn[0] / drawn[1]))
+    return model
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
