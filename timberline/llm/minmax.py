@@ -4,7 +4,9 @@ Every permutation of the shingle hashes gives two sketch values, the least and
 the greatest, so ``permutations`` passes give ``2 * permutations`` unbiased
 values. Four of them (both values of two permutations) make a band. Documents
 of similarity 0.75 share one of the 40 default bands but for a chance of
-(1 - 0.75**4)**40 < 3e-7.
+(1 - 0.75**4)**40 < 3e-7, if their sets are large. Least and greatest value of a small set depend on
+each other: with 3 of 4 shingles shared the chance is (1 - 0.25)**40 = 1.0e-5. Such a
+link is lost; there is no exact path for small sets.
 
 Equal shingle sets are one node of the graph, so exact copies cost one row.
 The members of a band meet at its hub (the least node), not in all pairs, and a pair is a link
