@@ -12,6 +12,7 @@ COLUMNS = {
     "op6_surrogates": ["doc_id", "text", "n_entities"],
     "op9_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op13_structure_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
 

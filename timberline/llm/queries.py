@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 
 from timberline.llm import passages, toxicity
 from timberline.llm.fertility import fertility_rules
+from timberline.llm.licenses import BLOCK_LINES, PHRASES, TEMPLATES, THRESHOLD, license_scan, needed, template_words
 from timberline.llm.minmax import near_duplicates
 from timberline.llm.mixing import mix_plan
+from timberline.llm.prefix_trie import numbered_turns, prefix_trie
+from timberline.llm.structure_repair import repair_digests
 from timberline.llm.substrings import remove_repeats
 from timberline.llm.surrogates import replace_entities
 from timberline.llm.templates import drop_templates
 from timberline.llm.tiling import contamination
 from timberline.llm.token_files import token_output
+from timberline.session import checkpointed
 
 # Whoever runs the query for real sets a key of their own.
 SURROGATE_KEY = "example key"
@@ -182,6 +186,116 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(spark, sf, model, 5, 0)
 
 
+def shared_heads(numbered: DataFrame, members: DataFrame) -> DataFrame:
+    """Every conversation c with the first h turns of conversation c - c % 100 in place of its own first h;
+    h is the crc32 of c modulo 6."""
+    heads = numbered.where((F.col("conv_id") % 100 == 0) & (F.col("place") <= 5))
+    known = heads.groupBy(F.col("conv_id").alias("base")).agg(F.max("place").alias("n_base"))
+    asked = members.select(
+        "conv_id",
+        (F.col("conv_id") - F.col("conv_id") % 100).alias("base"),
+        (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).alias("h"),
+    )
+    taken = F.least("h", F.coalesce("n_base", F.lit(0).cast("bigint"))).alias("taken")
+    # Frozen, so that Spark may split a conversation of very many turns in the join below.
+    asked = checkpointed(asked.join(known, "base", "left").select("conv_id", "base", "h", taken))
+    first = asked.select("conv_id", "base", "h").join(heads.withColumnRenamed("conv_id", "base"), "base").where("place <= h")
+    rest = numbered.join(asked, "conv_id").where("place > h").withColumn("place", F.col("place") - F.col("h") + F.col("taken"))
+    columns = ["conv_id", "place", "digest", "chars"]
+    return first.select(columns).union(rest.select(columns))
+
+
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    members = conversations.where(F.col("conv_id").isNotNull()).select("conv_id").distinct()
+    return prefix_trie(shared_heads(numbered_turns(conversations), members), members)
+
+
+# crc32 bit by bit: -1 stands for a shift by one bit.
+OP11_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+asked AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda crc, b: CASE WHEN b >= 0 THEN xor(crc, b) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END,
+    CAST(4294967295 AS BIGINT))) % 6 AS h FROM ids),
+numbered AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place FROM conversations WHERE conv_id IS NOT NULL),
+bases AS (SELECT conv_id AS base, max(place) AS n_base FROM numbered GROUP BY conv_id),
+rebuilt AS (SELECT a.conv_id, n.place, n.role, n.text FROM asked a JOIN numbered n ON n.conv_id = a.base AND n.place <= a.h
+    UNION ALL SELECT a.conv_id, n.place - a.h + least(a.h, coalesce(b.n_base, 0)), n.role, n.text
+    FROM asked a JOIN numbered n USING (conv_id) LEFT JOIN bases b USING (base) WHERE n.place > a.h),
+steps AS (SELECT conv_id, place AS depth, length(text) AS chars, sha256(string_agg(sha256(length(role) || ':' || role || text), '')
+    OVER (PARTITION BY conv_id ORDER BY place)) AS key FROM rebuilt UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+nodes AS (SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM steps GROUP BY depth, key),
+lasts AS (SELECT conv_id, max(depth) AS depth, arg_max(key, depth) AS key FROM steps GROUP BY conv_id),
+ends AS (SELECT depth, key, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256 FROM lasts GROUP BY depth, key),
+parents AS (SELECT n.depth, n.key, p.depth AS parent_depth, p.key AS parent_key, p.conv_id AS parent_conv_id
+    FROM nodes n JOIN steps s ON s.conv_id = n.conv_id AND s.depth = n.depth - 1 JOIN nodes p ON p.depth = s.depth AND p.key = s.key),
+children AS (SELECT parent_depth AS depth, parent_key AS key, count(*) AS n_children FROM parents GROUP BY ALL),
+own AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (depth, key)),
+sums AS (SELECT s.depth, s.key, count(*) FILTER (o.n_children = 0) AS n_leaves, sum((o.n_convs - 1) * o.chars) AS saved_tokens
+    FROM own o JOIN steps s ON s.conv_id = o.conv_id AND s.depth <= o.depth GROUP BY s.depth, s.key)
+SELECT o.conv_id, CAST(o.depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM own o JOIN sums USING (depth, key) LEFT JOIN parents USING (depth, key) LEFT JOIN ends USING (depth, key)"""
+
+
+def op12_license_join(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan(documents(spark, sf))
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+_SQL_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SQL_LICENSE_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_SQL_TEMPLATES = ", ".join(
+    f"('{label}', {_sql_list(words)}, {needed(len(words), THRESHOLD)})" for label, words in ((label, template_words(t)) for label, t in TEMPLATES)
+)
+_SQL_PHRASES = ", ".join(f"('{label}', {_sql_list(phrase.split(' '))})" for phrase, label in PHRASES.items())
+
+OP12_SQL = f"""
+WITH templates(label, ts, needed) AS (VALUES {_SQL_TEMPLATES}),
+phrases(label, ps) AS (VALUES {_SQL_PHRASES}),
+w AS (SELECT doc_id, regexp_extract_all({_SQL_FOLD.format("coalesce(text, '')")}, {_SQL_LICENSE_WORD}) AS ws,
+    string_split(text, chr(10)) AS lines FROM documents),
+places AS (SELECT doc_id, label, unnest([i FOR i IN range(0, len(ws)) IF ws[i + 1:i + len(ps)] = ps]) AS start FROM w, phrases),
+base AS (SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
+blocks AS (SELECT doc_id, unnest([array_to_string(lines[i:i + {BLOCK_LINES - 1}], ' ') FOR i IN range(1, greatest(len(lines) - {BLOCK_LINES - 2}, 2))]) AS block FROM w),
+worded AS (SELECT doc_id, list_distinct(regexp_extract_all({_SQL_FOLD.format("block")}, {_SQL_LICENSE_WORD})) AS ws FROM blocks),
+met AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(len(list_intersect(ts, ws)) / len(ts)) AS containment
+    FROM worded, templates WHERE len(list_intersect(ts, ws)) >= needed GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+    CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(containment, 0.0::DOUBLE) END AS score
+FROM w LEFT JOIN base b USING (doc_id) LEFT JOIN met m USING (doc_id)"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The turns with faults by the crc32 of ``conv_id:turn`` modulo 20; nulls are one space."""
+    space = F.lit(" ")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")])
+    role, text = (F.coalesce(F.col(c).cast("string"), space) for c in ("role", "text"))
+    rows = conversations.select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
+        role.alias("role"), text.alias("text"), (F.crc32(key.cast("binary")) % 20).alias("fault"),
+    ).where("fault <> 0")
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("_copy"),
+    ).drop("_copy")
+
+
+def op13_structure_repair(spark: SparkSession, sf: str) -> DataFrame:
+    conversations = table(spark, sf, "conversations")
+    return repair_digests(damaged(conversations), conversations.select(F.col("conv_id").cast("bigint").alias("conv_id")).distinct())
+
+
 CASES = [
     Case("op1_line_templates", op1_line_templates, OP1_SQL),
     Case("op2_quality_mil", op2_quality_mil),
@@ -193,4 +307,7 @@ CASES = [
     Case("op8_systematic_mix", op8_systematic_mix, OP8_SQL),
     Case("op9_token_files", op9_token_files),
     Case("op10_toxicity", op10_toxicity),
+    Case("op11_prefix_trie", op11_prefix_trie, OP11_SQL),
+    Case("op12_license_join", op12_license_join, OP12_SQL),
+    Case("op13_structure_repair", op13_structure_repair),
 ]
