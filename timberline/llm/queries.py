@@ -77,13 +77,15 @@ parsed AS (SELECT doc_id, number, line,
     [CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END
      FOR t IN regexp_extract_all(line, '[^\x20\x09-\x0D]+')] AS tokens FROM lines),
 worded AS (SELECT *, array_to_string([CAST(len(tokens) AS VARCHAR)] || tokens[1:3], ' ') AS leaf FROM parsed WHERE len(tokens) > 0),
-leaves AS (SELECT leaf FROM worded GROUP BY leaf HAVING count(DISTINCT doc_id) >= 4),
+leaves AS (SELECT leaf, count(DISTINCT doc_id) AS leaf_docs FROM worded GROUP BY leaf HAVING count(DISTINCT doc_id) >= 4),
 distinct_lines AS (SELECT DISTINCT doc_id, leaf, tokens FROM worded JOIN leaves USING (leaf)),
 places AS (SELECT doc_id, leaf, tokens, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM distinct_lines),
-often AS (SELECT leaf, place, token FROM places GROUP BY ALL HAVING count(*) >= 4),
-fixed AS (SELECT leaf, tokens, string_agg(place || ':' || token, ' ' ORDER BY place) AS template
-    FROM (SELECT DISTINCT leaf, tokens, place, token FROM places) JOIN often USING (leaf, place, token)
-    GROUP BY leaf, tokens HAVING count(*) >= 0.6 * len(tokens)),
+often AS (SELECT leaf, place, token, CAST(ceil(log2(any_value(leaf_docs) / count(DISTINCT doc_id)) - 1e-9) AS INT) AS rank
+    FROM places JOIN leaves USING (leaf) GROUP BY leaf, place, token HAVING count(DISTINCT doc_id) >= 4),
+constant AS (SELECT leaf, tokens, list({'rank': rank, 'place': place, 'token': token} ORDER BY rank, place, token) AS found
+    FROM (SELECT DISTINCT leaf, tokens, place, token FROM places) JOIN often USING (leaf, place, token) GROUP BY leaf, tokens),
+fixed AS (SELECT leaf, tokens, [x.place || ':' || x.token FOR x IN found IF x.rank <= found[enough].rank] AS template
+    FROM (SELECT *, greatest(1, CAST(ceil(CAST(0.6 AS DOUBLE) * len(tokens)) AS INT)) AS enough FROM constant) WHERE len(found) >= enough),
 placed AS (SELECT doc_id, leaf, tokens, template FROM distinct_lines JOIN fixed USING (leaf, tokens)),
 recurring AS (SELECT leaf, template FROM placed GROUP BY ALL HAVING count(DISTINCT doc_id) >= 4),
 gone AS (SELECT DISTINCT doc_id, tokens FROM placed JOIN recurring USING (leaf, template)),
