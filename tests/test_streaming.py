@@ -12,7 +12,7 @@ from timberline.sources.store import read_store
 from timberline.streaming import ingest as I
 from timberline.streaming import live as V
 from timberline.streaming.deltas import finish
-from timberline.streaming.ratecap import cap_rate_stream, read_capped
+from timberline.streaming.ratecap import cap_rate_stream
 
 T0 = dt.datetime(2026, 5, 12)
 DDL = "event_id bigint, timestamp timestamp_ntz, service string, level string, message string, host string, source string, attributes string, raw string"
@@ -48,26 +48,93 @@ def test_subscription_needs_a_restriction(spark):
         V.fan_out(df, [V.Subscription("x", text="a"), V.Subscription("x", text="b")])
 
 
-def test_cap_holds_across_batches_and_floods(spark, tmp_path):
+SUBS = [V.Subscription("all", text="m"), V.Subscription("errors", where=P.leaf("level", "eq", "error"))]
+
+
+def run_capped(feed, out, offsets, cap=7, lateness="10 minutes", files=None):
+    stream = feed.stream() if files is None else feed.spark.readStream.schema(DDL).option("maxFilesPerTrigger", files).parquet(feed.path)
+    capped = cap_rate_stream(V.fan_out(stream, SUBS), cap, lateness=lateness)
+    query = (
+        capped.writeStream.format("parquet").option("path", out).option("checkpointLocation", offsets).trigger(availableNow=True).start()
+    )
+    finish(query)
+    return feed.spark.read.schema(capped.schema).parquet(out), query
+
+
+def test_cap_holds_across_restarts_and_floods(spark, tmp_path):
+    """Every batch is a new start of the query; the state of a window lives on in its checkpoint."""
     feed = Feed(spark, tmp_path)
-    subs = [V.Subscription("all", text="m"), V.Subscription("errors", where=P.leaf("level", "eq", "error"))]
     out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
     batches = [rows(0, 30), rows(1000, 2000, 0.001, "info"), rows(5000, 40)]
     for batch in batches:
         feed.add(batch)
-        finish(cap_rate_stream(V.fan_out(feed.stream(), subs), out, offsets, cap=7, available_now=True))
-    passed = read_capped(V.fan_out(feed.stream(), subs), out)
+        passed, _ = run_capped(feed, out, offsets)
     got = passed.groupBy("subscription", "window_start").count().collect()
-    assert all(r["count"] <= 7 for r in got)
-    matched = V.fan_out(spark.read.schema(DDL).parquet(feed.path), subs)
+    matched = V.fan_out(spark.read.schema(DDL).parquet(feed.path), SUBS)
     want = {(r.subscription, r.window_start): (r.delivered, r.dropped) for r in V.drop_stats(matched, 7).collect()}
     assert {(r.subscription, r.window_start): r["count"] for r in got} == {k: v[0] for k, v in want.items()}
     assert sum(a + b for a, b in want.values()) == matched.count()
     first = passed.filter("event_id < 1000 and subscription = 'errors'")
-    plain = V.cap_rate(V.fan_out(spark.createDataFrame(batches[0], DDL), subs[1:]), 7)
+    plain = V.cap_rate(V.fan_out(spark.createDataFrame(batches[0], DDL), SUBS[1:]), 7)
     assert {r.event_id for r in first.collect()} == {r.event_id for r in plain.collect()}
 
 
+def test_a_repeated_batch_passes_nothing_twice(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+    for batch in (rows(0, 30), rows(100, 30, 0.05)):
+        feed.add(batch)
+        before = sorted(r.event_id for r in run_capped(feed, out, offsets)[0].collect())
+    last = max((f for f in os.listdir(f"{offsets}/commits") if f.isdigit()), key=int)
+    for name in (last, f".{last}.crc"):  # the driver was lost before it noted the last batch
+        os.remove(f"{offsets}/commits/{name}")
+    assert sorted(r.event_id for r in run_capped(feed, out, offsets)[0].collect()) == before
+
+
+@pytest.mark.parametrize("batches", [3, 30])
+def test_state_of_the_cap_ends_with_the_window(spark, tmp_path, batches):
+    """The same rows in few and in many batches; the store never holds more than the open windows."""
+    feed = Feed(spark, tmp_path)
+    every = rows(0, 600, 0.1)  # a minute, ten rows a second
+    size = len(every) // batches
+    for i in range(batches):
+        feed.add(every[i * size : (i + 1) * size])
+    passed, query = run_capped(feed, str(tmp_path / "out"), str(tmp_path / "offsets"), 4, "2 seconds", files=1)
+    want = V.cap_rate(V.fan_out(spark.createDataFrame(every, DDL), SUBS), 4)
+    assert sorted((r.subscription, r.event_id) for r in passed.collect()) == sorted((r.subscription, r.event_id) for r in want.collect())
+    held = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    per_batch = 60 // batches
+    # Of either subscription: a number and a timer for the windows of the last batches and of two seconds before them.
+    assert max(held) <= 2 * 3 * (2 * per_batch + 4) and held[-1] < 2 * 3 * 6
+
+
+def test_rows_of_a_closed_window_do_not_pass(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    out, offsets = str(tmp_path / "out"), str(tmp_path / "offsets")
+    for batch in (rows(0, 5), rows(100, 900, 1), rows(2000, 3)):
+        feed.add(batch)
+        passed, _ = run_capped(feed, out, offsets, lateness="2 seconds")
+    assert passed.filter("event_id >= 2000").count() == 0
+
+
+def test_rows_without_a_time_and_large_ids(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.add([(2**60 + 1, None, *["x"] * 7), (None, None, *["m"] * 7), (2**60 + 3, T0, None, "error", *[None] * 5)])
+    passed, _ = run_capped(feed, str(tmp_path / "out"), str(tmp_path / "offsets"), 1)
+    assert sorted(((r.subscription, r.event_id) for r in passed.collect()), key=str) == [("all", None), ("errors", 2**60 + 3)]
+
+
+def test_the_cap_needs_its_state_store(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        with pytest.raises(RuntimeError):
+            cap_rate_stream(V.fan_out(spark.createDataFrame([], DDL), SUBS))
+    finally:
+        spark.conf.set(name, kept)
+
+
 def test_late_and_future_events_are_kept_and_marked(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     feed.add(rows(0, 60, 3600))

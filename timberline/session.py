@@ -15,6 +15,12 @@ SESSION_CONF = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Where stateful streams keep their state.
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
+
 # Physical settings that suit log tables: let AQE size shuffles and split skew.
 PHYSICAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -31,7 +37,7 @@ PHYSICAL_CONF = {
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings the operators rely on to a session of one's own."""
-    for key, value in SESSION_CONF.items():
+    for key, value in [*SESSION_CONF.items(), STATE_STORE]:
         spark.conf.set(key, value)
     return spark
 
@@ -49,7 +55,7 @@ def build_session(app: str = "timberline", master: str | None = None, **conf: st
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**PHYSICAL_CONF, **SESSION_CONF, **conf}.items():
+    for key, value in {**PHYSICAL_CONF, **SESSION_CONF, **dict([STATE_STORE]), **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

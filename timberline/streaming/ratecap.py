@@ -1,55 +1,107 @@
-"""Rate cap on a stream: at most ``cap`` events per subscription and window."""
+"""Rate cap on a stream: at most ``cap`` events per subscription and window, counted in keyed state.
+
+The state of a (subscription, window) is one number and ends by a timer at the window's end, once the watermark
+has passed it, so the store holds the open windows alone and a batch costs the same whether it is the tenth or the millionth.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
+import heapq
+from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from timberline.schema import LogSchema
-from timberline.streaming.deltas import BATCH, each_batch, earlier, write_batch
+from timberline.session import STATE_STORE
 from timberline.streaming.live import RATE_CAP, RATE_WINDOW_SECONDS, rate_window
 
+LATENESS = "10 minutes"
+_TIME = "_event_time"
+_KEYS = ["subscription", "window_start"]
+
+
+def _thin(cap: int, order: list[str]):
+    """The first ``cap`` rows of each window in every Arrow batch, so that a flood is cut before it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows <= cap:
+                yield batch
+                continue
+            table = pa.Table.from_batches([batch]).select([*_KEYS, *order])
+            at = pc.sort_indices(table, [(c, "ascending") for c in [*_KEYS, *order]], null_placement="at_start").to_numpy()
+            codes = [pc.dictionary_encode(batch.column(c), "encode").indices.to_numpy(zero_copy_only=False)[at] for c in _KEYS]
+            new = np.ones(len(at), bool)
+            new[1:] = (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])
+            starts = np.flatnonzero(new)
+            place = np.arange(len(at)) - starts[np.cumsum(new) - 1]
+            kept = np.sort(at[place < cap])
+            yield batch if len(kept) == batch.num_rows else batch.take(pa.array(kept))
+
+    return run
+
+
+class _Cap(StatefulProcessor):
+    """Lets the first rows of a window pass and remembers how many did."""
+
+    def __init__(self, cap: int, seconds: int, order: list[str], names: list[str]):
+        self.cap, self.seconds, self.order, self.names = cap, seconds, order, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.passed = handle.getValueState("passed", "n bigint")
+
+    def _place(self, row: Row) -> tuple:
+        return tuple(part for c in self.order for part in ((False, 0) if row[c] is None else (True, row[c])))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        known = self.passed.get()
+        passed = known[0] if known else 0
+        first = heapq.nsmallest(self.cap - passed, rows, key=self._place) if passed < self.cap else []
+        if known is None and key[1] is not None:
+            ends = key[1].replace(tzinfo=dt.timezone.utc) if key[1].tzinfo is None else key[1]
+            self.handle.registerTimer(int(ends.timestamp() + self.seconds) * 1000)
+        if known is None or first:
+            self.passed.update((passed + len(first),))
+        for row in first:
+            yield Row(*self.names)(*[row[c] for c in self.names])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        self.passed.clear()
+        return iter(())
+
 
 def cap_rate_stream(
     matched: DataFrame,
-    path: str,
-    checkpoint: str,
     cap: int = RATE_CAP,
     seconds: int = RATE_WINDOW_SECONDS,
     schema: LogSchema = LogSchema(),
-    available_now: bool = False,
-    **options: Any,
-) -> StreamingQuery:
-    """Streaming form of ``cap_rate`` over ``fan_out`` output; rows go to ``path/rows``.
-
-    In each micro-batch every task thins its rows to the first ``cap`` of a window, in (time, id) order,
-    before they are shuffled; what earlier batches passed is a small table of counts beside the
-    rows (``path/counts``). A batch that is repeated after a failure replaces what it wrote.
+    lateness: str = LATENESS,
+) -> DataFrame:
+    """Streaming form of ``cap_rate`` over ``fan_out`` output: the rows that pass, with ``window_start``, as a stream.
+
+    Rows of a micro-batch pass in (time, id) order behind those of earlier batches. A window is over once a row has come that is
+    ``lateness`` newer than its end; what still comes for it does not pass. Rows without a time share one window that
+    never ends. The sink's exactly-once write and the checkpoint of the state together survive a restart. The session
+    keeps state in RocksDB (``prepare`` sets it).
     """
+    spark = matched.sparkSession
+    name, provider = STATE_STORE
+    if spark.conf.get(name, None) != provider:
+        raise RuntimeError(f"{name} must be {provider}: use build_session or prepare")
     schema = schema.bind(matched)
-    rows, counts = f"{path}/rows", f"{path}/counts"
-    keys = ["subscription", "window_start"]
-
-    def work(batch: DataFrame, number: int) -> None:
-        flagged = batch.withColumn("window_start", rate_window(schema, seconds))
-        place = Window.partitionBy(*keys).orderBy(schema.timestamp, schema.id)
-        first = flagged.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= cap)
-        before = earlier(batch.sparkSession, counts, number, "subscription string, window_start timestamp_ntz, passed bigint")
-        passed = before.groupBy(*keys).agg(F.sum("passed").alias("_passed"))
-        kept = first.join(passed, keys, "left").filter(F.col("_n") + F.coalesce("_passed", F.lit(0)) <= cap)
-        write_batch(kept.select(*flagged.columns), rows, number)
-        written = batch.sparkSession.read.schema(kept.select(*flagged.columns).schema).parquet(f"{rows}/{BATCH}={number}")
-        done = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("passed"))
-        write_batch(done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), counts, number)
-
-    return each_batch(matched, work, checkpoint, available_now, **options)
-
-
-def read_capped(stream: DataFrame, path: str, seconds: int = RATE_WINDOW_SECONDS, schema: LogSchema = LogSchema()) -> DataFrame:
-    """The rows that passed so far; ``stream`` is what was capped."""
-    schema = schema.bind(stream)
-    shape = stream.withColumn("window_start", rate_window(schema, seconds)).schema
-    return stream.sparkSession.read.schema(shape).parquet(f"{path}/rows")
+    order = [c for c in (schema.timestamp, schema.id) if c]
+    flagged = matched.withColumn("window_start", rate_window(schema, seconds))
+    thinned = flagged.mapInArrow(_thin(cap, order), flagged.schema)
+    timed = thinned.withColumn(_TIME, F.col(schema.timestamp).cast("timestamp")).withWatermark(_TIME, lateness)
+    return timed.groupBy(*_KEYS).transformWithState(
+        _Cap(cap, seconds, order, flagged.columns), outputStructType=flagged.schema, outputMode="append", timeMode="eventTime"
+    )
+
