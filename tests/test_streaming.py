@@ -13,6 +13,7 @@ from timberline.streaming import ingest as I
 from timberline.streaming import live as V
 from timberline.streaming.deltas import finish
 from timberline.streaming.ratecap import cap_rate_stream
+from timberline.streaming.windows import closed_windows
 
 T0 = dt.datetime(2026, 5, 12)
 DDL = "event_id bigint, timestamp timestamp_ntz, service string, level string, message string, host string, source string, attributes string, raw string"
@@ -199,3 +200,29 @@ def test_intake_is_observed(spark, tmp_path):
     query = lines.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     finish(query, 60)
     assert [(a, s) for _, a, s in I.intake_counts(query)] == [(2, 2)]
+
+
+def test_windows_close_with_the_grace_and_not_before(spark, tmp_path):
+    """(minutes of the event, minutes of its arrival) batch by batch, and the windows in the sink after each."""
+    source = str(tmp_path / "in")
+    os.makedirs(source)
+    ddl = "timestamp timestamp_ntz, arrived timestamp_ntz, source string"
+    steps = [
+        ([(5, 5), (50, 50), (55, 52)], {}),
+        ([(59, 60.5), (61, 60.9), (90, 60.9)], {}),  # inside the grace: the first hour is open, and an event ahead of its arrival closes nothing
+        ([(58, 60.95), (62, 61)], {"202605120000": (5, 0, 0)}),
+        ([(3, 70), (300, 80), (None, 81), (70, None)], {"202605120000": (5, 0, 0)}),  # late, future and timeless ones count in the second hour
+        ([(400, 400)], {"202605120000": (5, 0, 0), "202605120100": (7, 1, 1)}),
+        ([], {"202605120000": (5, 0, 0), "202605120100": (7, 1, 1)}),
+    ]
+    for batch, want in steps:
+        made = [(t, a, "s") for t, a in ([None if m is None else T0 + dt.timedelta(minutes=m) for m in pair] for pair in batch)]
+        spark.createDataFrame(made, ddl).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(ddl).parquet(source)
+        closed = closed_windows(stream, "arrived", "1h")
+        I.run_to_parquet(closed, str(tmp_path / "out"), str(tmp_path / "offsets"))
+        got = spark.read.schema(closed.schema).parquet(str(tmp_path / "out")).collect()
+        assert {r.id: (r.row_count, r.late, r.future) for r in got} == want and len(got) == len(want)
+    second = next(r for r in got if r.id == "202605120100")
+    assert (second.time_start, second.time_end) == (T0 + dt.timedelta(minutes=3), T0 + dt.timedelta(minutes=300))
+    assert second.window_end == T0 + dt.timedelta(hours=2) and second.sources == ["s"]

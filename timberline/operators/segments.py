@@ -33,21 +33,24 @@ def with_segment(df: DataFrame, width: Any, schema: LogSchema = LogSchema(), nam
 
 
 def placement(ts: Column, now: Any, width: Any, grace: dt.timedelta = SEAL_GRACE, ntz: bool = True) -> dict[str, Column]:
-    """Where an event goes when it arrives at ``now``.
+    """Where an event goes when it arrives at ``now``, one moment for all rows; see :func:`placement_at`."""
+    return placement_at(ts, time_literal(now, ntz), width, grace, ntz)
+
+
+def placement_at(
+    ts: Column, now: Column, width: Any, grace: dt.timedelta = SEAL_GRACE, ntz: bool = True
+) -> dict[str, Column]:
+    """Where an event goes when it arrives at ``now``, a column of the type of ``ts``.
 
     An event's own window is open from its start until ``grace`` after its end.
     Events of closed (late) or not yet started (future) windows go to the
     current window and remember the window they were meant for.
     """
-    seconds = width_seconds(width)
-    moment = parse_time(now)
-    present = time_literal(moment, ntz)
     start = window_start(ts, width, ntz)
-    closed_by = time_literal(moment - grace, ntz)
-    future = start > present
-    late = (start + seconds_interval(seconds)) <= closed_by
+    future = start > now
+    late = (start + seconds_interval(width_seconds(width)) + F.lit(grace)) <= now
     own = segment_id(start)
-    current = segment_id(window_start(present, width, ntz))
+    current = segment_id(window_start(now, width, ntz))
     return {
         "segment_id": F.when(future | late, current).otherwise(own),
         "placement": F.when(future, "future").when(late, "late").otherwise("on_time"),

@@ -58,7 +58,8 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
     return as_logs(table(spark, sf, "events"))
 
 
-def as_logs(events: DataFrame) -> DataFrame:
+def as_logs(events: DataFrame, *more: str) -> DataFrame:
+    """Events as log rows; ``more`` names columns to keep."""
     user = F.col("user_id").cast("string")
     bucket = F.col("user_id") % 4
     kind = F.col("event_type")
@@ -78,6 +79,7 @@ def as_logs(events: DataFrame) -> DataFrame:
         F.concat(
             F.lit('{"event_type":"'), kind, F.lit('","user_id":'), user, F.lit(',"props":'), F.col("props"), F.lit("}")
         ).alias("raw"),
+        *more,
     )
 
 
