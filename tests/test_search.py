@@ -118,7 +118,7 @@ def test_whole_request(logs):
     total = logs.filter("service is not null").count()
     assert answer.count.first()["count"] == total
     assert answer.facets.groupBy("facet").agg(F.sum("count").alias("n")).filter("facet = 'service'").first().n == total
-    assert tuple(answer.stats.first()) == (30, 1)
+    assert tuple(answer.stats.first()) == (30, 250, 1)
     nxt, _ = run(logs, replace(ask, cursor=cursor)).rows()
     assert not {r.event_id for r in nxt} & {r.event_id for r in rows}
     assert run(logs, replace(ask, cursor=cursor)).count.first()["count"] == total

@@ -13,7 +13,7 @@ from timberline.functions.attributes import PREFIX, attribute_text
 from timberline.schema import LogSchema
 
 DEFAULT_CAP = 50
-DEFAULT_SAMPLE = 24
+DEFAULT_SAMPLE = 24  # newest segments that a sampled report reads
 
 
 @dataclass(frozen=True)
@@ -129,7 +129,12 @@ def facet_report(
         hits = detail.groupBy("facet").agg(
             F.countDistinct(F.when(some, F.col("segment"))).alias("sample_segments")
         )
-    totals = counts.groupBy("facet").agg(F.count_if(some).alias("total_values"))
+    return report_of(counts, facets, hits)
+
+
+def report_of(counts: DataFrame, facets: Sequence[Facet] = BUILTIN, hits: DataFrame | None = None) -> DataFrame:
+    """The report from the ``facet, value, count`` of all values; ``hits`` has one row per facet to add."""
+    totals = counts.groupBy("facet").agg(F.count_if(F.col("count") > 0).alias("total_values"))
     if hits is not None:
         totals = totals.join(F.broadcast(hits), "facet")
     # One row per requested facet: small by construction.
@@ -137,25 +142,6 @@ def facet_report(
     return report.withColumn("truncated", F.col("total_values") > F.col("cap"))
 
 
-def recent_segments(
-    segments: DataFrame, start: Column, end: Column, sample: int = DEFAULT_SAMPLE
-) -> DataFrame:
-    """Ids of the ``sample`` most recent readable segments that overlap the range."""
-    from timberline.operators.segments import overlapping
-
-    readable = overlapping(segments, start, end).filter(
-        (F.col("state") == "active") | F.col("local_path").isNotNull()
-    )
-    if sample <= 0:
-        raise ValueError("sample must be positive")
-    return readable.orderBy(F.col("time_start").desc(), F.col("id").desc()).limit(sample).select("id")
-
-
-def sample_rows(df: DataFrame, segment: Column, segments: DataFrame) -> DataFrame:
-    """Rows of the sampled segments; Spark broadcasts the ids only where they are few."""
-    return df.join(segments.select(F.col("id").alias("_sampled")), segment == F.col("_sampled"), "left_semi")
-
-
 def suggest_values(
     df: DataFrame, field: str, partial: str = "", maximum: int = 10, schema: LogSchema = LogSchema()
 ) -> DataFrame:

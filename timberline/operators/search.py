@@ -219,23 +219,6 @@ def count_newest(
         days, upto = days * 4, oldest - dt.timedelta(days=1)
 
 
-def query_stats(result: DataFrame, segment: Column, scanned: DataFrame | None = None) -> DataFrame:
-    """Rows returned and segments they came from; with ``scanned``, the rows the search had to
-    look at (the pruned table before its filters), ``rows_scanned`` too."""
-    stats = result.agg(
-        F.count(F.lit(1)).alias("rows_returned"),
-        F.countDistinct(segment).alias("segments_read"),
-    )
-    if scanned is None:
-        return stats
-    looked = scanned.agg(F.count(F.lit(1)).alias("rows_scanned"))
-    zero = F.lit(0).cast("bigint")
-    both = stats.select("*", zero.alias("rows_scanned")).unionByName(
-        looked.select(zero.alias("rows_returned"), zero.alias("segments_read"), "rows_scanned")
-    )
-    return both.agg(*[F.sum(c).alias(c) for c in ("rows_returned", "segments_read", "rows_scanned")])
-
-
 def shape_events(df: DataFrame, schema: LogSchema = LogSchema()) -> DataFrame:
     """Fixed event columns: RFC 3339 time, NULLs kept, absent attributes as ``{}``."""
     keep = [c for c in EVENT_COLUMNS if c in df.columns and c not in (schema.timestamp, schema.attributes)]

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberline.functions import predicates as P
-from timberline.functions.timeframe import segment_id, time_literal, window_start
 from timberline.operators import facets as FC
 from timberline.operators.search import matching
 from timberline.plans import tables as T
 from timberline.plans.tables import Case
+from timberline.session import scratch_path
+from timberline.sources import store
+from timberline.sources.scan import catalog_scan
 
 _K = FC.Facet("k", "attributes.k", 10)
 _ALL = (*FC.BUILTIN, _K)
@@ -82,10 +84,11 @@ _RANGE = ("2024-01-03T00:00:00Z", "2024-01-25T00:00:00Z")
 
 
 def _sampled_rows(spark, sf):
-    catalog = T.segs(spark, sf)
-    ids = FC.recent_segments(catalog, time_literal(_RANGE[0]), time_literal(_RANGE[1]), 24)
-    rows = matching(T.logs(spark, sf), start=_RANGE[0], end=_RANGE[1], max_span=None)
-    return FC.sample_rows(rows.withColumn("segment_id", segment_id(window_start(F.col("timestamp"), T.WIDTH))), F.col("segment_id"), ids)
+    """Rows of the 24 newest segments in range, of a sealed store whose other folders are not read."""
+    path = scratch_path(spark, "store")
+    store.seal(T.logs(spark, sf), path, T.WIDTH)
+    rows = catalog_scan(store.read_store(spark, path), T.segs(spark, sf), *_RANGE, newest=FC.DEFAULT_SAMPLE)
+    return matching(rows, start=_RANGE[0], end=_RANGE[1], max_span=None)
 
 
 def _sampled(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from timberline.plans import (
+    catalog_queries,
     extract_queries,
     facet_queries,
     filters,
@@ -23,6 +24,7 @@ AREAS = (
     extract_queries,
     storage_queries,
     stream_queries,
+    catalog_queries,
 )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timberline.functions import predicates as P
-from timberline.functions.timeframe import segment_id, window_start
 from timberline.operators import search as S
 from timberline.plans import tables as T
 from timberline.plans.tables import Case
@@ -89,11 +88,6 @@ def _count_exact(spark, sf):
     return S.count_capped(S.matching(T.logs(spark, sf), where=P.leaf("attributes.k", "lt", 3)))
 
 
-def _stats(spark, sf):
-    rows = S.search(T.logs(spark, sf), where=P.leaf("service", "eq", "web"), limit=300)
-    return S.query_stats(rows, segment_id(window_start(F.col("timestamp"), T.WIDTH)), T.logs(spark, sf))
-
-
 def _shape(spark, sf):
     rows = T.mixed(spark, sf)
     empty = F.when(F.col("event_id") % 6 != 3, F.col("attributes"))
@@ -203,15 +197,6 @@ CASES = [
             T.LOGS,
         ),
     ),
-    Case(
-        "qry_stats",
-        _stats,
-        T.with_ctes(
-            "SELECT count(*) AS rows_returned, count(DISTINCT time_bucket(INTERVAL '6 hours', timestamp)) AS segments_read, "
-            "CAST((SELECT count(*) FROM logs) AS BIGINT) AS rows_scanned FROM (SELECT timestamp FROM logs WHERE service = 'Web' ORDER BY timestamp DESC, event_id DESC LIMIT 300)",
-            T.LOGS,
-        ),
-    ),
     Case(
         "qry_event_shape",
         _shape,

@@ -170,17 +170,9 @@ def _seal_stats(spark, sf):
     return I.read_window_stats(spark, path).withColumns(times).withColumn("sources", F.array_join("sources", ","))
 
 
-def _arriving(spark, sf):
-    """The events with the moment each arrived: most after seconds, some a day late, some ahead of their time."""
-    n = F.col("event_id")
-    delay = F.when(n % 50 == 7, 90_000).when(n % 60 == 11, -50_000).otherwise(n % 40).cast("bigint")
-    arrived = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + delay * 1_000_000).cast("timestamp_ntz")
-    return T.table(spark, sf, "events").withColumn("arrived", arrived)
-
-
 def _window_close(spark, sf):
     """Windows that closed while the events arrived in eight micro-batches."""
-    stream = in_batches(_arriving(spark, sf), "arrived", 8, scratch_path(spark, "arriving"))
+    stream = in_batches(T.arriving(spark, sf), "arrived", 8, scratch_path(spark, "arriving"))
     events = T.as_logs(stream, "arrived")
     closed = _drain(W.closed_windows(events, "arrived", T.WIDTH, LogSchema(source="service")))
     return closed.withColumn("sources", F.array_join("sources", ","))
@@ -279,11 +271,10 @@ CASES = [
             "count(*) FILTER (late) AS late, count(*) FILTER (future) AS future, min(timestamp) AS time_start, max(timestamp) AS time_end, "
             "coalesce(string_agg(DISTINCT service, ',' ORDER BY service), '') AS sources FROM (SELECT *, CASE WHEN late OR future THEN "
             "time_bucket(INTERVAL '6 hours', arrived) ELSE own END AS window_start FROM (SELECT *, own > arrived AS future, "
-            "own + INTERVAL '6 hours 60 seconds' <= arrived AS late FROM arriving)) WHERE window_start + INTERVAL '6 hours 60 seconds' "
+            "own + INTERVAL '6 hours 60 seconds' <= arrived AS late FROM (SELECT *, time_bucket(INTERVAL '6 hours', timestamp) AS own FROM arriving))) WHERE window_start + INTERVAL '6 hours 60 seconds' "
             "<= (SELECT max(arrived) FROM arriving) GROUP BY window_start",
             T.LOGS,
-            "arriving AS (SELECT *, time_bucket(INTERVAL '6 hours', timestamp) AS own, timestamp + to_seconds(CASE WHEN event_id % 50 = 7 THEN 90000 "
-            "WHEN event_id % 60 = 11 THEN -50000 ELSE event_id % 40 END) AS arrived FROM logs)",
+            T.ARRIVING,
         ),
     ),
     Case("str_late", _late, next(c.sql for c in SQ.CASES if c.name == "seg_placement")),

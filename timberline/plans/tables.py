@@ -95,6 +95,21 @@ LOGS = """logs AS (SELECT event_id, ts AS timestamp,
   FROM events)"""
 
 
+# --- arriving: the logs with the moment each arrived ----------------------------
+
+
+def arriving(spark, sf):
+    """The events with the moment each arrived: most after seconds, some a day late, some ahead of their time."""
+    n = F.col("event_id")
+    delay = F.when(n % 50 == 7, 90_000).when(n % 60 == 11, -50_000).otherwise(n % 40).cast("bigint")
+    arrived = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + delay * 1_000_000).cast("timestamp_ntz")
+    return table(spark, sf, "events").withColumn("arrived", arrived)
+
+
+ARRIVING = """arriving AS (SELECT *, timestamp + to_seconds(CASE WHEN event_id % 50 = 7 THEN 90000
+    WHEN event_id % 60 = 11 THEN -50000 ELSE event_id % 40 END) AS arrived FROM logs)"""
+
+
 # --- mixed: the attribute k as number, text, decimal, null, junk, nested ------
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, StructField, StructType
 
-from timberline.functions.timeframe import iso_utc, parse_time, segment_id, width_seconds, window_start
+from timberline.functions.timeframe import iso_utc, parse_time, segment_id, segment_start, width_seconds, window_start
 from timberline.operators.segments import SEAL_GRACE, sealable, segment_stats
 from timberline.schema import EVENT_COLUMNS, LogSchema
 from timberline.session import checkpointed
@@ -42,13 +42,16 @@ def seal(
     path: str,
     width: Any = "1h",
     schema: LogSchema = LogSchema(),
-    replace: str = "all",
+    replace: str = "segments",
     max_records_per_file: int = 0,
+    segment: Column | None = None,
 ) -> None:
     """Write events below ``dt=<day>/segment_id=<window>``, sorted by time, zstd level 3.
 
     ``replace="segments"`` overwrites only the segments that occur in ``events``,
     so sealing a segment again is harmless; ``"all"`` replaces the whole store.
+    ``segment`` is the id of the segment that a row goes to, if that is not the window of its time:
+    where late rows were placed, say.
 
     ``rebalance`` brings the rows of a segment together in one shuffle and lets
     AQE split a segment that is much larger than the rest into several files,
@@ -57,7 +60,7 @@ def seal(
     """
     schema = schema.bind(events)
     ts = F.col(schema.timestamp)
-    start = window_start(ts, width, schema.ntz)
+    start = window_start(ts, width, schema.ntz) if segment is None else segment_start(segment, schema.ntz)
     placed = events.withColumns({DAY: F.to_date(start), SEGMENT: segment_id(start)})
     order = [DAY, SEGMENT, schema.timestamp, *([schema.id] if schema.id else [])]
     writer = (
