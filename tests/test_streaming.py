@@ -9,6 +9,7 @@ from timberline.operators.segments import place_events, window_stats
 from timberline.schema import LogSchema
 from timberline.sources.ndjson import stream_lines
 from timberline.sources.store import read_store
+from timberline.streaming import deltas
 from timberline.streaming import ingest as I
 from timberline.streaming import live as V
 from timberline.streaming.deltas import finish
@@ -192,14 +193,63 @@ def test_a_stream_that_takes_too_long_raises(spark, tmp_path):
         I.run_to_parquet(slow, str(tmp_path / "out"), str(tmp_path / "offsets"), timeout=1)
 
 
-def test_intake_is_observed(spark, tmp_path):
+def write_lines(folder, number, lines):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / f"{number}.ndjson").write_text("\n".join(lines))
+
+
+def test_ledger_counts_each_batch_and_source_once(spark, tmp_path, monkeypatch):
+    """More batches than a query's progress holds, over restarts, one batch repeated, sums folded on the way."""
+    monkeypatch.setattr(deltas, "FOLD", 6)
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", 5)
+    source, out, offsets = tmp_path / "lines", str(tmp_path / "store"), str(tmp_path / "offsets")
+    want = {"a": [0, 0], "b": [0, 0]}
+    for number in range(26):
+        name = "ab"[number % 2]
+        good, bad = number % 4 + 1, number % 3
+        write_lines(source / f"source={name}", number, ['{"ts":1778544000,"message":"m"}'] * good + ["junk"] * bad + [""])
+        want[name] = [want[name][0] + good, want[name][1] + bad]
+
+    def take_in():
+        lines = stream_lines(spark, str(source), max_files=1, folder="source")
+        finish(I.ingest(lines, f"{out}/events", f"{out}/ledger", offsets, source=F.col("source"), available_now=True))
+
+    take_in()
+    last = max((f for f in os.listdir(f"{offsets}/commits") if f.isdigit()), key=int)
+    assert int(last) == 25
+    for name in (last, f".{last}.crc"):  # the driver was lost before it noted the last batch
+        os.remove(f"{offsets}/commits/{name}")
+    take_in()
+    got = {r.source: [r.accepted, r.skipped] for r in I.read_ledger(spark, f"{out}/ledger").collect()}
+    assert got == want
+    stored = read_store(spark, f"{out}/events")
+    assert {r.source: r["count"] for r in stored.groupBy("source").count().collect()} == {k: v[0] for k, v in want.items()}
+    assert len([f for f in os.listdir(f"{out}/ledger") if f.startswith("_batch=")]) <= 12
+    spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_a_sum_that_was_not_finished_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    one = spark.createDataFrame([("a", 1, 0)], I.LEDGER)
+    for number in range(9):
+        deltas.write_batch(one, path, number, I._sum_ledger, every=3)
+        assert I.read_ledger(spark, path).first().accepted == number + 1
+    deltas.write_batch(one, path, 8, I._sum_ledger, every=3)  # repeated, with its sum
+    assert I.read_ledger(spark, path).first().accepted == 9
+    os.remove(f"{path}/_sums/8/_SUCCESS")
+    assert I.read_ledger(spark, path).first().accepted == 9
+
+
+def test_batches_are_bounded_by_bytes(spark, tmp_path):
     source = tmp_path / "lines"
-    source.mkdir()
-    (source / "a.ndjson").write_text('{"a":1}\njunk\n\n{"b":2}\n[1]')
-    lines = I.observe_intake(stream_lines(spark, str(source)))
-    query = lines.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    finish(query, 60)
-    assert [(a, s) for _, a, s in I.intake_counts(query)] == [(2, 2)]
+    for number in range(6):
+        write_lines(source, number, ['{"a":1}'] * 100)
+    lines = stream_lines(spark, str(source), max_bytes=1700)
+    finish(I.ingest(lines, str(tmp_path / "store"), str(tmp_path / "ledger"), str(tmp_path / "offsets"), available_now=True))
+    counts = deltas.read_batches(spark, str(tmp_path / "ledger"), I.LEDGER).collect()
+    assert [r.accepted for r in counts] == [200, 200, 200] and {r.source for r in counts} == {"default"}
+    with pytest.raises(ValueError):
+        stream_lines(spark, str(source), 1, 1)
 
 
 def test_windows_close_with_the_grace_and_not_before(spark, tmp_path):

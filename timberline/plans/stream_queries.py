@@ -18,7 +18,7 @@ from timberline.sources.store import read_store, seal_closed
 from timberline.streaming import ingest as I
 from timberline.streaming import live as V
 from timberline.streaming import windows as W
-from timberline.streaming.deltas import finish
+from timberline.streaming.deltas import finish, read_batches
 from timberline.streaming.ratecap import cap_rate_stream
 
 CAP = 3
@@ -94,15 +94,30 @@ def _seal_closed(spark, sf):
     return both.groupBy("segment_id", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _taken_in(spark, sf, name, **bound):
+    """Lines of two sources in six files, taken in batch by batch: the ledger's folder and its sums."""
+    path, ledger = scratch_path(spark, name), scratch_path(spark, "ledger")
+    kind = F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd")
+    rows = T.ndjson(spark, sf).select("value", kind.alias("source")).repartition(3, F.rand(1))
+    rows.write.partitionBy("source").text(path)
+    lines = stream_lines(spark, path, folder="source", **bound)
+    finish(I.ingest(lines, scratch_path(spark, "store"), ledger, scratch_path(spark, "offsets"), source=F.col("source"), ingest_time=T.INGEST_TIME, width="24h", available_now=True))
+    return ledger, I.read_ledger(spark, ledger)
+
+
 def _intake(spark, sf):
-    """Lines accepted and skipped, observed on the side of a stream."""
-    lines = I.observe_intake(stream_lines(spark, _written_lines(spark, sf), max_files=1))
-    query = lines.writeStream.format("noop").option("checkpointLocation", scratch_path(spark, "offsets")).trigger(availableNow=True).start()
-    finish(query)
-    counts = I.intake_counts(query)
-    return spark.createDataFrame(counts, "batch bigint, accepted bigint, skipped bigint").agg(
-        F.sum("accepted").alias("accepted"), F.sum("skipped").alias("skipped")
-    )
+    """Lines accepted and skipped per source, from the ledger of a stream in batches of bounded bytes."""
+    return _taken_in(spark, sf, "lines", max_bytes=400_000)[1]
+
+
+def _bounded(spark, sf):
+    """What a stream that takes one file a batch writes into its ledger, batch by batch."""
+    ledger, _ = _taken_in(spark, sf, "bounded", max_files=1)
+    rows = read_batches(spark, ledger, I.LEDGER)
+    return rows.groupBy("source").agg(
+        F.countDistinct("_batch").alias("batches"), F.sum(F.col("accepted") + F.col("skipped")).alias("lines"),
+        (F.max(F.col("accepted") + F.col("skipped")) < 0.5 * F.sum(F.col("accepted") + F.col("skipped"))).alias("bounded"),
+    )
 
 
 def _filter(spark, sf):
@@ -245,13 +260,23 @@ CASES = [
         "str_intake",
         _intake,
         T.with_ctes(
-            "SELECT count(*) FILTER (event_id IN (SELECT event_id FROM docs)) AS accepted, "
-            "count(*) FILTER (event_id NOT IN (SELECT event_id FROM docs)) AS skipped FROM lines",
+            "SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, count(*) FILTER (event_id IN (SELECT event_id FROM docs)) "
+            "AS accepted, count(*) FILTER (event_id NOT IN (SELECT event_id FROM docs)) AS skipped FROM lines GROUP BY 1",
             T.NDJSON,
             T.LINES,
             T.DOCS,
         ),
     ),
+    Case(
+        "str_bounded",
+        _bounded,
+        T.with_ctes(
+            "SELECT CASE WHEN event_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, 3 AS batches, count(*) AS lines, true AS bounded "
+            "FROM lines GROUP BY 1",
+            T.NDJSON,
+            T.LINES,
+        ),
+    ),
     Case(
         "snk_seal_closed",
         _seal_closed,

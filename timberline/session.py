@@ -69,6 +69,12 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """File system and path of a name, by the session's own Hadoop settings."""
+    named = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark._jsc.hadoopConfiguration()), named
+
+
 _SCRATCH: dict[str, str] = {}
 
 
@@ -78,8 +84,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     application = spark.sparkContext.applicationId
     if application not in _SCRATCH:
         root = f"{shared_root(spark)}/timberline/{application}-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files, path = hadoop_path(spark, root)
         files.mkdirs(path)
         files.deleteOnExit(path)
         _SCRATCH[application] = re.sub("^file:/+", "file:///", files.makeQualified(path).toString())

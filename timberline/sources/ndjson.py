@@ -37,10 +37,23 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return clean_lines(lines)
 
 
-def stream_lines(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Lines of files as they arrive, at most ``max_files`` per micro-batch."""
-    reader = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", max_files)
-    return clean_lines(reader.text(path))
+def stream_lines(
+    spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int | None = None, folder: str | None = None
+) -> DataFrame:
+    """Lines of files as they arrive.
+
+    A micro-batch takes at most ``max_files`` files, or files of ``max_bytes`` together (one file at least); of neither, 1000 files.
+    With ``folder`` the files lie in folders ``<folder>=<value>``, and the value is added as a column of that name.
+    """
+    if max_files is not None and max_bytes is not None:
+        raise ValueError("bound a batch by files or by bytes, not by both")
+    bound = ("maxBytesPerTrigger", max_bytes) if max_bytes is not None else ("maxFilesPerTrigger", max_files or 1000)
+    reader = spark.readStream.option("lineSep", "\n").option(*bound)
+    if folder is None:
+        return clean_lines(reader.text(path))
+    lines = reader.option("recursiveFileLookup", "true").text(path)
+    value = F.regexp_extract(F.col("_metadata.file_path"), f"/{folder}=([^/]+)/", 1)
+    return clean_lines(lines.select("value", value.alias(folder)))
 
 
 def read_sources(

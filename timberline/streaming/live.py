@@ -88,6 +88,10 @@ def _split(cap: int) -> list[Column]:
 MATCHES = "subscription string, window_start timestamp_ntz, n bigint"
 
 
+def _sum_matches(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("subscription", "window_start").agg(F.sum("n").alias("n"))
+
+
 def write_match_counts(
     matched: DataFrame,
     path: str,
@@ -101,12 +105,12 @@ def write_match_counts(
 
     def work(batch: DataFrame, number: int) -> None:
         start = rate_window(schema, seconds).cast("timestamp_ntz").alias("window_start")
-        write_batch(batch.groupBy("subscription", start).agg(F.count(F.lit(1)).alias("n")), path, number)
+        write_batch(batch.groupBy("subscription", start).agg(F.count(F.lit(1)).alias("n")), path, number, _sum_matches)
 
     return each_batch(matched, work, checkpoint, available_now)
 
 
 def read_drop_stats(spark: SparkSession, path: str, cap: int = RATE_CAP) -> DataFrame:
     """Streaming form of ``drop_stats``: delivered and dropped so far, late events included."""
-    counts = read_batches(spark, path, MATCHES).groupBy("subscription", "window_start").agg(F.sum("n").alias("_n"))
+    counts = _sum_matches(read_batches(spark, path, MATCHES)).withColumnRenamed("n", "_n")
     return counts.select("subscription", "window_start", *_split(cap))
