@@ -12,7 +12,7 @@ from timberline.operators.segments import window_stats, with_segment
 from timberline.plans import storage_queries as SQ
 from timberline.plans import tables as T
 from timberline.plans.tables import Case
-from timberline.session import scratch_path
+from timberline.session import checkpointed, scratch_path
 from timberline.sources import store
 
 _AGE = dt.timedelta(days=20)
@@ -156,6 +156,21 @@ def _evict_apply(spark, sf):
     )
 
 
+def _break_files(batches):
+    """Remove or spoil files, as ``fate`` says; a task that runs again does no harm."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for key, fate in zip(batch["key"], batch["fate"]):
+            system, name = store.open_uri(key)
+            if fate == "spoil":
+                with system.open_output_stream(name) as out:
+                    out.write(b"PAR1 spoilt PAR1")
+            elif system.get_file_info(name).type != fs.FileType.NotFound:
+                system.delete_file(name)
+        yield batch[["key"]]
+
+
 def _broken_archive(spark, sf):
     """A real archive of all segments of the log table, some data or manifests removed and some data spoilt."""
     path = SQ.archived(spark, sf)
@@ -163,13 +178,8 @@ def _broken_archive(spark, sf):
     objects = store.list_archive(spark, path).join(number, "segment_id")
     n, data = F.col("n"), F.col("kind") == "parquet"
     fate = F.when(data & (n % 7 == 3), "remove").when(~data & (n % 11 == 5), "remove").when(data & (n % 13 == 2), "spoil")
-    for key, what in objects.select("key", fate.alias("fate")).where("fate is not null").collect():
-        system, name = store.open_uri(key)
-        if what == "remove":
-            system.delete_file(name)
-        else:
-            with system.open_output_stream(name) as out:
-                out.write(b"PAR1 spoilt PAR1")
+    broken = objects.select("key", fate.alias("fate")).where("fate is not null")
+    checkpointed(broken.repartition("key").mapInPandas(_break_files, "key string"))
     return path
 
 
@@ -193,31 +203,43 @@ def _checksum(spark, sf):
     return L.checksum_mismatches(files, store.read_manifests(spark, path)[0]).select("segment_id")
 
 
+def _offer(batches):
+    """Copy archive objects into a drop zone, some of them broken by the number of their rows."""
+    for batch in batches:
+        for row in batch.itertuples():
+            files, name = store.open_uri(row.key)
+            system, target = store.open_uri(row.target)
+            size, length = row.row_count, files.get_file_info(name).size
+            system.create_dir(target.rpartition("/")[0], recursive=True)
+            with files.open_input_stream(name) as stream:
+                if row.kind == "manifest":
+                    document = json.loads(stream.read())
+                    document["manifest_version"] = 2 if size % 11 == 0 else 1
+                    document["parquet_sha256"] = "0" if size % 7 == 0 else document["parquet_sha256"].upper()
+                    with system.open_output_stream(f"{target}.manifest.json") as out:
+                        out.write(json.dumps(document).encode())
+                    continue
+                left = 4 if size % 13 == 0 else length - 4 if size % 5 == 0 else length
+                with system.open_output_stream(f"{target}.parquet") as out:
+                    while left:
+                        chunk = stream.read(min(left, 1 << 20))
+                        left -= len(chunk)
+                        out.write(chunk)
+                    if size % 5 == 0 and size % 13:
+                        out.write(b"xxxx")
+            if size % 17:
+                with system.open_output_stream(f"{target}.ready") as out:
+                    out.write(b"")
+        yield batch[["key"]]
+
+
 def _drop_zone(spark, sf):
     """Real eight-hour segments offered for import; some are broken in one way or another."""
-    path = SQ.archived(spark, sf, "8h")
     zone = scratch_path(spark, "drop")
-    system, root = store.open_uri(zone)
-    system.create_dir(root)
-    rows = {r.id: r.row_count for r in window_stats(T.logs(spark, sf), "8h").collect()}
-    for key, segment, kind in store.list_archive(spark, path).select("key", "segment_id", "kind").collect():
-        files, name = store.open_uri(key)
-        with files.open_input_stream(name) as stream:
-            content = stream.read()
-        size = rows[segment]
-        if kind == "parquet":
-            content = content[:4] if size % 13 == 0 else content[:-4] + b"xxxx" if size % 5 == 0 else content
-        else:
-            document = json.loads(content)
-            document["manifest_version"] = 2 if size % 11 == 0 else 1
-            document["parquet_sha256"] = "0" if size % 7 == 0 else document["parquet_sha256"].upper()
-            content = json.dumps(document).encode()
-        ending = ".parquet" if kind == "parquet" else ".manifest.json"
-        with system.open_output_stream(f"{root}/segment-{segment}{ending}") as out:
-            out.write(content)
-        if kind == "parquet" and size % 17 != 0:
-            with system.open_output_stream(f"{root}/segment-{segment}.ready") as out:
-                out.write(b"")
+    rows = window_stats(T.logs(spark, sf), "8h").select(F.col("id").alias("segment_id"), "row_count")
+    objects = store.list_archive(spark, SQ.archived(spark, sf, "8h")).join(rows, "segment_id")
+    offered = objects.select("key", "kind", "row_count", F.concat(F.lit(f"{zone}/segment-"), "segment_id").alias("target"))
+    checkpointed(offered.repartition("key").mapInPandas(_offer, "key string"))
     return zone
 
 

@@ -12,7 +12,8 @@ from timberline.plans.filters import error_of
 from timberline.plans.storage_queries import _written_lines
 from timberline.plans.tables import Case
 from timberline.schema import LogSchema
-from timberline.session import scratch_path
+from timberline.session import hadoop_path, scratch_path
+from timberline.sources.compaction import compact, vacuum
 from timberline.sources.ndjson import stream_lines
 from timberline.sources.store import read_store, seal_closed
 from timberline.streaming import ingest as I
@@ -94,6 +95,27 @@ def _seal_closed(spark, sf):
     return both.groupBy("segment_id", "place").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _compacted(spark, sf):
+    """A hot store of six batches, compacted while one more arrives, after a compaction that was killed."""
+    path, lines, offsets = (scratch_path(spark, n) for n in ("store", "batches", "offsets"))
+
+    def arrive(rows):
+        rows.write.mode("append").text(lines)
+        events = I.stream_events(stream_lines(spark, lines, max_files=1), source="app", ingest_time=T.INGEST_TIME)
+        finish(I.append_store(events, path, offsets, "24h", available_now=True, writers=1))
+
+    every = T.ndjson(spark, sf)
+    arrive(every.filter("event_id % 7 < 6").select("value").repartition(6, F.rand(2)))
+    compact(spark, path)
+    files, commits = hadoop_path(spark, f"{path}-commits")
+    files.delete(commits, True)  # as if it had been killed before its commit
+    compact(spark, path)
+    arrive(every.filter("event_id % 7 = 6").select("value").coalesce(1))
+    vacuum(spark, path)
+    stored = read_store(spark, path).withColumn("_file", F.col("_metadata.file_path"))
+    return stored.groupBy("segment_id").agg(F.count(F.lit(1)).alias("n"), (F.countDistinct("_file") <= 3).alias("few_files"))
+
+
 def _taken_in(spark, sf, name, **bound):
     """Lines of two sources in six files, taken in batch by batch: the ledger's folder and its sums."""
     path, ledger = scratch_path(spark, name), scratch_path(spark, "ledger")
@@ -302,5 +324,14 @@ CASES = [
             T.ARRIVING,
         ),
     ),
+    Case(
+        "snk_compaction",
+        _compacted,
+        T.with_ctes(
+            "SELECT strftime(time_bucket(INTERVAL '1 day', coalesce(f_ts, TIMESTAMP '2024-02-01')), '%Y%m%d%H%M') AS segment_id, "
+            "count(*) AS n, true AS few_files FROM fields GROUP BY 1",
+            *EQ._CTES,
+        ),
+    ),
     Case("str_late", _late, next(c.sql for c in SQ.CASES if c.name == "seg_placement")),
 ]

@@ -7,12 +7,13 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StringType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StringType, StructField, StructType
 
 from timberline.functions.timeframe import iso_utc, parse_time, segment_id, segment_start, width_seconds, window_start
 from timberline.operators.segments import SEAL_GRACE, sealable, segment_stats
@@ -88,20 +89,32 @@ def read_store(
     names. Listing the folders and reading the schema takes longer than a short search:
     keep the frame and use ``prune`` for each query.
     """
-    return prune(_read_folders(spark, path, schema).drop(_BATCH), start, end, width)
+    return prune(read_folders(spark, path, schema).drop(BATCH, ORIGIN), start, end, width)
 
 
-# Folder of a micro-batch in a hot store.
-_BATCH = "_batch"
+# Folder of a micro-batch in a hot store, and the column that keeps its number where rows were merged or sealed.
+BATCH = "_batch"
+ORIGIN = "_of"
 
 
-def _read_folders(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def raw_folders(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """All rows below a store, with ``ORIGIN`` (null where it is not stored) and, in a hot store, ``BATCH``."""
     columns = schema or spark.read.option("basePath", path).parquet(path).schema
     folders = [StructField(DAY, DateType()), StructField(SEGMENT, StringType())]
-    whole = StructType([f for f in columns.fields if f.name not in (DAY, SEGMENT)] + folders)
+    batch = [f for f in columns.fields if f.name == BATCH]
+    data = [f for f in columns.fields if f.name not in (DAY, SEGMENT, BATCH, ORIGIN)]
+    whole = StructType([*data, StructField(ORIGIN, LongType()), *folders, *batch])
     return spark.read.schema(whole).option("basePath", path).parquet(path)
 
 
+def read_folders(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """``raw_folders`` without what a compaction has replaced or not committed."""
+    from timberline.sources.compaction import visible
+
+    rows = raw_folders(spark, path, schema)
+    return visible(rows, spark, path) if BATCH in rows.columns else rows
+
+
 def prune(df: DataFrame, start: Any = None, end: Any = None, width: Any = None) -> DataFrame:
     """Bound the day folders, and with ``width`` the segment folders, by a time range.
 
@@ -145,32 +158,51 @@ def seal_closed(
     segments are returned (``id, state, row_count, time_start, time_end, sources,
     sealed_at``), and only then are their hot folders removed. Open windows stay.
 
-    A segment that was sealed before and got late rows is written again with both, and a
-    row the sealed segment already holds is not added again, so a run that
-    failed between the commit and the removal may simply be repeated.
+    A segment that was sealed before and got late rows is written again with both. Sealed rows keep the number
+    of their batch, and a batch that a sealed segment holds is not added to it again: a run that failed between the
+    commit and the removal may simply be repeated, and a late copy of a row counts like any other row. (A hot store
+    without batches has no such numbers; there, rows that the sealed segment holds already are not added again.)
     """
-    active = _read_folders(spark, hot)
-    if _BATCH not in active.columns:
-        active = active.withColumn(_BATCH, F.lit(None).cast("bigint"))
-    columns = [c for c in active.columns if c not in (DAY, SEGMENT, _BATCH)]
-    found = active.select(F.col(SEGMENT).alias("id"), _BATCH, F.lit("active").alias("state")).distinct()
+    from timberline.sources.compaction import remove_folders
+
+    active = read_folders(spark, hot)
+    batched = BATCH in active.columns
+    if not batched:
+        active = active.withColumn(BATCH, F.lit(None).cast("int"))
+    active = active.withColumn(ORIGIN, F.coalesce(ORIGIN, BATCH).cast("bigint"))
+    columns = [c for c in active.columns if c not in (DAY, SEGMENT, BATCH)]
+    found = active.select(F.col(SEGMENT).alias("id"), BATCH, F.lit("active").alias("state")).distinct()
     # The folders read are fixed here: a batch that arrives meanwhile is left for the next run.
-    folders = checkpointed(sealable(found, now, width, grace).select(F.col("id").alias(SEGMENT), _BATCH))
+    folders = checkpointed(sealable(found, now, width, grace).select(F.col("id").alias(SEGMENT), BATCH))
     closed = folders.select(SEGMENT).distinct()
-    read = folders.select(F.col(SEGMENT).alias("_segment"), F.col(_BATCH).alias("_number"))
-    here = (F.col(SEGMENT) == F.col("_segment")) & F.col(_BATCH).eqNullSafe(F.col("_number"))
-    chosen = active.join(read, here, "left_semi").select(columns)
+    read = folders.select(F.col(SEGMENT).alias("_segment"), F.col(BATCH).alias("_number"))
+    here = (F.col(SEGMENT) == F.col("_segment")) & F.col(BATCH).eqNullSafe(F.col("_number"))
+    chosen = active.join(read, here, "left_semi")
+    if folders.isEmpty():
+        none = chosen.limit(0).withColumn(SEGMENT, F.lit(""))
+        return _catalog_rows(segment_stats(none, SEGMENT, schema.bind(none)), now)
     if _has_files(path):
-        known = read_store(spark, path).join(closed, SEGMENT, "left_semi").select(columns)
-        # EXCEPT ALL keeps true duplicates of a row, but not those a repeated run brings.
-        chosen = known.unionAll(chosen.exceptAll(known))
-    chosen = checkpointed(chosen)
-    if chosen.isEmpty():
-        return _catalog_rows(segment_stats(chosen.withColumn(SEGMENT, F.lit("")), SEGMENT, schema.bind(chosen)), now)
-    seal(chosen, path, width, schema, "segments")
+        known = read_folders(spark, path).join(closed, SEGMENT, "left_semi")
+        if batched:
+            # Frozen, like all that is read of the sealed segments, before these are replaced.
+            held = checkpointed(known.select(F.col(SEGMENT).alias("_segment"), F.col(ORIGIN).alias("_held")).distinct())
+            fresh = chosen.join(held, (F.col(SEGMENT) == F.col("_segment")) & (F.col(ORIGIN) == F.col("_held")), "left_anti")
+        else:
+            # EXCEPT ALL keeps true duplicates of a row, but not those a repeated run brings.
+            fresh = chosen.select(*columns, SEGMENT).exceptAll(known.select(*columns, SEGMENT))
+        # Segments sealed before are written again with their own rows.
+        both = checkpointed(known.select(SEGMENT).distinct().join(fresh.select(SEGMENT).distinct(), SEGMENT, "left_semi"))
+        again = known.join(both, SEGMENT, "left_semi").select(columns).unionAll(fresh.join(both, SEGMENT, "left_semi").select(columns))
+        again = checkpointed(again)
+        chosen = fresh.join(both, SEGMENT, "left_anti")
+        if not batched:
+            chosen = checkpointed(chosen)
+        if not again.isEmpty():
+            seal(again, path, width, schema, "segments")
+    seal(chosen.select(columns), path, width, schema, "segments")
     sealed = read_store(spark, path).join(closed, SEGMENT, "left_semi")
     rows = checkpointed(_catalog_rows(segment_stats(sealed, SEGMENT, schema.bind(sealed)), now))
-    _remove_folders(hot, [tuple(r) for r in folders.collect()])
+    remove_folders(folders, hot)
     return rows
 
 
@@ -190,14 +222,6 @@ def _has_files(path: str) -> bool:
     )
 
 
-def _remove_folders(path: str, folders: Sequence[tuple[str, int | None]]) -> None:
-    """Remove the folders of some segments, or of some batches of them, of a hot store."""
-    system, root = open_uri(path)
-    for one, batch in folders:
-        folder = f"{root}/{DAY}={one[:4]}-{one[4:6]}-{one[6:8]}/{SEGMENT}={one}"
-        system.delete_dir(folder if batch is None else f"{folder}/{_BATCH}={batch}")
-
-
 def union_hot(hot: DataFrame, sealed: DataFrame) -> DataFrame:
     """Active rows and sealed rows as one table."""
     columns = [c for c in hot.columns if c in sealed.columns]
@@ -236,32 +260,35 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for folder in batch["path"]:
             system, name = open_uri(folder)
-            infos = [i for i in system.get_file_info(fs.FileSelector(name)) if i.is_file]
+            infos = system.get_file_info(fs.FileSelector(name))
             for at in range(0, len(infos), _LISTED):
                 part = infos[at : at + _LISTED]
                 yield pd.DataFrame(
                     {
                         "path": [f"{folder.rstrip('/')}/{i.base_name}" for i in part],
-                        "length": [i.size for i in part],
+                        "length": [i.size if i.is_file else None for i in part],
+                        "folder": [not i.is_file for i in part],
                     }
-                )
+                ).astype({"length": "Int64"})
 
 
 def list_folder(spark: SparkSession, path: str) -> DataFrame:
     """``path, length`` of the files in a folder and in its subfolders, empty
     files included (Spark's file sources leave those out).
 
-    A task lists one folder at a time and passes its files on in batches, so a
-    large drop zone should be split over subfolders.
+    Tasks list one level of folders after the other, and the folders found are the next level's table, so
+    the driver learns nothing but whether there is one. A task lists a folder at a time and passes its files on in
+    batches, so a large drop zone should be split over subfolders.
     """
-    system, root = open_uri(path)
-    from pyarrow import fs
-
-    inner = [i.path for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if not i.is_file]
-    base = path.rstrip("/")
-    folders = [(base,)] + [(base + i[len(root.rstrip("/")) :],) for i in inner]
-    frame = spark.createDataFrame(folders, "path string").repartition(len(folders), "path")
-    return frame.mapInPandas(_list_folders, "path string, length bigint")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    level = spark.createDataFrame([(path.rstrip("/"),)], "path string")
+    found = []
+    while not level.isEmpty():
+        spread = level.repartition(tasks, "path") if found else level
+        listed = checkpointed(spread.mapInPandas(_list_folders, "path string, length bigint, folder boolean"))
+        found.append(listed.filter(~F.col("folder")).select("path", "length"))
+        level = listed.filter("folder").select("path")
+    return reduce(DataFrame.unionAll, found)
 
 
 def _hash_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
