@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from timberline.llm import tiling
+from timberline.llm.minmax import deduplicated
 from timberline.llm.mixing import mix_plan, mixed
 from timberline.llm.tiling import contamination, tile, uncontaminated
 from timberline.llm.token_files import pack, read_token_files, token_output, unpack, write_token_files
@@ -162,3 +164,60 @@ def test_mix_comes_near_its_targets(documents):
         own = [r for r in rows if r.source == source]
         largest = max(r["size"] for r in own)
         assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * largest
+
+
+def clashing(spark, rows):
+    """Rows with every name that the pipeline's operators use inside, each with values of its own."""
+    names = ["_key", "_copies", "_copy", "_found", "_row_key", "_kept_key", "_kept", "key", "row", "copies", "_item", "root", "node", "_own"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    return docs.selectExpr("*", *[f"concat('{n} of ', doc_id) AS {n}" for n in names]).selectExpr("*", "doc_id AS `a.b`")
+
+
+def test_pipeline_stages_keep_the_values_of_columns_with_clashing_names(spark):
+    texts = [f"alpha{i} beta{i} gamma delta epsilon{i} " * 3 for i in range(6)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(texts)]
+    docs = clashing(spark, [*rows, (10, texts[0], "en", "s0", 5), (11, None, None, None, None)])
+    benchmark = spark.createDataFrame([(1, texts[5])], "item_id bigint, text string")
+    own = {r.doc_id: r for r in docs.collect()}
+    kept = deduplicated(docs).collect()
+    assert {r.doc_id for r in kept} == {0, 1, 2, 3, 4, 5, 11}
+    clean = uncontaminated(docs, benchmark).collect()
+    assert {r.doc_id for r in clean} == {0, 1, 2, 3, 4, 10, 11}
+    mix = mixed(docs).collect()
+    assert mix
+    for found in (kept, clean, mix):
+        assert all(r == own[r.doc_id] and r.__fields__ == own[r.doc_id].__fields__ for r in found)
+
+
+@pytest.mark.parametrize("kind, ids", [("string", ["i2", "i1", "i3"]), ("bigint", [2, 1, 3]), ("double", [2.5, 1.5, 3.5])])
+def test_the_least_item_is_named_on_a_tie(spark, kind, ids):
+    text = " ".join(f"w{i}" for i in range(30))
+    items = spark.createDataFrame([(i, text) for i in ids], f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = contamination(docs, items).first()
+    assert (found.item_id, found.n_items, found.coverage) == (min(ids), 3, 1.0)
+
+
+def test_maximal_matches_do_not_depend_on_the_pairs_listed_at_a_time(monkeypatch):
+    rng = np.random.default_rng(3)
+    for trial in range(60):
+        item, text = (rng.integers(0, 4, rng.integers(1, 60)).astype(np.uint64) for _ in range(2))
+        results = []
+        for pairs in (1, 7, 1 << 20):
+            monkeypatch.setattr(tiling, "_PAIRS", pairs)
+            results.append((sorted(tiling._maximal(item, text, 3)), tiling.tile(item, text, 3).tolist()))
+        assert results[0] == results[1] == results[2]
+        inside = [(i, t) for i in range(len(item)) for t in range(len(text)) if item[i] == text[t]]
+        runs = {(i, t) for i, t in inside if (i - 1, t - 1) not in inside}
+        assert {(i, t) for i, t, _ in results[0][0]} == runs
+
+
+def test_tiles_of_equal_words_in_bounded_memory():
+    import tracemalloc
+
+    one = np.uint64(12345)
+    tracemalloc.start()
+    tiles = tiling.tile(np.full(3000, one), np.full(30_000, one))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert tiles.tolist() == [3000] and peak < 200 << 20

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.rows import carried, unpacked
 from timberline.llm.words import WORD
 from timberline.operators.ordering import with_prefix
 from timberline.session import checkpointed
@@ -138,11 +139,7 @@ def mixed(
 
     Rows equal in id, source and text are one document with the copies of all."""
     plan = systematic_copies(_sized(docs, id_col, source_col, text_col), weights, most, seed)
-    totals = plan.groupBy("_key").agg(F.sum("copies").cast("int").alias("_copies")).where("_copies > 0")
-    text = F.col(text_col).cast("string")
-    rows = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(source_col), text)).dropDuplicates(["_key"])
-    return (
-        rows.join(totals, "_key")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    totals = plan.groupBy("_key").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`").cast("string"))
+    rows = carried(docs, key).dropDuplicates(["key"]).join(totals, F.col("key") == F.col("_key"))
+    return unpacked(rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timberline.llm.rows import carried, unpacked
 from timberline.llm.words import hashed_words, pieces, run_hashes, signed
 from timberline.session import checkpointed
 
@@ -26,6 +27,54 @@ COVERAGE = 0.5
 # The seed filter sent to the tasks: two tables of so many bits, whatever the size of the
 # benchmark. A seed has a place in each by other bits of its hash.
 FILTER_PLACES = 1 << 22
+_PAIRS = 1 << 20  # equal seeds listed at a time
+
+
+def _maximal(grams_i: np.ndarray, grams_t: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(place in the item, place in the text, words) of all maximal matches of ``size`` words or more.
+
+    Equal seeds are listed for a few places of the item at a time, ``_PAIRS`` of them or those of one place, and what
+    goes on along a diagonal is carried over, so memory follows the text's length and not the product of both."""
+    order = np.argsort(grams_t, kind="stable")
+    low = np.searchsorted(grams_t[order], grams_i, side="left")
+    count = np.searchsorted(grams_t[order], grams_i, side="right") - low
+    upto = np.cumsum(count)
+    found: list[tuple[int, int, int]] = []
+    open_d, open_i = np.empty(0, np.int64), np.empty(0, np.int64)  # diagonals of matches that may go on, and where they began
+
+    def close(diagonals: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        found.extend(zip(starts.tolist(), (starts + diagonals).tolist(), (ends - starts + size - 1).tolist()))
+
+    at = 0
+    while at < len(grams_i):
+        before = upto[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + _PAIRS, side="right")))
+        here = count[at:to]
+        i = np.repeat(np.arange(at, to), here)
+        within = np.arange(here.sum()) - np.repeat(np.cumsum(here) - here, here)
+        d = order[np.repeat(low[at:to], here) + within] - i
+        by = np.argsort(d, kind="stable")  # by diagonal, then by place
+        i, d = i[by], d[by]
+        head = np.ones(len(i), bool)
+        head[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)
+        heads = np.flatnonzero(head)
+        starts, diagonals = i[heads], d[heads]
+        ends = starts + np.diff(np.append(heads, len(i)))
+        # Matches of the places before that reach up to here, by diagonal like those found here.
+        first = np.flatnonzero(starts == at)
+        place = np.searchsorted(diagonals[first], open_d)
+        goes_on = np.zeros(len(open_d), bool)
+        inside = place < len(first)
+        goes_on[inside] = diagonals[first][place[inside]] == open_d[inside]
+        close(open_d[~goes_on], open_i[~goes_on], np.full(int((~goes_on).sum()), at))
+        starts = starts.copy()
+        starts[first[place[goes_on]]] = open_i[goes_on]
+        last = ends == to
+        close(diagonals[~last], starts[~last], ends[~last])
+        open_d, open_i = diagonals[last], starts[last]
+        at = to
+    close(open_d, open_i, np.full(len(open_d), len(grams_i)))
+    return found
 
 
 def tile(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> np.ndarray:
@@ -34,21 +83,7 @@ def tile(item: np.ndarray, text: np.ndarray, min_match: int = MIN_MATCH) -> np.n
     if size == 0 or len(text) < size:
         return np.empty(0, np.int64)
     grams_i, grams_t = run_hashes(item, size), run_hashes(text, size)
-    order = np.argsort(grams_t, kind="stable")
-    low = np.searchsorted(grams_t[order], grams_i, side="left")
-    high = np.searchsorted(grams_t[order], grams_i, side="right")
-    count = high - low
-    i = np.repeat(np.arange(len(grams_i)), count)
-    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    t = order[np.repeat(low, count) + within]
-    # Seeds that follow each other on a diagonal are one maximal match.
-    sort = np.lexsort((i, t - i))
-    i, t = i[sort], t[sort]
-    head = np.ones(len(i), bool)
-    head[1:] = (t[1:] - i[1:] != t[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)
-    heads = np.flatnonzero(head)
-    length = np.diff(np.append(heads, len(i))) + size - 1
-    matches = [(-n, a, b) for n, a, b in zip(length.tolist(), i[heads].tolist(), t[heads].tolist())]
+    matches = [(-n, a, b) for a, b, n in _maximal(grams_i, grams_t, size)]
     free_i, free_t = np.ones(len(item), bool), np.ones(len(text), bool)
     heapq.heapify(matches)
     tiles = []
@@ -226,16 +261,14 @@ def contamination(
     found = coverage(docs, benchmark, id_col, text_col, item_col, item_text_col, min_match)
     best = found.groupBy("_key").agg(
         F.count_if(F.col("coverage") >= threshold).alias("n_items"),
-        F.max(F.struct("coverage", F.struct(-F.col("_item")).alias("_order"), "_item")).alias("best")
-        if found.schema["_item"].dataType.typeName() in ("integer", "long")
-        else F.max(F.struct("coverage", "_item")).alias("best"),
+        F.min(F.struct((-F.col("coverage")).alias("less"), "_item")).alias("best"),
     )
     keys = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).alias("_key"))
     return keys.join(best, "_key", "left").select(
         F.col("_id").alias(id_col),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.col("best._item").alias("item_id"),
-        F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"),
+        F.coalesce(-F.col("best.less"), F.lit(0.0)).alias("coverage"),
         (F.coalesce("n_items", F.lit(0)) == 0).alias("kept"),
     )
 
@@ -251,4 +284,4 @@ def uncontaminated(
     """The rows of ``docs`` without an item of coverage ``threshold`` or more, all columns."""
     found = coverage(docs, benchmark, id_col, text_col, min_match=min_match).where(F.col("coverage") >= threshold)
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
-    return docs.join(found.select(F.col("_key").alias("_found")).distinct(), key == F.col("_found"), "left_anti")
+    return unpacked(carried(docs, key).join(found.select("_key").distinct(), F.col("key") == F.col("_key"), "left_anti"), docs)
