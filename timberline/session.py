@@ -97,3 +97,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Freeze ``df`` as a table below the scratch folder: the table and its path, for :func:`removed`.
+
+    Unlike a checkpoint it can be given back at once, tells Spark its size, and carries nothing of the plan
+    that made it, so plans of many rounds stay small."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of :func:`written` that nothing needs any more."""
+    for path in paths:
+        files, named = hadoop_path(spark, path)
+        files.delete(named, True)
