@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.components import components
+from timberline.llm.components import components, joined_roots
+from timberline.llm.rows import carried, unpacked
 from timberline.llm.words import hashed_words, mix, pieces, run_hashes, signed
-from timberline.session import checkpointed
+from timberline.session import checkpointed, written
 
 SHINGLE = 5
 PERMUTATIONS = 80
@@ -282,10 +283,10 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, permutati
         .dropDuplicates(["node"])
     )
     links = checkpointed(_confirmed(pairs, sets, percent))
-    roots = components(links)
+    roots = written(components(links), "roots")[0]
     more = checkpointed(_family_links(shared, roots, sets, percent))
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = joined_roots(roots, more)
 
     return sketches.select("_id", "_key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
@@ -337,6 +338,6 @@ def deduplicated(
     placed = _placed(docs, id_col, text_col, shingle, permutations, percent)
     own = F.when(F.col("root").isNull(), F.col("_key")).alias("_own")
     first = F.min(F.struct(F.col("_id").isNull().alias("late"), F.col("_id"), F.col("_key")))
-    ids = placed.groupBy("root", own).agg(first.alias("first")).select(F.col("first._key").alias("_kept_key"))
-    keyed = docs.withColumn("_row_key", _row_key(id_col, text_col))
-    return keyed.join(ids, F.col("_row_key") == F.col("_kept_key"), "left_semi").dropDuplicates(["_row_key"]).drop("_row_key")
+    ids = placed.groupBy("root", own).agg(first.alias("first")).select(F.col("first._key").alias("_kept"))
+    rows = carried(docs, _row_key(id_col, text_col)).join(ids, F.col("key") == F.col("_kept"), "left_semi")
+    return unpacked(rows.dropDuplicates(["key"]), docs)
