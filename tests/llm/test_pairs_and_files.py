@@ -5,14 +5,17 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from timberline.llm import tiling
 from timberline.llm.minmax import deduplicated
 from timberline.llm.mixing import mix_plan, mixed
 from timberline.llm.tiling import contamination, tile, uncontaminated
 from timberline.llm.token_files import pack, read_token_files, token_output, unpack, write_token_files
-from timberline.llm.vocab import public_path
+from timberline.llm.vocab import _IdTable, public_path, vocabulary
 from timberline.session import scratch_path
 
 
@@ -221,3 +224,31 @@ def test_tiles_of_equal_words_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert tiles.tolist() == [3000] and peak < 200 << 20
+
+
+WORD_PARTS = st.sampled_from([*"aAbzZéÉßÀÖ×÷ØÞþÿ'!?.,-_01 \t\n\x0b\x85 ‍﻿́İıΣσς漢кЖ😀\x1c", "straße", "ÉCOLE", "...", "don't"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.none() | st.lists(WORD_PARTS, max_size=12).map("".join), max_size=30), st.sampled_from([3, 1_000_000]))
+def test_ids_of_words_by_hash(tokenizer, rows, size):
+    vocab = vocabulary(public_path("word_bpe_49k.json"))
+    vocab._table = _IdTable(size, vocab.dtype)
+    for some in (rows, rows[::-1]):
+        ids, first = vocab.ids(pa.array(some, pa.string()))
+        got = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+        assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+
+
+def test_token_files_of_equal_ids(spark, tokenizer):
+    """Many rows of one id, or of none, with a long common beginning, spread over shards and lie in one order."""
+    head = "the same words begin every text of this id " * 5
+    rows = [(i, head + f"row {j}") for i in (None, 7) for j in range(300)] + [(7, head + "row 1"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    folder = scratch_path(spark, "equal-ids")
+    shards = write_token_files(docs, folder, shard_tokens=2_000).collect()
+    assert max(r.documents for r in shards) < 300
+    got = read_token_files(spark, folder).orderBy("shard", "inside").collect()
+    assert [r._id for r in got] == [7] * 301 + [8] + [None] * 300
+    want = sorted(np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for _, t in rows)
+    assert sorted(bytes(r.tokens) for r in got) == want

@@ -37,6 +37,7 @@ VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 4_000_000
 BLOCK_TOKENS = 500_000
+ORDER_BYTES = 32
 _HEADER = 5
 
 # Lengths of the four codes that a control byte stands for.
@@ -72,13 +73,14 @@ def _encoded(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        end = np.array([end_id], vocab.dtype).tobytes()
         for piece in pieces(batches):
-            texts = [(t or "").encode().split() for t in piece.column("text").to_pylist()]
-            table = vocab.learn({w for words in texts for w in words})
-            ids = [b"".join([table[w] for w in words]) + end for words in texts]
-            n = [len(x) // vocab.dtype.itemsize for x in ids]
-            yield pa.record_batch({"_id": piece.column("_id"), "n": pa.array(n, pa.int64()), "ids": pa.array(ids, pa.binary())})
+            ids, first = vocab.ids(piece.column("text"))
+            n = np.diff(first)
+            out = np.full(len(ids) + len(n), end_id, vocab.dtype)
+            out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
+            borders = ((first + np.arange(len(first))) * vocab.dtype.itemsize).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(borders), pa.py_buffer(out)])
+            yield pa.record_batch({"_id": piece.column("_id"), "n": pa.array(n + 1, pa.int64()), "ids": raw})
 
     return run
 
@@ -219,8 +221,8 @@ def write_token_files(
     driver and executors share) and return (``shard``, ``documents``, ``tokens``).
 
     Null and empty texts have the end id alone. Documents are in ascending
-    order of id, null ids last, rows of equal id in the order of their ids'
-    bytes. Other columns are not read. An empty table gives a folder with a rank
+    order of id, null ids last, rows of equal id in the order of the first 32 bytes of
+    their ids, then of a hash of all. Other columns are not read. An empty table gives a folder with a rank
     table and one empty shard. Texts are encoded once: the ids lie in the shared scratch
     folder while frequencies are counted and shards are laid out.
     """
@@ -252,8 +254,9 @@ def write_token_files(
     with files.open_output_stream(f"{root}/ranks.bin") as out:
         out.write(token_of.tobytes())
     shards = max(1, -(-int(total.sum()) // shard_tokens))
-    order = [F.col("_id").asc_nulls_last(), F.col("ids")]
-    laid = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    # Spark samples the order's values on the driver: they are of bounded size, and spread rows of equal id.
+    order = [F.col("_id").asc_nulls_last(), F.substring("ids", 1, ORDER_BYTES), F.xxhash64("ids")]
+    laid = encoded.repartitionByRange(shards, *order).sortWithinPartitions(*order, "ids")
     written = laid.select("_id", "ids").mapInArrow(
         _write_shards(folder, rank_of, vocab.dtype, _whole(rows)), "shard bigint, documents bigint, tokens bigint"
     )
