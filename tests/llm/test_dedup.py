@@ -50,6 +50,19 @@ def test_repeats_of_few_words(spark, group_suffixes):
         assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in got) == brute_repeats(rows, window)
 
 
+@pytest.mark.parametrize("group_suffixes, hot_seeds", [(20_000, 0), (5, 0), (5, 1_000_000)])
+def test_hot_seeds_by_both_ways(spark, group_suffixes, hot_seeds):
+    """Hot seeds found in the texts, or joined to them, or none at all: the same words go."""
+    rng = random.Random(11)
+    passage = " ".join(rng.choices("abcdefgh", k=40))
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 60)) + ([passage] if i % 3 == 0 else []))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (None, passage), (7, None)], "doc_id bigint, text string").repartition(4)
+    got = remove_repeats(docs, window=9, seed=4, group_suffixes=group_suffixes, hot_seeds=hot_seeds)
+    want = brute_repeats([(r.doc_id, r.text) for r in docs.collect()], 9)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.text) for r in got.collect()) == want
+
+
+
 def shingle_set(text):
     w = [x.decode() for x in (text or "").encode().lower().split()]
     if len(w) >= 5:

@@ -18,7 +18,9 @@ words stands for a whole run of suffixes.
    ``window`` with two leaves or more marks those leaves.
 3. A seed with more than ``group_suffixes`` suffixes would not fit a task. Its
    prefixes are extended to all ``window`` words, where a group is one node and
-   its leaves need only be counted, before the shuffle already.
+   its leaves need only be counted, before the shuffle already. Up to ``hot_seeds``
+   such seeds, 8 bytes each, are sent to all tasks, which find them in the texts
+   where these lie; if there are more, the runs are joined to the texts.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timberline.llm.words import hashed_words, pieces, run_hashes, signed
+from timberline.llm.words import Words, hashed_words, pieces, run_hashes, signed
 from timberline.session import checkpointed
 
 WINDOW = 35
 SEED = 8
 GROUP_SUFFIXES = 20_000
+HOT_SEEDS = 1_000_000  # hot seeds that are sent to all tasks; beyond, their runs are joined to the texts
 _SLICE = 4096  # suffixes in one slice
 
 
@@ -203,25 +206,43 @@ def _subtrees(window: int):
     return run
 
 
+def _heads(piece: pa.RecordBatch, words: Words, row: np.ndarray, start: np.ndarray, n: np.ndarray, window: int):
+    """The suffixes of the given runs, each with a 128-bit hash of its first ``window`` words."""
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, start = np.repeat(row, n), np.repeat(start, n) + at
+    where = words.first[row] + start
+    keys = piece.column("_key").to_numpy(zero_copy_only=False)
+    return pa.record_batch(
+        {
+            "p1": pa.array(signed(run_hashes(words.hashes, window)[where])),
+            "p2": pa.array(signed(run_hashes(words.hashes, window, "other")[where])),
+            "_key": pa.array(keys[row], pa.int64()),
+            "start": pa.array(start, pa.int32()),
+        }
+    )
+
+
 def _whole_prefixes(window: int):
-    """Every listed suffix with a 128-bit hash of its first ``window`` words."""
+    """The suffixes of listed runs; see :func:`_heads`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
-            words = hashed_words(piece.column("text"))
             row, start, n, _ = _flat_runs(piece)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            row, start = np.repeat(row, n), np.repeat(start, n) + at
-            where = words.first[row] + start
-            keys = piece.column("_key").to_numpy(zero_copy_only=False)
-            yield pa.record_batch(
-                {
-                    "p1": pa.array(signed(run_hashes(words.hashes, window)[where])),
-                    "p2": pa.array(signed(run_hashes(words.hashes, window, "other")[where])),
-                    "_key": pa.array(keys[row], pa.int64()),
-                    "start": pa.array(start, pa.int32()),
-                }
-            )
+            yield _heads(piece, hashed_words(piece.column("text")), row, start, n, window)
+
+    return run
+
+
+def _prefixes_of(seeds: np.ndarray, window: int, seed: int):
+    """The suffixes of all runs of the given sorted seeds; see :func:`_heads`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            words = hashed_words(piece.column("text"))
+            row, start, n, _, key = _seed_runs(words.hashes, words.first, window, seed)
+            at = np.minimum(np.searchsorted(seeds, key), len(seeds) - 1)
+            found = seeds[at] == key
+            yield _heads(piece, words, row[found], start[found], n[found], window)
 
     return run
 
@@ -266,6 +287,7 @@ def remove_repeats(
     window: int = WINDOW,
     seed: int = SEED,
     group_suffixes: int = GROUP_SUFFIXES,
+    hot_seeds: int = HOT_SEEDS,
 ) -> DataFrame:
     """Remove all words covered by a run of ``window`` words that starts at two
     places or more, in one document or several. Judged on the input.
@@ -295,26 +317,33 @@ def remove_repeats(
         .where("met > 1")
         .select("seed", (F.col("suffixes") > group_suffixes).alias("hot"))
     )
-    listed = (
-        runs.join(shared, "seed")
-        .groupBy("_key", "hot")
-        .agg(F.collect_set(F.struct("start", "n", "seed")).alias("runs"))
-    )
 
-    def with_runs(hot: bool) -> DataFrame:
-        # The same columns and left joins throughout: the texts are then shuffled by key only once.
-        found = listed.where(F.col("hot") == hot).drop("hot")
-        return rows.join(found, "_key", "left").where(F.size("runs") > 0).select("_key", "_id", "text", "runs")
+    def with_runs(seeds: DataFrame) -> DataFrame:
+        # The same columns and left joins throughout: the texts are then shuffled by key only once in a job.
+        listed = runs.join(seeds, "seed").groupBy("_key").agg(F.collect_set(F.struct("start", "n", "seed")).alias("runs"))
+        return rows.join(listed, "_key", "left").where(F.size("runs") > 0).select("_key", "_id", "text", "runs")
 
-    slices = with_runs(False).mapInArrow(_slices(window), "seed bigint, _key bigint, start int, words array<bigint>")
+    slices = with_runs(shared.where("not hot").select("seed")).mapInArrow(
+        _slices(window), "seed bigint, _key bigint, start int, words array<bigint>"
+    )
     ranges = "_key bigint, first int, last int"
     cold = slices.repartition("seed").sortWithinPartitions("seed").mapInArrow(_subtrees(window), ranges)
 
-    heads = with_runs(True).mapInArrow(_whole_prefixes(window), "p1 bigint, p2 bigint, _key bigint, start int")
-    repeated = checkpointed(heads.groupBy("p1", "p2").count().where("count > 1").drop("count"))
-    hot = heads.join(repeated, ["p1", "p2"]).select("_key", F.col("start").alias("first"), F.col("start").alias("last"))
-
-    marks = cold.unionByName(hot).groupBy("_key").agg(F.collect_set(F.struct("first", "last")).alias("marks"))
+    # The texts need not be shuffled to find hot seeds in them as long as these are few: 8 bytes each, counted first.
+    hottest = shared.where("hot").select("seed")
+    suffixes = "p1 bigint, p2 bigint, _key bigint, start int"
+    if hottest.count() <= hot_seeds:
+        few = np.sort(hottest.toPandas()["seed"].to_numpy(np.int64).view(np.uint64))
+        heads = rows.select("_key", "text").mapInArrow(_prefixes_of(few, window, seed), suffixes) if len(few) else None
+    else:
+        heads = with_runs(hottest).mapInArrow(_whole_prefixes(window), suffixes)
+    found = cold
+    if heads is not None:
+        repeated = checkpointed(heads.groupBy("p1", "p2").count().where("count > 1").drop("count"))
+        hot = heads.join(repeated, ["p1", "p2"]).select("_key", F.col("start").alias("first"), F.col("start").alias("last"))
+        found = cold.unionByName(hot)
+
+    marks = found.groupBy("_key").agg(F.collect_set(F.struct("first", "last")).alias("marks"))
     id_type = rows.schema["_id"].dataType.simpleString()
     return (
         rows.join(marks, "_key", "left")
