@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from timberline.llm.components import components
-from timberline.llm.minmax import deduplicated, near_duplicates
+from timberline.llm.minmax import _open_groups, deduplicated, near_duplicates
 from timberline.llm.substrings import remove_repeats
 from timberline.llm.templates import _repeats, drop_templates
 
@@ -128,6 +128,29 @@ def test_near_duplicates_in_chains_and_hot_bands(spark):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("permutations", [2, 80])
+def test_no_link_of_small_sets_is_lost(spark, permutations):
+    """Pairs of 3 and 4, 6 and 8, 48 and 64 shingles at exactly 75 %; a single band finds few of them."""
+    rows = []
+    for k in range(300):
+        for size, (few, many) in enumerate(((7, 8), (10, 12), (52, 68))):
+            names = [f"w{k}x{size}x{i}" for i in range(many)]
+            rows += [(len(rows), " ".join(names[:few])), (len(rows) + 1, " ".join(names))]
+            rows += [(len(rows), " ".join([*names[: few * 7 // 10], "other"]))]  # below 75 % of both
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), permutations=permutations).collect()
+    want = {i: i - 1 if i % 3 == 1 else i for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_shared_text_alone_opens_no_group(spark):
+    """Documents with a common header of a third of their shingles: no set is compared with others for it."""
+    sets = [(i, i, [*range(30), *range(1000 * (i + 1), 1000 * (i + 1) + 70)]) for i in range(500)]
+    near = [(900 + i, 900 + i, [*range(30), *range(950_000, 950_069), 960_000 + i]) for i in range(2)]
+    for rows, open_nodes in ((sets, set()), (sets + near, {900, 901})):
+        found, _ = _open_groups(spark.createDataFrame(rows, "node bigint, root bigint, set array<bigint>"), 75)
+        assert {r.node for r in found.collect()} == open_nodes
+
+
 def test_components_of_a_long_path(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(200, 201), (5, 5), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}

@@ -5,17 +5,20 @@ the greatest, so ``permutations`` passes give ``2 * permutations`` unbiased
 values. Four of them (both values of two permutations) make a band. Documents
 of similarity 0.75 share one of the 40 default bands but for a chance of
 (1 - 0.75**4)**40 < 3e-7, if their sets are large. Least and greatest value of a small set depend on
-each other: with 3 of 4 shingles shared the chance is (1 - 0.25)**40 = 1.0e-5. Such a
-link is lost; there is no exact path for small sets.
+each other (with 3 of 4 shingles shared the chance is (1 - 0.25)**40 = 1.0e-5), so sets of at most
+64 shingles take the exact path below as well, and no link between two of them is lost.
 
 Equal shingle sets are one node of the graph, so exact copies cost one row.
 The members of a band meet at its hub (the least node), not in all pairs, and a pair is a link
 only if the full sets confirm it. A member that is then in another component than others of its
-band could still be linked with one that was no hub. The bands where that is so are
+band could still be linked with one that was no hub. All members of bands where that is so, and
+all small sets, go the exact path: in one order of all shingles, rare ones first, two linked sets
+share one of the first n - ceil(0.75 n) + 1 of each, so text that many documents share brings
+none together that differ otherwise. The groups of such a shingle that hold more than one component are
 joined into families, and a family is settled exactly: its members are dealt to blocks of
 bounded size, and each pair of blocks is a task that multiplies the blocks' shingle matrices and
 returns the links that join components, never the pairs. No pair is left out for the size of
-its band.
+its band or group.
 """
 
 from __future__ import annotations
@@ -30,13 +33,15 @@ from pyspark.sql import functions as F
 from timberline.llm.components import components, joined_roots
 from timberline.llm.rows import carried, unpacked
 from timberline.llm.words import hashed_words, mix, pieces, run_hashes, signed
-from timberline.session import checkpointed, written
+from timberline.session import checkpointed, removed, written
 
 SHINGLE = 5
 PERMUTATIONS = 80
 PERCENT = 75
 BLOCK_SETS = 1000  # members of a block, about
 BLOCK_SHINGLES = 1_000_000  # shingles of a block, about
+SMALL_SET = 64  # shingles of a set that takes the exact path whatever its bands
+COUNT_PLACES = 1 << 18  # counts of shingles sent to the tasks, by the low bits of their hashes
 _PER_BAND = 2  # permutations in a band
 _COLUMNS = 2048  # shingles multiplied at a time
 
@@ -224,11 +229,73 @@ def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
 
-def _family_links(shared: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links that the hubs missed, between members of different components."""
-    placed = checkpointed(shared.select("band", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    split = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub"))
-    open_ = checkpointed(placed.join(split.where("low <> high").select("band", "hub"), "band"))
+def _rarity(population: DataFrame) -> np.ndarray:
+    """How many shingles of all sets there are at each of ``COUNT_PLACES`` places."""
+    place = F.col("shingle").bitwiseAND(F.lit(COUNT_PLACES - 1))
+    met = population.select(F.explode("set").alias("shingle")).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("met")).toArrow()
+    counts = np.zeros(COUNT_PLACES, np.int64)
+    counts[met.column("place").to_numpy()] = met.column("met").to_numpy()
+    return counts
+
+
+def _prefixes(percent: int, counts: np.ndarray):
+    """The shingles of a set of which a linked set has at least one among its own: the first ones by
+    count of their place, then hash. Those that no other set has are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("set").offsets.to_numpy().astype(np.int64)
+            values = batch.column("set").values.to_numpy()[at[0] : at[-1]]
+            size = np.diff(at)
+            row = np.repeat(np.arange(len(size)), size)
+            met = counts[values & (COUNT_PLACES - 1)]
+            order = np.lexsort((values, met, row))
+            rank = np.arange(len(values)) - np.repeat(at[:-1] - at[0], size)
+            first = order[rank < np.repeat(size - (percent * size + 99) // 100 + 1, size)]
+            first = first[met[first] > 1]
+            holder = pa.array(row[first])
+            yield pa.record_batch(
+                {
+                    "key": pa.array(values[first], pa.int64()),
+                    "node": batch.column("node").take(holder),
+                    "root": batch.column("root").take(holder),
+                    "n": pa.array(size[row[first]], pa.int64()),
+                }
+            )
+
+    return run
+
+
+def _unsettled(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
+    """(``node``, ``root``) of the members of bands that hold several components, and of all small sets."""
+    spark = shared.sparkSession
+    root = F.coalesce("root", "node").alias("root")
+    placed, one = written(shared.select("band", "node").join(roots, "node", "left").select("band", "node", root), "placed")
+    ends = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    # Written before it is joined, so that Spark can split a large band.
+    split, two = written(ends.where("low <> high").select("band"), "split")
+    small = nodes.where(F.col("n").between(2, SMALL_SET)).select("node").join(roots, "node", "left").select("node", root)
+    found = written(placed.join(split, "band").select("node", "root").union(small).distinct(), "unsettled")
+    removed(spark, one, two)
+    return found
+
+
+def _open_groups(population: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """(``node``, ``root``, ``n``, ``hub``) of the sets (``node``, ``root``, ``set``) that share a first
+    shingle with a set of another component; ``hub`` is the least node of those that share it."""
+    prefixes, one = written(
+        population.select("node", "root", "set").mapInArrow(_prefixes(percent, _rarity(population)), "key bigint, node bigint, root bigint, n bigint"),
+        "prefixes",
+    )
+    ends = prefixes.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub"))
+    groups, two = written(ends.where("low <> high").select("key", "hub"), "groups")
+    found = written(prefixes.join(groups, "key").select("node", "root", "n", "hub").distinct(), "open")
+    removed(population.sparkSession, one, two)
+    return found
+
+
+def _family_links(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links between members of different components that share a group."""
     families = components(open_.select("node", "hub")).withColumnRenamed("root", "family")
     members = open_.select("node", "n", "root").distinct().join(families, "node")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"))
@@ -274,7 +341,8 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, permutati
     pairs = checkpointed(
         _ordered(shared.select(F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("hub").alias("y"), F.col("hub_n").alias("y_n")), percent)
     )
-    asked = shared.select("node").distinct()
+    small = nodes.where(F.col("n").between(2, SMALL_SET)).select("node")
+    asked = shared.select("node").union(small).distinct()
     holders = nodes.join(asked, "node").select("node", "_key")
     sets = checkpointed(
         rows.join(holders, "_key")
@@ -284,9 +352,13 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, shingle: int, permutati
     )
     links = checkpointed(_confirmed(pairs, sets, percent))
     roots = written(components(links), "roots")[0]
-    more = checkpointed(_family_links(shared, roots, sets, percent))
-    if not more.isEmpty():
-        roots = joined_roots(roots, more)
+    unsettled, one = _unsettled(shared, nodes, roots)
+    open_, two = _open_groups(unsettled.join(sets, "node"), percent)
+    if not open_.isEmpty():
+        more = checkpointed(_family_links(open_, sets, percent))
+        if not more.isEmpty():
+            roots = joined_roots(roots, more)
+    removed(docs.sparkSession, one, two)
 
     return sketches.select("_id", "_key", "n", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
