@@ -144,10 +144,10 @@ def test_no_link_of_small_sets_is_lost(spark, permutations):
 
 def test_shared_text_alone_opens_no_group(spark):
     """Documents with a common header of a third of their shingles: no set is compared with others for it."""
-    sets = [(i, i, [*range(30), *range(1000 * (i + 1), 1000 * (i + 1) + 70)]) for i in range(500)]
-    near = [(900 + i, 900 + i, [*range(30), *range(950_000, 950_069), 960_000 + i]) for i in range(2)]
+    sets = [(i, i, 0, [*range(30), *range(1000 * (i + 1), 1000 * (i + 1) + 70)]) for i in range(500)]
+    near = [(900 + i, 900 + i, 0, [*range(30), *range(950_000, 950_069), 960_000 + i]) for i in range(2)]
     for rows, open_nodes in ((sets, set()), (sets + near, {900, 901})):
-        found, _ = _open_groups(spark.createDataFrame(rows, "node bigint, root bigint, set array<bigint>"), 75)
+        found, _ = _open_groups(spark.createDataFrame(rows, "node bigint, root bigint, circle bigint, set array<bigint>"), 75)
         assert {r.node for r in found.collect()} == open_nodes
 
 

@@ -11,10 +11,11 @@ each other (with 3 of 4 shingles shared the chance is (1 - 0.25)**40 = 1.0e-5),
 Equal shingle sets are one node of the graph, so exact copies cost one row.
 The members of a band meet at its hub (the least node), not in all pairs, and a pair is a link
 only if the full sets confirm it. A member that is then in another component than others of its
-band could still be linked with one that was no hub. All members of bands where that is so, and
-all small sets, go the exact path: in one order of all shingles, rare ones first, two linked sets
-share one of the first n - ceil(0.75 n) + 1 of each, so text that many documents share brings
-none together that differ otherwise. The groups of such a shingle that hold more than one component are
+band could still be linked with one that was no hub. The bands where that is so are joined into
+circles, and their members go the exact path within them, small sets with all small sets too: in one
+order of all shingles, rare ones first, two linked sets share one of the first n - ceil(0.75 n) + 1
+of each, so text that many documents share brings none together that differ otherwise. The groups of
+such a shingle in a circle that hold more than one component are
 joined into families, and a family is settled exactly: its members are dealt to blocks of
 bounded size, and each pair of blocks is a task that multiplies the blocks' shingle matrices and
 returns the links that join components, never the pairs. No pair is left out for the size of
@@ -240,7 +241,8 @@ def _rarity(population: DataFrame) -> np.ndarray:
 
 def _prefixes(percent: int, counts: np.ndarray):
     """The shingles of a set of which a linked set has at least one among its own: the first ones by
-    count of their place, then hash. Those that no other set has are left out."""
+    count of their place, then hash. Those that no other set has are left out. A key is told from a
+    shingle and its circle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,9 +256,10 @@ def _prefixes(percent: int, counts: np.ndarray):
             first = order[rank < np.repeat(size - (percent * size + 99) // 100 + 1, size)]
             first = first[met[first] > 1]
             holder = pa.array(row[first])
+            circle = mix(batch.column("circle").to_numpy(zero_copy_only=False).view(np.uint64))
             yield pa.record_batch(
                 {
-                    "key": pa.array(values[first], pa.int64()),
+                    "key": pa.array(signed(mix(values[first].view(np.uint64) ^ circle[row[first]])), pa.int64()),
                     "node": batch.column("node").take(holder),
                     "root": batch.column("root").take(holder),
                     "n": pa.array(size[row[first]], pa.int64()),
@@ -267,24 +270,30 @@ def _prefixes(percent: int, counts: np.ndarray):
 
 
 def _unsettled(shared: DataFrame, nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, str]:
-    """(``node``, ``root``) of the members of bands that hold several components, and of all small sets."""
+    """(``node``, ``root``, ``circle``) of the members of bands that hold several components, by what such
+    bands join, and of all small sets, which are one circle more."""
     spark = shared.sparkSession
     root = F.coalesce("root", "node").alias("root")
     placed, one = written(shared.select("band", "node").join(roots, "node", "left").select("band", "node", root), "placed")
-    ends = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    ends = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub"))
     # Written before it is joined, so that Spark can split a large band.
-    split, two = written(ends.where("low <> high").select("band"), "split")
-    small = nodes.where(F.col("n").between(2, SMALL_SET)).select("node").join(roots, "node", "left").select("node", root)
-    found = written(placed.join(split, "band").select("node", "root").union(small).distinct(), "unsettled")
-    removed(spark, one, two)
+    split, two = written(ends.where("low <> high").select("band", "hub"), "split")
+    members, three = written(placed.join(split, "band").select("node", "root", "hub").distinct(), "members")
+    circles = components(members.select("node", "hub")).withColumnRenamed("root", "circle")
+    met = members.select("node", "root").distinct().join(circles, "node")
+    small = nodes.where(F.col("n").between(2, SMALL_SET)).select("node").join(roots, "node", "left")
+    found = written(met.union(small.select("node", root, F.lit(0).cast("bigint"))), "unsettled")
+    removed(spark, one, two, three)
     return found
 
 
 def _open_groups(population: DataFrame, percent: int) -> tuple[DataFrame, str]:
-    """(``node``, ``root``, ``n``, ``hub``) of the sets (``node``, ``root``, ``set``) that share a first
-    shingle with a set of another component; ``hub`` is the least node of those that share it."""
+    """(``node``, ``root``, ``n``, ``hub``) of the sets (``node``, ``root``, ``circle``, ``set``) that share a
+    first shingle with a set of their circle and another component; ``hub`` is the least node of those that share it."""
     prefixes, one = written(
-        population.select("node", "root", "set").mapInArrow(_prefixes(percent, _rarity(population)), "key bigint, node bigint, root bigint, n bigint"),
+        population.select("node", "root", "circle", "set").mapInArrow(
+            _prefixes(percent, _rarity(population)), "key bigint, node bigint, root bigint, n bigint"
+        ),
         "prefixes",
     )
     ends = prefixes.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("node").alias("hub"))
