@@ -17,7 +17,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timberline.session import checkpointed
+from timberline.session import written
 
 _MALE = r"Mr|Herr|M|Sr|Señor|Monsieur|г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Mme|Mlle|Sra|Srta|Señora|Madame|г-жа"
@@ -179,18 +179,19 @@ def distinct_surrogates(entities: DataFrame, key: str) -> DataFrame:
     entity, nor an earlier surrogate, nor a lesser value of the same round. Surrogates
     get longer from round to round in the end, so the rounds come to an end for any entities.
     """
-    entities = checkpointed(entities.select("kind", "value").distinct())
+    entities, _ = written(entities.select("kind", "value").distinct(), "entities")
     real = entities.select("kind", F.col("value").alias("surrogate"))
     done, pending = None, entities
     for draw in count():
         drawn = pending.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key, draw))
         taken = real if done is None else real.union(done.select("kind", "surrogate"))
-        kept = checkpointed(
+        kept, _ = written(
             drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-            .join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate")
+            .join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate"),
+            "kept",
         )
         done = kept if done is None else done.union(kept)
-        pending = checkpointed(pending.join(kept, ["kind", "value"], "left_anti"))
+        pending, _ = written(pending.join(kept, ["kind", "value"], "left_anti"), "pending")
         if pending.isEmpty():
             return done
 
@@ -242,7 +243,8 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         .withColumn("kind", kind_of(F.col("match")))
         .withColumn("value", canonical(F.col("kind"), F.col("match")))
     )
-    mentions = checkpointed(mentions)
+    # A scratch table, which goes with the driver: it holds raw values.
+    mentions, _ = written(mentions, "mentions")
     new = distinct_surrogates(mentions, key)
     tables = (
         mentions.join(new, ["kind", "value"])
